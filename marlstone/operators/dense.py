@@ -10,29 +10,40 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from marlstone.errors import QueryError
-from marlstone.operators.lexical import _no_hits
-from marlstone.operators.scoring import Keeper, best_hits, hits_schema, per_query_block
-
-
-def dense_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int = 12) -> DataFrame:
+from marlstone.operators.scoring import (
+    Keeper,
+    allow_by_scope,
+    allowed_mask,
+    best_hits,
+    hits_schema,
+    id_type,
+    no_hits,
+    per_query_block,
+)
+
+
+def dense_top_k(
+    vectors: DataFrame, query_vectors: DataFrame, k: int = 12, scope: DataFrame | None = None
+) -> DataFrame:
     """Best ``k`` chunks per query: vectors(chunk_id, dense), query_vectors(query_id, dense).
 
     One matrix product per Arrow batch; a zero vector has cosine zero.
     """
-    source = vectors.select("chunk_id", "dense")
+    scoped = vectors if scope is None else allow_by_scope(vectors, scope)
+    source = scoped.select(*[c for c in ("chunk_id", "dense", "allowed") if c in scoped.columns])
 
     def search(block: DataFrame) -> DataFrame:
         rows = block.select("query_id", "dense").collect()
         if not rows:
-            return _no_hits(block, source)
-        ids = [r.query_id for r in rows]
+            return no_hits(block, source)
+        ids, kind = [r.query_id for r in rows], id_type(block)
         matrix = _unit(np.array([r.dense for r in rows], dtype=np.float64))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keeper = Keeper(ids, k)
+            keeper = Keeper(ids, k, kind)
             for batch in batches:
                 scores = _unit(_matrix(batch.column("dense"), matrix.shape[1])) @ matrix.T
-                yield keeper.select(batch.column("chunk_id"), scores)
+                yield keeper.select(batch.column("chunk_id"), scores, allowed_mask(batch, ids))
 
         return source.mapInArrow(run, hits_schema(block, source))
 

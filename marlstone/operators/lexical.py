@@ -14,8 +14,12 @@ from marlstone.functions.terms import with_terms
 from marlstone.operators.scoring import (
     Keeper,
     TokenWeights,
+    allow_by_scope,
+    allowed_mask,
     best_hits,
     hits_schema,
+    id_type,
+    no_hits,
     per_query_block,
 )
 from marlstone.session import materialize
@@ -35,8 +39,9 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
 def term_index(
     chunks: DataFrame, text_col: str = "content", vocabulary: frozenset[str] | None = None
 ) -> DataFrame:
-    """Forward index (chunk_id, dl, terms): one compact row per chunk, no shuffle to build."""
-    return with_terms(chunks, text_col, ["chunk_id"], vocabulary)
+    """Forward index (chunk_id[, doc_id], dl, terms): one row per chunk, no shuffle to build."""
+    keys = [c for c in ("chunk_id", "doc_id") if c in chunks.columns]
+    return with_terms(chunks, text_col, keys, vocabulary)
 
 
 def token_statistics(index: DataFrame) -> DataFrame:
@@ -60,6 +65,7 @@ def bm25_top_k(
     k: int = 12,
     *,
     index: DataFrame | None = None,
+    scope: DataFrame | None = None,
     k1: float = K1,
     b: float = B,
 ) -> DataFrame:
@@ -67,7 +73,8 @@ def bm25_top_k(
 
     Give ``chunks`` (chunk_id, content) for a one-off search, which counts only terms some
     query uses, or a stored ``index`` of :func:`term_index` for repeated ones. ``queries``
-    is (query_id, text); chunks sharing no term with a query are not results.
+    is (query_id, text); chunks sharing no term with a query are not results. ``scope``
+    (query_id, doc_id) limits queries to documents; statistics stay those of all chunks.
     """
 
     def search(block: DataFrame) -> DataFrame:
@@ -85,49 +92,52 @@ def bm25_top_k(
         statistics = {r.token: r for r in token_statistics(used).join(wanted, "token").collect()}
         totals = statistics.pop(_TOTAL, None)
         if totals is None or not ids:
-            return _no_hits(block, used)
+            return no_hits(block, used)
         n, average = totals.df, max(totals.total / totals.df, 1e-9)
         idf = {t: float(np.log(1 + (n - s.df + 0.5) / (s.df + 0.5))) for t, s in statistics.items()}
         weights = TokenWeights([(q, t, idf[t]) for q, t in terms if t in idf], ids)
         if not len(weights.tokens):
-            return _no_hits(block, used)
+            return no_hits(block, used)
 
         def saturation(batch: pa.RecordBatch, row: np.ndarray, tf: np.ndarray) -> np.ndarray:
             dl = batch.column("dl").to_numpy(zero_copy_only=False)[row]
             return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
 
-        return _score(used.select("chunk_id", "dl", "terms"), block, weights, ids, k, saturation)
+        if scope is not None:
+            used = allow_by_scope(used, scope)
+        return _score(used, block, weights, ids, k, saturation)
 
     return best_hits(per_query_block(queries, search), k)
 
 
-def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int = 12) -> DataFrame:
+def sparse_top_k(
+    vectors: DataFrame, query_vectors: DataFrame, k: int = 12, scope: DataFrame | None = None
+) -> DataFrame:
     """Best ``k`` by inner product: vectors(chunk_id, sparse), query_vectors(query_id, sparse).
 
     A chunk is a result when it shares a token with the query, whatever the product.
     """
-    entries = vectors.select("chunk_id", F.map_entries("sparse").alias("terms"))
+    scoped = vectors if scope is None else allow_by_scope(vectors, scope)
+    kept = [c for c in ("chunk_id", "allowed") if c in scoped.columns]
+    entries = scoped.select(*kept, F.map_entries("sparse").alias("terms"))
 
     def search(block: DataFrame) -> DataFrame:
         rows = block.select("query_id", F.explode("sparse").alias("token", "weight")).collect()
         ids = sorted({r.query_id for r in rows})
         if not ids:
-            return _no_hits(block, entries)
+            return no_hits(block, entries)
         weights = TokenWeights([(r.query_id, r.token, r.weight) for r in rows], ids)
         return _score(entries, block, weights, ids, k, lambda _batch, _row, value: value)
 
     return best_hits(per_query_block(query_vectors, search), k)
 
 
-def _no_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    return queries.sparkSession.createDataFrame([], hits_schema(queries, chunks))
-
-
 def _score(entries: DataFrame, queries: DataFrame, weights: TokenWeights, ids, k, contribution):
     """Candidates of every partition; ``terms`` holds (token, value) structs per chunk."""
+    kind = id_type(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keeper = Keeper(ids, k)
+        keeper = Keeper(ids, k, kind)
         for batch in batches:
             lists = batch.column("terms")
             flat = lists.flatten()
@@ -140,6 +150,8 @@ def _score(entries: DataFrame, queries: DataFrame, weights: TokenWeights, ids, k
             value = flat.field(1).to_numpy(zero_copy_only=False)[known].astype(np.float64)
             weight = contribution(batch, row, value)
             scores, hit = weights.accumulate(len(lengths), row, token, weight)
-            yield keeper.select(batch.column("chunk_id"), scores, hit)
+            mask = allowed_mask(batch, ids)
+            yield keeper.select(batch.column("chunk_id"), scores, hit if mask is None else hit & mask)
 
-    return entries.mapInArrow(run, hits_schema(queries, entries))
+    kept = [c for c in ("chunk_id", "dl", "terms", "allowed") if c in entries.columns]
+    return entries.select(*kept).mapInArrow(run, hits_schema(queries, entries))

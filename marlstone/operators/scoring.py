@@ -14,12 +14,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.operators.ranking import best_score_order, top_k
-from marlstone.session import BLOCK_ROWS, scratch_dir
+from marlstone.session import BLOCK_ROWS, broadcast_if_small, scratch_dir
 
 DECIMALS = 6
 # Rows this close to the k-th score are kept: rounding and summation order cannot lose one.
@@ -29,8 +31,8 @@ _MARGIN = 2 * 10.0**-DECIMALS
 class Keeper:
     """Selects the rows of each batch that may reach the best ``k`` of some query."""
 
-    def __init__(self, query_ids: list, k: int):
-        self.query_ids = pa.array(query_ids)
+    def __init__(self, query_ids: list, k: int, id_type: pa.DataType):
+        self.query_ids = pa.array(query_ids, id_type)
         self.k = k
         self.floor = np.full(len(query_ids), -np.inf)
 
@@ -54,6 +56,32 @@ class Keeper:
         )
 
 
+def allow_by_scope(chunks: DataFrame, scope: DataFrame) -> DataFrame:
+    """Chunks of documents some query is limited to, with ``allowed``: those queries.
+
+    ``scope`` is (query_id, doc_id). The join drops every other chunk before scoring.
+    """
+    per_doc = scope.groupBy("doc_id").agg(F.collect_set("query_id").alias("allowed"))
+    return chunks.join(broadcast_if_small(per_doc), "doc_id")
+
+
+def allowed_mask(batch: pa.RecordBatch, query_ids: list) -> np.ndarray | None:
+    """Chunks x queries mask of a batch scoped by :func:`allow_by_scope`, else None."""
+    if "allowed" not in batch.schema.names:
+        return None
+    lists = batch.column("allowed")
+    at = pc.index_in(lists.flatten(), value_set=pa.array(query_ids, lists.type.value_type))
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    mask = np.zeros((len(lists), len(query_ids)), dtype=bool)
+    mask[row[known], at.filter(pa.array(known)).to_numpy()] = True
+    return mask
+
+
+def id_type(queries: DataFrame) -> pa.DataType:
+    return to_arrow_type(queries.schema["query_id"].dataType)
+
+
 def hits_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -64,6 +92,10 @@ def hits_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     )
 
 
+def no_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], hits_schema(queries, chunks))
+
+
 def best_hits(candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): rounded scores, equal ones ordered by chunk id."""
     rounded = candidates.withColumn("score", F.round("score", DECIMALS))
