@@ -80,6 +80,7 @@ class QuerySettings(_FromEnv):
     agent_evidence_max_chars: int = 8000
     agent_evidence_pool_max: int = 8
     agent_subquestion_top_k: int = 3
+    agent_rerank_batch_size: int = 64
     evidence_eval_max_chars_per_doc: int = 1500
     answer_max_chars_per_evidence: int = 2500
     rerank_max_top_k: int = 5
@@ -95,6 +96,7 @@ class QuerySettings(_FromEnv):
     conflict_judge_rrf_rank_limit: int = 5
     conflict_judge_max_pairs: int = 2
     conflict_judge_min_confidence: float = 0.80
+    conflict_judge_document_max_chars: int = 1800
     rrf_k: int = 60
     rrf_max_results: int = 16
     rrf_direct_weight: float = 0.50
