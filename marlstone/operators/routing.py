@@ -118,10 +118,10 @@ def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     equality, so no query is compared with every name. Only names contained in no longer
     matched name of the query remain, besides all of the greatest length.
     """
-    lengths = names.select(F.length("name_key").alias("n")).where(F.col("n") >= MIN_ALIAS).distinct()
+    lengths = names.select(F.length("name_key").alias("n")).where(F.col("n") >= MIN_ALIAS)
+    sizes = lengths.agg(F.collect_set("n")).scalar()
     keyed = queries.select("query_id", F.col("text").alias("query_text"), normalize_name(F.col("text")).alias("key"))
-    sizes = keyed.crossJoin(F.broadcast(lengths.agg(F.collect_set("n").alias("sizes"))))
-    starts = sizes.select(
+    starts = keyed.withColumn("sizes", sizes).select(
         "query_id", "query_text", "key", F.explode(F.filter("sizes", lambda n: n <= F.length("key"))).alias("n")
     )
     parts = starts.select(
