@@ -318,7 +318,9 @@ def schedule(tasks: DataFrame, settings: QuerySettings = QuerySettings()) -> Dat
     )
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("position", "task_order"))
     allowed = F.floor(F.greatest(F.lit(0), settings.agent_max_tool_calls - F.col("calls_used")) / F.col("cost"))
-    return each.withColumn("turn", turn).where(F.col("turn") <= allowed).select(
+    # The constant bound lets Spark cut each question before the shuffle.
+    bounded = each.withColumn("turn", turn).where(F.col("turn") <= settings.agent_max_tool_calls)
+    return bounded.where(F.col("turn") <= allowed).select(
         "query_id", "sub_q", "op.tool", "op.query", F.col("cost").alias("request_budget"), "turn"
     )
 

@@ -7,8 +7,9 @@ two values, combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # Steps of an import by kind of file, upload included.
 STEPS = {"word": 10, "pdf": 9, "markdown": 8}
@@ -54,27 +55,45 @@ def total_steps(file_name: Column) -> Column:
     )
 
 
-def stream_step_states(events: DataFrame, sink: str, checkpoint: str) -> object:
-    """Keep step states current in ``sink`` from a streaming ``events``; returns the query.
+def stream_step_states(events: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Aggregate a streaming ``events``; each batch writes the step states it changed.
 
-    Each batch merges its own step states into those already written, so a restart or a
-    repeated batch leaves the same table. Batches are written to numbered folders.
+    A batch owns one numbered folder, so a repeated batch overwrites itself.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        step_states(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return (
-        events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        step_states(events)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """Combine step states of several batches; later batches decide what is running."""
-    latest = F.struct(F.greatest(F.coalesce("started", F.lit(-1)), F.coalesce("last_done", F.lit(-1))), "batch") if "last_done" in states.columns else F.struct("batch")
-    return states.groupBy("task_id", "step").agg(
-        F.max_by("running", latest).alias("running"),
-        F.min("first_done").alias("first_done"),
-        F.max("started").alias("started"),
-        F.max_by("seconds", F.when(F.col("seconds").isNotNull(), F.col("batch"))).alias("seconds"),
+def current_states(spark: SparkSession, sink: str) -> DataFrame:
+    """Latest written state of every step."""
+    written = spark.read.parquet(sink)
+    fields = [c for c in written.columns if c not in ("task_id", "step", "batch")]
+    return written.groupBy("task_id", "step").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select(
+        "task_id", "step", "s.*"
+    )
+
+
+def event_frame(event: Column, data: Column) -> Column:
+    """Wire text of one server-sent event; ``data`` is a JSON string."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
+
+
+def deliver(events: DataFrame) -> DataFrame:
+    """(task_id, frames): undelivered events of each task in order.
+
+    ``events`` is (task_id, seq, event, data) of one micro-batch.
+    """
+    framed = F.struct("seq", event_frame(F.col("event"), F.col("data")).alias("frame"))
+    return events.groupBy("task_id").agg(
+        F.transform(F.array_sort(F.collect_list(framed)), lambda f: f["frame"]).alias("frames")
     )
