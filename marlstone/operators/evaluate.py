@@ -113,12 +113,12 @@ def dataset_problems(cases: DataFrame, documents: DataFrame) -> DataFrame:
 
     Cases: id, document_id, query, relevance, expected_answerable, judge_answer, reference_answer.
     """
-    repeated_docs = documents.groupBy(F.col("id").alias("item")).count().where("count > 1").select("item", F.lit("document id repeats").alias("problem"))
-    repeated = cases.groupBy(F.col("id").alias("item")).count().where("item is null or item = '' or count > 1")
+    repeated_docs = documents.groupBy(F.col("id").cast("string").alias("item")).count().where("count > 1").select("item", F.lit("document id repeats").alias("problem"))
+    repeated = cases.groupBy(F.col("id").cast("string").alias("item")).count().where("item is null or item = '' or count > 1")
     known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("known")).distinct()
     blank = lambda n: F.length(strip(F.coalesce(F.col(n), F.lit("")))) == 0
     per_case = cases.join(known, "document_id", "left").select(
-        F.col("id").alias("item"),
+        F.col("id").cast("string").alias("item"),
         F.array(
             F.when(blank("query"), "question is empty"),
             F.when(
