@@ -155,7 +155,7 @@ def distinct_queries(queries: Iterable[str], source: str, limit: int) -> list[st
     chinese = re.search("[一-鿿]", source or "") is not None
     kept: dict[str, str] = {}
     english = 0
-    for raw in queries or ():
+    for raw in queries if queries is not None else ():
         query = " ".join(str(raw or "").split())
         key = re.sub(r"[^\w一-鿿]+", "", query).lower()
         foreign = chinese and _is_english(query)
@@ -237,11 +237,13 @@ def normalize_plans(df: DataFrame, settings: QuerySettings = QuerySettings()) ->
 
     df = df.withColumn("_merged", F.transform("_questions", merged))
     df = df.withColumn("_task_queries", _distinct_each(F.col("_merged")))
-    tasks = F.transform(
+    # A Python result may be an argument of a higher-order function but not used inside one.
+    tasks = F.zip_with(
         "_merged",
-        lambda m, i: F.struct(
+        "_task_queries",
+        lambda m, queries: F.struct(
             m["i"].alias("subquestion_index"),
-            F.coalesce(F.nullif(F.element_at("_task_queries", i + 1), none), F.array(m["question"])).alias("search_queries"),
+            F.coalesce(F.nullif(queries, none), F.array(m["question"])).alias("search_queries"),
             m["tools"].alias("retrieval_tools"),
             m["deps"].alias("depends_on"),
         ),
@@ -277,6 +279,12 @@ def _each(queries: pd.Series, questions: pd.Series) -> pd.Series:
     )
 
 
+# Marked as not deterministic so that plans are computed once and never inlined where a
+# Python function cannot run (inside lambdas or inferred filters).
+_distinct = _distinct.asNondeterministic()
+_each = _each.asNondeterministic()
+
+
 def _distinct_each(merged: Column) -> Column:
     return _each(F.transform(merged, lambda m: m["queries"]), F.transform(merged, lambda m: m["question"]))
 

@@ -185,13 +185,13 @@ def exact_matches(mentioned: DataFrame, candidates: DataFrame) -> DataFrame:
     with registry fields, the documents considered for that mention.
     """
     keyed = mentioned.withColumn("mention_key", normalize_name(F.col("mention")))
-    names = registry_names(candidates.select("doc_id", "canonical_title", "aliases").distinct())
+    names = registry_names(candidates.select("doc_id", "canonical_title", "aliases").distinct()).withColumnRenamed(
+        "name_key", "mention_key"
+    )
     pool = candidates.select("query_id", "mention", "doc_id").distinct()
-    named = keyed.join(pool, ["query_id", "mention"]).join(
-        names, (names["doc_id"] == pool["doc_id"]) & (names["name_key"] == keyed["mention_key"])
-    ).where(
-        routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("text"))
-    ).select("query_id", "mention", names["doc_id"], "group_key").distinct()
+    named = keyed.join(pool, ["query_id", "mention"]).join(names, ["doc_id", "mention_key"]).where(
+        routable(F.col("mention_key"), F.col("name_has_code"), F.col("canonical"), F.col("text"))
+    ).select("query_id", "mention", "doc_id", "group_key").distinct()
     rest = mentioned.join(named, ["query_id", "mention"], "left_anti").withColumn("codes", model_codes(F.col("mention")))
     coded = rest.where(F.size("codes") > 0).join(candidates, ["query_id", "mention"]).where(
         F.size(F.array_except("codes", "model_codes")) == 0

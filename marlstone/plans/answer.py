@@ -43,10 +43,10 @@ def route(questions: DataFrame, corpus: Corpus, settings: QuerySettings = QueryS
     none = lambda schema: questions.sparkSession.createDataFrame([], schema)
     kind = questions.schema["query_id"].dataType.simpleString()
     mentioned = questions.select("query_id", F.explode(routing.mentions(F.col("text"))).alias("mention"), "text")
-    candidates = mentioned.select("query_id", "mention").join(
-        registry.select("doc_id", "canonical_title", "aliases", "model_codes", F.explode(F.concat(F.array("canonical_title"), "aliases")).alias("name")),
-        routing.normalize_name(F.col("mention")) == routing.normalize_name(F.col("name")),
-    ).drop("name")
+    names = registry.select(
+        "doc_id", "canonical_title", "aliases", "model_codes", F.explode(F.concat(F.array("canonical_title"), "aliases")).alias("name")
+    ).withColumn("key", routing.normalize_name(F.col("name")))
+    candidates = mentioned.select("query_id", "mention", routing.normalize_name(F.col("mention")).alias("key")).join(names, "key").drop("key", "name")
     matches = routing.exact_matches(mentioned, candidates)
     weak = none(f"query_id {kind}, doc_id string, pos int")
     referred = none(f"query_id {kind}, doc_id string")
