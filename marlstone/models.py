@@ -83,14 +83,20 @@ class HashedEmbedder:
         return dense, sparse
 
 
+@lru_cache(maxsize=256)
+def _words(text: str) -> frozenset[str]:
+    """Distinct terms of a text; candidates of one chunk arrive together."""
+    return frozenset(tokenize(text))
+
+
 class OverlapScorer:
     """Logit of smoothed query-term coverage; monotone in how many query terms the text holds."""
 
     def score(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
         scores = []
         for query, text in pairs:
-            wanted = set(tokenize(query))
-            hit = len(wanted & set(tokenize(text)))
+            wanted = _words(query)
+            hit = len(wanted & _words(text))
             scores.append(math.log((hit + 0.5) / (len(wanted) - hit + 0.5)))
         return scores
 

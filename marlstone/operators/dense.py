@@ -19,6 +19,7 @@ from marlstone.operators.scoring import (
     id_type,
     no_hits,
     per_query_block,
+    slices,
 )
 
 
@@ -41,7 +42,7 @@ def dense_top_k(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keeper = Keeper(ids, k, kind)
-            for batch in batches:
+            for batch in slices(batches, len(ids)):
                 scores = _unit(_matrix(batch.column("dense"), matrix.shape[1])) @ matrix.T
                 yield keeper.select(batch.column("chunk_id"), scores, allowed_mask(batch, ids))
 

@@ -36,26 +36,25 @@ def session_list(sessions: DataFrame, owner_id: str, limit: int = 50) -> DataFra
     )
 
 
-def budgeted_history(messages: DataFrame, budget: Column | int, order: str = "ts") -> DataFrame:
+def budgeted_history(
+    messages: DataFrame, budget: Column | int, order: str = "ts", largest: int = 12000
+) -> DataFrame:
     """Newest messages of each session within a character budget, joined oldest first.
 
-    The message crossing the budget is cut. ``budget`` is per session. A line takes at
-    least the role name, a colon, one character and a separator, so only that many newest
-    lines can fit and older ones are dropped before the running sum.
+    The message crossing the budget is cut. ``budget`` is a number or a per-session column
+    of at most ``largest``. A line takes at least the role name, a colon, one character and
+    a separator, so only so many newest lines can fit; older ones are dropped, before the
+    shuffle, whatever the length of a session.
     """
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     text = strip(F.coalesce(F.col("text"), F.lit("")))
+    limit = F.lit(budget) if isinstance(budget, int) else F.least(budget, F.lit(largest))
     spoken = messages.where(F.col("role").isin(*ROLE_NAMES) & (F.length(text) > 0)).select(
-        "session_id", order, F.concat(names[F.col("role")], F.lit("："), text).alias("line"),
-        (F.lit(budget) if isinstance(budget, int) else budget).alias("budget"),
+        "session_id", order, F.concat(names[F.col("role")], F.lit("："), text).alias("line"), limit.alias("budget")
     )
-    newest = [F.col(order).desc()]
     shortest = min(len(n) for n in ROLE_NAMES.values()) + 3
-    if isinstance(budget, int):
-        spoken = top_k(spoken, ["session_id"], newest, budget // shortest + 2, "age")
-    else:
-        spoken = spoken.withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest)))
-        spoken = spoken.where(F.col("age") <= F.floor(F.col("budget") / shortest) + 2)
+    most = (budget if isinstance(budget, int) else largest) // shortest + 2
+    spoken = top_k(spoken, ["session_id"], [F.col(order).desc()], most, "age")
     before = Window.partitionBy("session_id").orderBy("age").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     room = spoken.withColumn("room", F.col("budget") - used)

@@ -21,8 +21,9 @@ from marlstone.operators.scoring import (
     id_type,
     no_hits,
     per_query_block,
+    slices,
 )
-from marlstone.session import materialize
+from marlstone.session import BROADCAST_ROWS, collect_if_small, materialize
 
 # The usual BM25 constants; both are parameters below.
 K1, B = 1.2, 0.75
@@ -44,6 +45,16 @@ def term_index(
     return with_terms(chunks, text_col, keys, vocabulary)
 
 
+def index_for(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Stored term index for several searches by the same queries (query_id, text).
+
+    Holds only terms the queries use while those fit a task, else all terms.
+    """
+    words = collect_if_small(query_terms(queries).select("token").distinct(), BROADCAST_ROWS)
+    vocabulary = None if words is None else frozenset(row.token for row in words)
+    return materialize(term_index(chunks, vocabulary=vocabulary), "index")
+
+
 def token_statistics(index: DataFrame) -> DataFrame:
     """(token, df, total): one pass gives document frequencies and collection totals.
 
@@ -138,7 +149,7 @@ def _score(entries: DataFrame, queries: DataFrame, weights: TokenWeights, ids, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = Keeper(ids, k, kind)
-        for batch in batches:
+        for batch in slices(batches, len(ids)):
             lists = batch.column("terms")
             flat = lists.flatten()
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()

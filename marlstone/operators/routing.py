@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.config import QuerySettings
 from marlstone.functions.text import model_codes, normalize_name, strip, unique_strings
+from marlstone.operators.ranking import top_k
 from marlstone.session import broadcast_if_small
 
 # Quoted titles and words that announce a document.
@@ -162,20 +163,22 @@ def code_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def deterministic_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """(query_id, doc_ids, soft): documents named in the text; codes count when no name does.
+    """(query_id, doc_id, soft): documents named in the text; codes count when no name does.
 
-    Soft when the names found stand for more logical documents than there are names.
+    Soft when the names found stand for more logical documents than there are names. One
+    row per document, so a name many documents share stays spread out.
     """
     by_name = contained_names(queries, registry_names(registry))
     named = by_name.groupBy("query_id").agg(
-        F.array_sort(F.collect_set("doc_id")).alias("doc_ids"),
-        (F.count_distinct("group_key") > F.count_distinct("name_key")).alias("soft"),
+        (F.count_distinct("group_key") > F.count_distinct("name_key")).alias("soft")
     )
     by_code = code_matches(queries.join(named, "query_id", "left_anti"), registry)
-    coded = by_code.groupBy("query_id").agg(
-        F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), (F.count_distinct("group_key") > 1).alias("soft")
-    )
-    return named.unionByName(coded)
+    coded = by_code.groupBy("query_id").agg((F.count_distinct("group_key") > 1).alias("soft"))
+    rows = [
+        found.select("query_id", "doc_id").distinct().join(flag, "query_id")
+        for found, flag in ((by_name, named), (by_code, coded))
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 def exact_matches(mentioned: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -206,50 +209,68 @@ def decide_route(
     mentioned: DataFrame,
     matches: DataFrame,
     candidates: DataFrame,
-    settings: QuerySettings = QuerySettings(),
 ) -> DataFrame:
-    """(query_id, mode, locked, reason, doc_ids): one route per query.
+    """(query_id, mode, locked, reason, basis): one route per query.
 
     In order: documents the conversation refers to; names or codes in the text (soft when
     ambiguous); no mention; ambiguous mentions; every mention unique; weak candidates,
-    which leave the search global and are kept for inspection.
+    which leave the search global. ``basis`` says which documents count; see
+    :func:`route_documents`.
     """
-    ref = referred.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("ref_ids"))
-    det = deterministic.select("query_id", F.col("doc_ids").alias("det_ids"), F.col("soft").alias("det_soft"))
+    yes = F.lit(True)
+    ref = referred.select("query_id").distinct().withColumn("has_ref", yes)
+    det = deterministic.groupBy("query_id").agg(F.max("soft").alias("det_soft"))
     wanted = mentioned.groupBy("query_id").agg(F.count_distinct("mention").alias("wanted"))
-    per_mention = matches.groupBy("query_id", "mention").agg(
-        F.count_distinct("group_key").alias("groups"), F.collect_set("doc_id").alias("ids")
-    )
+    per_mention = matches.groupBy("query_id", "mention").agg(F.count_distinct("group_key").alias("groups"))
     summary = per_mention.groupBy("query_id").agg(
-        F.count(F.when(F.col("groups") == 1, 1)).alias("unique"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("groups") > 1, F.col("ids")))))).alias("many_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("all_ids"),
-    )
-    order = Window.partitionBy("query_id").orderBy("pos", "doc_id")
-    weak = candidates.groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos")).withColumn("n", F.row_number().over(order))
-    weak = weak.where(F.col("n") <= settings.document_route_max_options).groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda w: w["doc_id"]).alias("weak_ids")
+        F.count_if(F.col("groups") == 1).alias("unique"), F.count_if(F.col("groups") > 1).alias("many")
     )
+    weak = candidates.select("query_id").distinct().withColumn("has_weak", yes)
     df = queries.select("query_id")
     for part in (ref, det, wanted, summary, weak):
         df = df.join(part, "query_id", "left")
     cases = [
-        (F.size("ref_ids") > 0, "hard", True, "conversation_document_reference", "ref_ids"),
-        ((F.size("det_ids") > 0) & F.col("det_soft"), "soft", True, "explicit_document_ambiguous", "det_ids"),
-        (F.size("det_ids") > 0, "hard", True, "explicit_document_match", "det_ids"),
-        (F.coalesce("wanted", F.lit(0)) == 0, "global", False, "no_document_mention", None),
-        (F.size("many_ids") > 0, "soft", True, "explicit_document_ambiguous", "many_ids"),
-        (F.col("unique") == F.col("wanted"), "hard", True, "explicit_document_match", "all_ids"),
-        (F.size("weak_ids") > 0, "global", False, "weak_document_candidate", "weak_ids"),
+        (F.col("has_ref"), "hard", True, "conversation_document_reference", "referred"),
+        (F.col("det_soft"), "soft", True, "explicit_document_ambiguous", "deterministic"),
+        (F.col("det_soft").isNotNull(), "hard", True, "explicit_document_match", "deterministic"),
+        (F.coalesce("wanted", F.lit(0)) == 0, "global", False, "no_document_mention", "none"),
+        (F.col("many") > 0, "soft", True, "explicit_document_ambiguous", "ambiguous"),
+        (F.col("unique") == F.col("wanted"), "hard", True, "explicit_document_match", "unique"),
+        (F.col("has_weak"), "global", False, "weak_document_candidate", "weak"),
     ]
-    none = F.array().cast("array<string>")
-    mode, locked, reason, ids = F, F, F, F
-    for i, (test, m, lock, why, column) in enumerate(cases):
-        test = F.coalesce(test, F.lit(False))
-        chosen = F.col(column) if column else none
-        mode, locked = mode.when(test, m), locked.when(test, lock)
-        reason, ids = reason.when(test, why), ids.when(test, chosen)
-    return df.select(
-        "query_id", mode.otherwise("global").alias("mode"), locked.otherwise(False).alias("locked"),
-        reason.otherwise("no_document_mention").alias("reason"), ids.otherwise(none).alias("doc_ids"),
+    outcome = F
+    for test, *values in cases:
+        mode, locked, reason, basis = (F.lit(v) for v in values)
+        route = F.struct(mode.alias("mode"), locked.alias("locked"), reason.alias("reason"), basis.alias("basis"))
+        outcome = outcome.when(F.coalesce(test, F.lit(False)), route)
+    default = F.struct(
+        F.lit("global").alias("mode"), F.lit(False).alias("locked"), F.lit("no_document_mention").alias("reason"), F.lit("none").alias("basis")
     )
+    return df.select("query_id", outcome.otherwise(default).alias("r")).select("query_id", "r.*")
+
+
+def route_documents(
+    routes: DataFrame,
+    referred: DataFrame,
+    deterministic: DataFrame,
+    matches: DataFrame,
+    candidates: DataFrame,
+    settings: QuerySettings = QuerySettings(),
+) -> DataFrame:
+    """(query_id, doc_id, mode): the documents behind each route, one row each.
+
+    Weak candidates, best first, are limited to the number of options shown.
+    """
+    groups = matches.groupBy("query_id", "mention").agg((F.count_distinct("group_key") > 1).alias("many"))
+    matched = matches.join(groups, ["query_id", "mention"])
+    firsts = candidates.groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"))
+    best = top_k(firsts, ["query_id"], [F.col("pos").asc(), F.col("doc_id").asc()], settings.document_route_max_options)
+    sources = {
+        "referred": referred, "deterministic": deterministic, "ambiguous": matched.where("many"), "unique": matched, "weak": best,
+    }
+    rows = None
+    for basis, found in sources.items():
+        part = routes.where(F.col("basis") == basis).join(found.select("query_id", "doc_id").distinct(), "query_id")
+        part = part.select("query_id", "doc_id", "mode")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,18 @@ DECIMALS = 6
 _MARGIN = 2 * 10.0**-DECIMALS
 
 
+# A task scores at most this many (chunk, query) pairs at a time.
+_CELLS = 4_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that rows x queries stays within a task's working set."""
+    rows = max(1, _CELLS // max(queries, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Keeper:
     """Selects the rows of each batch that may reach the best ``k`` of some query."""
 

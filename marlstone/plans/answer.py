@@ -34,31 +34,38 @@ class QueryModels:
     judge: Callable[[], Generator] | None = None
 
 
-def route(questions: DataFrame, corpus: Corpus, settings: QuerySettings = QuerySettings()) -> DataFrame:
-    """(query_id, mode, locked, reason, doc_ids) of questions (query_id, text[, session docs])."""
+def route(
+    questions: DataFrame, corpus: Corpus, referred: DataFrame | None = None, settings: QuerySettings = QuerySettings()
+) -> tuple[DataFrame, DataFrame]:
+    """Routes (query_id, mode, locked, reason) and their documents (query_id, doc_id, mode).
+
+    ``referred`` is (query_id, doc_id): documents the conversation refers to.
+    """
     registry = corpus.active_registry().withColumns(
         {"aliases": parse_list(F.col("aliases_json")), "model_codes": parse_list(F.col("model_codes_json"))}
     )
-    found = routing.deterministic_matches(questions, registry)
-    none = lambda schema: questions.sparkSession.createDataFrame([], schema)
     kind = questions.schema["query_id"].dataType.simpleString()
+    none = lambda schema: questions.sparkSession.createDataFrame([], schema)
+    referred = none(f"query_id {kind}, doc_id string") if referred is None else referred
+    named = materialize(routing.deterministic_matches(questions, registry), "named")
     mentioned = questions.select("query_id", F.explode(routing.mentions(F.col("text"))).alias("mention"), "text")
     names = registry.select(
         "doc_id", "canonical_title", "aliases", "model_codes", F.explode(F.concat(F.array("canonical_title"), "aliases")).alias("name")
     ).withColumn("key", routing.normalize_name(F.col("name")))
     candidates = mentioned.select("query_id", "mention", routing.normalize_name(F.col("mention")).alias("key")).join(names, "key").drop("key", "name")
-    matches = routing.exact_matches(mentioned, candidates)
+    matches = materialize(routing.exact_matches(mentioned, candidates), "matches")
     weak = none(f"query_id {kind}, doc_id string, pos int")
-    referred = none(f"query_id {kind}, doc_id string")
-    return routing.decide_route(questions, referred, found, mentioned, matches, weak, settings)
+    routes = routing.decide_route(questions, referred, named, mentioned, matches, weak)
+    routes = materialize(routes, "routes")
+    return routes, materialize(routing.route_documents(routes, referred, named, matches, weak, settings), "scope")
 
 
 def branches(
-    questions: DataFrame, routes: DataFrame, corpus: Corpus, models: QueryModels, settings: QuerySettings
+    questions: DataFrame, routes: DataFrame, documents: DataFrame, corpus: Corpus, models: QueryModels, settings: QuerySettings
 ) -> DataFrame:
     """(query_id, branch, chunk_id, rank) of every enabled search, each within its scope."""
     asked = questions.select("query_id", "text").join(routes.select("query_id", "locked"), "query_id")
-    limits = routes.select("query_id", "mode", F.explode("doc_ids").alias("doc_id")).where(F.col("mode") != "global")
+    limits = documents.where(F.col("mode") != "global")
     stored = corpus.active_vectors()
     vectors = materialize(embed(asked, "text", ["query_id", "locked"], models.embedder), "asked")
     found = [
@@ -92,8 +99,12 @@ def answer(
 
     ``questions`` is (query_id, text[, session_id]); ``messages`` the chat history.
     """
-    routes = materialize(route(questions, corpus, settings), "routes")
-    hits = materialize(branches(questions, routes, corpus, models, settings), "hits")
+    referred = None
+    if messages is not None and "session_id" in questions.columns and "selected_documents" in messages.columns:
+        pointed = history.referred_documents(questions, messages)
+        referred = pointed.select("query_id", F.explode("documents").alias("doc_id"))
+    routes, limits = route(questions, corpus, referred, settings)
+    hits = materialize(branches(questions, routes, limits, corpus, models, settings), "hits")
     chunks = corpus.active_chunks().withColumnRenamed("id", "chunk_id")
     fused = fusion.fuse_branches(hits, settings)
     asked = questions.select("query_id", F.col("text").alias("query_text"), F.array("text").alias("retrieval_queries"))

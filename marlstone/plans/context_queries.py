@@ -187,7 +187,7 @@ def alias_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deterministic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routing.deterministic_matches(questions(spark, sf_dir), _registry(spark, sf_dir))
-    return found.select("query_id", F.size("doc_ids").alias("n_docs"), F.array_join("doc_ids", ",").alias("doc_ids"), "soft")
+    return found.select("query_id", "doc_id", "soft")
 
 
 def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,9 +359,9 @@ victims as (select query_id, chunk_id, bge_rank place, row_number() over (partit
 select query_id, 'pair_' || n pair_id, l.chunk_id candidate_chunk_id, l.rrf_rank candidate_rrf_rank, v.chunk_id victim_chunk_id, v.place victim_place
 from losers l join victims v using (query_id, n) where n <= 2""",
     "alias_containment": f"with {_REGISTRY} select query_id, name_key, doc_id, group_key from strong",
-    "deterministic_route": f"""with {_REGISTRY}
-select query_id, count(distinct doc_id)::int n_docs, string_agg(distinct doc_id, ',' order by doc_id) doc_ids,
-  count(distinct group_key) > count(distinct name_key) soft from strong group by query_id""",
+    "deterministic_route": f"""with {_REGISTRY},
+f as (select query_id, count(distinct group_key) > count(distinct name_key) soft from strong group by query_id)
+select distinct query_id, doc_id, soft from strong join f using (query_id)""",
     "logical_groups": f"""with {_REGISTRY}
 select case when {_name('title')} <> '' then {_name('title')} else doc_id end group_key, count(*) documents, min(doc_id) first_doc from reg group by 1""",
     "router_class": """select conv_id, turn, case when regexp_matches(text, '(?i)(?:que|that).*(?:est|then)') then 'multi_hop'

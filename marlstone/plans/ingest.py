@@ -99,8 +99,8 @@ def ingest(
 ) -> DataFrame:
     """Build, store and publish documents; returns their profiles.
 
-    Everything is keyed by content, so ingesting the same bytes again rewrites the same
-    rows. The publish entry comes last: until then readers see the earlier versions.
+    Chunks, vectors and terms are keyed by content, so ingesting the same bytes again adds
+    nothing. The publish entry comes last: until then readers see the earlier versions.
     """
     chunks, profiles = build_chunks(documents, models, settings)
     chunks = vectors.require_rows(materialize(chunks, "chunks"))
@@ -108,13 +108,13 @@ def ingest(
     fresh = materialize(vectors.embed_missing(chunks, earlier, "id", models.embedder, settings), "vectors")
     checked = vectors.valid_rows(fresh.join(chunks.select("id", "content"), "id"), models.dim).drop("content")
     if not fresh.isEmpty():
-        corpus.vectors.write(checked)
-    corpus.terms.write(term_index(chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.col("retrieval_text").alias("content"))))
-    corpus.chunks.write(chunks)
+        corpus.vectors.add(checked)
+    corpus.terms.add(term_index(chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.col("retrieval_text").alias("content"))))
+    corpus.chunks.add(chunks)
     corpus.registry.write(registry_rows(profiles.drop("context", "title_candidates", "evidence")).dropDuplicates(["doc_id"]))
     moment = F.lit(published_at).cast("timestamp") if published_at else F.current_timestamp()
     entries = profiles.groupBy("logical_document_id").agg(
         F.max_by(F.struct("version_id", "doc_id", "source_hash", "content_hash"), "doc_key").alias("v")
     ).select("logical_document_id", "v.*", moment.alias("published_at"))
-    corpus.publishes.write(materialize(entries.withColumn("publish_id", F.concat_ws("@", "version_id", "published_at")), "publishes"))
+    corpus.publishes.add(materialize(entries.withColumn("publish_id", F.concat_ws("@", "version_id", "published_at")), "publishes"))
     return profiles

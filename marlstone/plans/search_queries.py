@@ -9,7 +9,7 @@ from marlstone.config import QuerySettings
 from marlstone.models import embed
 from marlstone.operators import fusion, hybrid, scope
 from marlstone.operators.dense import dense_top_k
-from marlstone.operators.lexical import bm25_top_k, sparse_top_k, term_index
+from marlstone.operators.lexical import bm25_top_k, index_for, sparse_top_k
 from marlstone.plans.tables import chunks, questions, scope_rows, table
 from marlstone.session import materialize
 
@@ -109,7 +109,7 @@ def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25_scoped(spark: SparkSession, sf_dir: str):
     """A branch search over one stored index, shared by all scopes."""
-    index = materialize(term_index(chunks(spark, sf_dir)), "index")
+    index = index_for(chunks(spark, sf_dir), questions(spark, sf_dir))
     return lambda asked, limited: bm25_top_k(None, asked, K, index=index, scope=limited)
 
 

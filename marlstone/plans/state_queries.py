@@ -89,7 +89,7 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sharing a first line, each with a signature over its lines."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     lines = F.split("text", "\n")
     logical = ids.logical_id(lines[0], F.lit(""))["logical_document_id"]
     documents = docs.select("doc_id", logical.alias("logical_document_id"))
@@ -199,7 +199,7 @@ def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as judged answers: long lines are covered facts, lines with a comma claims."""
     lines = F.split("text", "\n")
-    judged = spread(table(spark, sf_dir, "documents")).select(
+    judged = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.transform(lines, lambda t: F.struct((F.length(t) > 80).alias("covered"))).alias("reference_facts"),
         F.filter(lines, lambda t: t.contains(",")).alias("contradictions"), (F.col("lang") == "en").alias("answerable"),
         (F.col("n_chars") > 500).alias("refusal_correct"),

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as chunks; their source is the document they belong to."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("text").alias("content"), "lang"
     )
@@ -30,7 +30,7 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Up to 20 characters is level 1, up to 40 level 2, up to 60 level 3.
     """
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     text = F.col("text")
     for hashes, low, high in (("###", 41, 60), ("##", 21, 40), ("#", 1, 20)):
         text = F.regexp_replace(text, rf"(?m)^([^\n#][^\n]{{{low - 1},{high - 1}}})$", f"{hashes} $1")
@@ -41,7 +41,7 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as Markdown: headings and paragraphs become lines, other markup goes."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     text = F.regexp_replace("html", r"(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", "")
     text = F.regexp_replace(text, r"<h1[^>]*>", "\n# ")
     text = F.regexp_replace(text, r"<(p|li|div|br|/h1)[^>]*>", "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import formula, ids
 from marlstone.functions.text import model_codes, normalize_name
 from marlstone.operators import identity
-from marlstone.operators.chunks import chunk_documents
+from marlstone.operators.chunks import chunk_documents, merge_short
 from marlstone.operators.formulas import work_list
 from marlstone.operators.sections import heading_sections
 from marlstone.plans.tables import outlines, page_markdown, table
@@ -16,7 +16,7 @@ from marlstone.session import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,18 @@ def section_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_key", "sec_no", "section_id", (F.row_number().over(same) - 1).alias("section_chunk_index"))
 
 
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document merged while short, as pieces of one section."""
+    piece = lambda t: F.struct(F.lit("line").alias("title"), t.alias("body"))
+    sections = _docs(spark, sf_dir).select(
+        F.col("doc_id").alias("doc_key"), F.lit(0).alias("sec_no"), F.col("source").alias("parent_title"), F.col("lang").alias("section_title"),
+        F.col("source").alias("file_title"), F.col("lang").alias("section_path"), F.col("source").alias("section_id"),
+        F.lit("").alias("parent_section_id"), F.lit("").alias("parent_summary"), F.transform(F.split("text", "\n"), piece).alias("pieces"),
+    )
+    merged = merge_short(sections)
+    return merged.select("doc_key", "run_pos", "title", F.length("body").alias("body_length"), ids.sha256_hex(F.col("body")).alias("body_sha"))
+
+
 def _flat_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "doc_key", "chunk_index", "section_chunk_index", "section_id", "title", "has_formula",
@@ -129,6 +141,7 @@ QUERIES = {
     "heading_sections": sections_of_outlines,
     "page_sections": sections_of_pages,
     "section_chunk_index": section_chunk_index,
+    "merge_short": merged_lines,
     "chunk_documents": chunks_of_outlines,
     "chunk_pages": chunks_of_pages,
     "formula_extract": formulas_of_documents,
@@ -193,6 +206,19 @@ final as (select doc_key, sec_no, title, parent_title, section_path, substr(sha2
   length(body) body_length, sha256(body) body_sha from sections)"""
 
 ORACLES = {
+    "merge_short": f"""with recursive
+l as (select doc_id, source, lang, unnest(string_split(text, chr(10))) t, unnest(range(len(string_split(text, chr(10))))) i from documents),
+f as (
+  select doc_id, source, lang, 0::bigint i, 0 pos, 'line' title, t body, false shut, null::varchar done_title, null::varchar done_body from l where i = 0
+  union all
+  select f.doc_id, f.source, f.lang, l.i, case when m.ok then f.pos else f.pos + 1 end, case when m.ok then f.lang else 'line' end,
+    case when m.ok then m.r || chr(10) || chr(10) || l.t else l.t end, not m.ok, f.title, f.body
+  from f join l on l.doc_id = f.doc_id and l.i = f.i + 1,
+  lateral (select regexp_replace(f.body, '[{_WS}]+$', '') r) a,
+  lateral (select a.r r, length(f.title) + 2 + length(f.body) < 500 and length(f.source) + 2 + length(a.r) + 2 + length(l.t) <= 2000 ok) m),
+ended as (select doc_id doc_key, pos - 1 run_pos, done_title title, done_body body from f where shut
+  union all select doc_id, arg_max(pos, i), arg_max(title, i), arg_max(body, i) from f group by doc_id)
+select doc_key, run_pos, title, length(body) body_length, sha256(body) body_sha from ended""",
     "name_normalize": f"select doc_id, length(k) key_length, sha256(k) key_sha from (select doc_id, {_name('text')} k from documents)",
     "model_codes": """
 with runs as (select doc_id, r, unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+')) run, unnest(range(len(regexp_extract_all(text, '[A-Za-z0-9_-]+')))) rn

@@ -18,27 +18,33 @@ BROADCAST_ROWS = 200_000
 BLOCK_ROWS = 4_096
 
 
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Whole texts travel in Arrow batches, so bound them by rows and by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+}
+
+
 def build_session(app: str = "marlstone", master: str | None = None, **extra: str) -> SparkSession:
     """A session tuned for this workload; a cluster passes its own master and sizes."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Whole texts travel in Arrow batches, so bound them by rows and by bytes.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
-        **extra,
-    }
-    for key, value in settings.items():
+    for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply the settings to a session built elsewhere; all of them can change at runtime."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the cluster's, else a local one for tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -56,13 +62,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row Python work on an input with fewer splits than cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for per-row work on an input with fewer splits than cores.
 
-    Such an input is small (below cores x split size); larger ones are left as they are read.
+    Such an input is small (below cores x split size); larger ones are left as they are
+    read. Rows move by a unique key, so a lost task is recomputed to the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

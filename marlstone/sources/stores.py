@@ -21,45 +21,60 @@ REGISTRY_FIELDS = (
 
 
 class KeyedTable:
-    """A table replaced by key: each write makes a new snapshot, then moves the pointer.
+    """A table with unique keys, kept as immutable parts behind a pointer.
 
-    Readers follow the pointer, so they see the old or the new snapshot, and a failed write
-    leaves the old one in place. Rows are laid out by key.
+    ``add`` appends rows with new keys as one more part and reads only the key column of
+    what is there; ``write`` also replaces rows, as a new single part. The pointer moves
+    last, so readers see the old or the new state and a failed write leaves the old one.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path, key
 
-    def _pointer(self) -> str:
-        return os.path.join(self.path, "_current")
+    def _state(self) -> tuple[int, list[str]]:
+        """Version and parts of the newest pointer entry; version -1 when there is none."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, "_current"))
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+            return -1, []
+        newest = self.spark.read.text(str(target)).agg(F.max("value").alias("v")).head().v
+        version, parts = newest.split(" ")
+        return int(version), parts.split(",")
 
     def exists(self) -> bool:
-        return self._filesystem(self._pointer())[0].exists(self._filesystem(self._pointer())[1])
-
-    def _filesystem(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+        return self._state()[0] >= 0
 
     def read(self) -> DataFrame:
-        snapshot = self.spark.read.text(self._pointer()).orderBy(F.col("value").desc()).head().value.split(" ")[1]
-        return self.spark.read.parquet(os.path.join(self.path, snapshot))
+        parts = self._state()[1]
+        return self.spark.read.option("mergeSchema", "true").parquet(*[os.path.join(self.path, p) for p in parts])
 
-    def write(self, rows: DataFrame) -> int:
-        """Upsert ``rows`` and return how many were written; repeated keys are an error."""
+    def _store(self, rows: DataFrame, version: int, kept: list[str]) -> None:
+        part = f"part-{version:08d}-{uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").parquet(os.path.join(self.path, part))
+        entry = f"{version:08d} {','.join([*kept, part])}"
+        pointer = self.spark.createDataFrame([(entry,)], "value string").coalesce(1)
+        pointer.write.mode("append").text(os.path.join(self.path, "_current"))
+
+    def _checked(self, rows: DataFrame) -> int:
         counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(self.key).alias("keys")).head()
         if counted.n != counted.keys:
             raise IngestError(f"{counted.n - counted.keys} rows repeat a {self.key}", "write")
-        version = 0
-        merged = rows
-        if self.exists():
-            version = int(self.spark.read.text(self._pointer()).agg(F.max("value").alias("v")).head().v.split(" ")[0]) + 1
-            merged = upsert(self.read(), rows, self.key)
-        snapshot = f"snapshot-{version:08d}-{uuid.uuid4().hex}"
-        merged.write.mode("errorifexists").parquet(os.path.join(self.path, snapshot))
-        pointer = self.spark.createDataFrame([(f"{version:08d} {snapshot}",)], "value string").coalesce(1)
-        pointer.write.mode("append").text(self._pointer())
         return counted.n
 
+    def add(self, rows: DataFrame) -> None:
+        """Append rows whose key is new; for rows that their key fully determines."""
+        self._checked(rows)
+        version, parts = self._state()
+        fresh = rows if version < 0 else rows.join(self.read().select(self.key), self.key, "left_anti")
+        if version < 0 or not fresh.isEmpty():
+            self._store(fresh, version + 1, parts)
+
+    def write(self, rows: DataFrame) -> int:
+        """Insert or replace rows by key; returns how many were given."""
+        count = self._checked(rows)
+        version, _parts = self._state()
+        self._store(rows if version < 0 else upsert(self.read(), rows, self.key), version + 1, [])
+        return count
+
 
 def registry_rows(documents: DataFrame) -> DataFrame:
     """Registry records: list fields as JSON text, as the stored schema has them."""

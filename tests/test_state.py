@@ -124,6 +124,8 @@ def test_keyed_table_upserts_and_refuses_repeated_keys(spark, tmp_path):
     with pytest.raises(IngestError):
         store.write(spark.createDataFrame([(4, "x"), (4, "y")], "id int, v string"))
     assert store.read().count() == 3
+    store.add(spark.createDataFrame([(3, "ignored"), (4, "d")], "id int, v string"))
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
 
 
 def test_files_are_hashed_typed_and_rejected(spark, tmp_path):
@@ -210,24 +212,24 @@ def test_formula_descriptions_reach_every_occurrence(spark):
 
 
 def test_route_decisions(spark):
-    queries = spark.createDataFrame([(i,) for i in range(7)], "query_id int")
     make = lambda rows, schema: spark.createDataFrame(rows, schema)
-    routes = {
-        r.query_id: r
-        for r in routing.decide_route(
-            queries,
-            make([(0, "d0")], "query_id int, doc_id string"),
-            make([(0, ["x"], False), (1, ["d1", "d2"], True), (2, ["d1"], False)], "query_id int, doc_ids array<string>, soft boolean"),
-            make([(4, "m"), (5, "m"), (6, "m")], "query_id int, mention string"),
-            make([(4, "m", "d1", "g1"), (4, "m", "d2", "g2"), (5, "m", "d3", "g3")], "query_id int, mention string, doc_id string, group_key string"),
-            make([(6, "d9", 1), (6, "d8", 0)], "query_id int, doc_id string, pos int"),
-        ).collect()
-    }
-    assert [(routes[i].mode, routes[i].locked, routes[i].reason, routes[i].doc_ids) for i in range(7)] == [
-        ("hard", True, "conversation_document_reference", ["d0"]), ("soft", True, "explicit_document_ambiguous", ["d1", "d2"]),
-        ("hard", True, "explicit_document_match", ["d1"]), ("global", False, "no_document_mention", []),
-        ("soft", True, "explicit_document_ambiguous", ["d1", "d2"]), ("hard", True, "explicit_document_match", ["d3"]),
-        ("global", False, "weak_document_candidate", ["d8", "d9"]),
+    queries = make([(i,) for i in range(7)], "query_id int")
+    referred = make([(0, "d0")], "query_id int, doc_id string")
+    named = make([(0, "x", False), (1, "d1", True), (1, "d2", True), (2, "d1", False)], "query_id int, doc_id string, soft boolean")
+    mentioned = make([(4, "m"), (5, "m"), (6, "m")], "query_id int, mention string")
+    matches = make([(4, "m", "d1", "g1"), (4, "m", "d2", "g2"), (5, "m", "d3", "g3")], "query_id int, mention string, doc_id string, group_key string")
+    weak = make([(6, "d9", 1), (6, "d8", 0), (6, "d7", 3), (6, "d6", 4)], "query_id int, doc_id string, pos int")
+    decided = routing.decide_route(queries, referred, named, mentioned, matches, weak)
+    routes = {r.query_id: (r.mode, r.locked, r.reason) for r in decided.collect()}
+    assert [routes[i] for i in range(7)] == [
+        ("hard", True, "conversation_document_reference"), ("soft", True, "explicit_document_ambiguous"),
+        ("hard", True, "explicit_document_match"), ("global", False, "no_document_mention"),
+        ("soft", True, "explicit_document_ambiguous"), ("hard", True, "explicit_document_match"),
+        ("global", False, "weak_document_candidate"),
+    ]
+    documents = routing.route_documents(decided, referred, named, matches, weak).collect()
+    assert sorted((r.query_id, r.doc_id) for r in documents) == [
+        (0, "d0"), (1, "d1"), (1, "d2"), (2, "d1"), (4, "d1"), (4, "d2"), (5, "d3"), (6, "d7"), (6, "d8"), (6, "d9"),
     ]
 
 
