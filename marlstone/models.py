@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,18 +70,30 @@ class HashedEmbedder:
         self.dim = dim
 
     def encode(self, texts: Sequence[str]):
-        dense, sparse = [], []
-        for text in texts:
-            counts: Counter = Counter()
-            for token, tf in Counter(tokenize(text)).items():
-                counts[token_id(token)] += tf
-            vector = [0.0] * self.dim
-            for tid, tf in counts.items():
-                sign = 1.0 if (tid // self.dim) % 2 == 0 else -1.0
-                vector[tid % self.dim] += sign * tf
-            dense.append(vector)
-            sparse.append({tid: 1.0 + math.log(tf) for tid, tf in counts.items()})
-        return dense, sparse
+        dense, sparse = self.encode_arrow(texts)
+        return dense.to_pylist(), [dict(row) for row in sparse.to_pylist()]
+
+    def encode_arrow(self, texts: Sequence[str]) -> tuple[pa.ListArray, pa.MapArray]:
+        """Both vectors of a whole batch as Arrow columns."""
+        counted = [Counter(tokenize(text)) for text in texts]
+        tokens = pa.array([t for c in counted for t in c], pa.string()).dictionary_encode()
+        ids = np.array([token_id(t) for t in tokens.dictionary.to_pylist()], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(c) for c in counted])
+        tf = np.fromiter((n for c in counted for n in c.values()), dtype=np.float64, count=len(row))
+        # Tokens of one text may share an id: add their counts.
+        cell, at = np.unique((row << 28) | ids[tokens.indices.to_numpy()], return_inverse=True)
+        tf = np.bincount(at, weights=tf, minlength=len(cell))
+        row, token = cell >> 28, cell & ((1 << 28) - 1)
+        sign = np.where((token // self.dim) % 2 == 0, 1.0, -1.0)
+        size = len(texts) * self.dim
+        dense = np.bincount(row * self.dim + token % self.dim, weights=sign * tf, minlength=size)
+        offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+        return (
+            pa.ListArray.from_arrays(pa.array(np.arange(0, size + 1, self.dim), pa.int32()), pa.array(dense)),
+            pa.MapArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(token, pa.int32()), pa.array(1.0 + np.log(tf))
+            ),
+        )
 
 
 @lru_cache(maxsize=256)
@@ -133,7 +146,10 @@ def embed(
     factory: Callable[[], Embedder] = HashedEmbedder,
     batch_size: int = 8,
 ) -> DataFrame:
-    """``keys`` plus ``dense`` and ``sparse`` vectors, one model per task, small batches."""
+    """``keys`` plus ``dense`` and ``sparse`` vectors, one model per task, small batches.
+
+    A model with ``encode_arrow`` takes whole Arrow batches instead.
+    """
     source = df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     schema = T.StructType(
         [source.schema[k] for k in keys]
@@ -147,18 +163,17 @@ def embed(
         model = factory()
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
-            dense, sparse = [], []
-            for start in range(0, len(texts), batch_size):
-                d, s = model.encode(texts[start : start + batch_size])
-                dense.extend(d)
-                sparse.extend(s)
+            if hasattr(model, "encode_arrow"):
+                vectors = model.encode_arrow(texts)
+            else:
+                dense, sparse = [], []
+                for start in range(0, len(texts), batch_size):
+                    d, s = model.encode(texts[start : start + batch_size])
+                    dense.extend(d)
+                    sparse.extend(s)
+                vectors = pa.array(dense, pa.list_(pa.float64())), _map_array(sparse)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keys))]
-                + [
-                    pa.array(dense, pa.list_(pa.float64())),
-                    _map_array(sparse),
-                ],
-                names=[*keys, "dense", "sparse"],
+                [batch.column(i) for i in range(len(keys))] + list(vectors), names=[*keys, "dense", "sparse"]
             )
 
     return source.mapInArrow(run, schema)

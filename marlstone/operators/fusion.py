@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.config import QuerySettings
+from marlstone.session import materialize
 
 # Scores are compared after this rounding so the order of summation cannot change a rank.
 SCORE_DECIMALS = 12
@@ -78,13 +79,17 @@ def merge_lists(
     list keeps that many entries no earlier list has kept.
     """
     by = list(by)
+    guarded = limit > 0 and min_per_list > 0
+    if guarded:
+        # Ranked hits are few and read twice below; the searches behind them are not repeated.
+        hits = materialize(hits, "hits")
     merged = hits.groupBy(*by, "chunk_id").agg(
         _reciprocal(F.col("weight"), F.col("rank"), rrf_k).alias("branch_fusion_score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("list_name", "rank")))).alias("branch_ranks"),
         F.min(F.struct("list_order", "rank")).alias("first_seen"),
     )
     order = [F.col("branch_fusion_score").desc(), F.col("first_seen").asc(), F.col("chunk_id").asc()]
-    if limit > 0 and min_per_list > 0:
+    if guarded:
         guards = _list_leaders(hits, by, min_per_list)
         merged = _limit_protected(merged.join(guards, [*by, "chunk_id"], "left"), by, order, limit)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.config import QuerySettings
 from marlstone.functions.text import strip
 from marlstone.operators.fusion import merge_lists
+from marlstone.session import materialize
 
 # A branch search: (queries, scope or None) -> (query_id, chunk_id, score, rank).
 Search = Callable[[DataFrame, DataFrame | None], DataFrame]
@@ -35,7 +36,7 @@ def search_hard(
     hard = clean_scope(hard)
     locked = F.lit(False) if locked is None else locked
     scoped_queries = queries.join(hard.select("query_id").distinct(), "query_id", "left_semi")
-    scoped = search(scoped_queries, hard)
+    scoped = materialize(search(scoped_queries, hard), "scoped")
     answered = scoped.select("query_id").distinct()
     empty = scoped_queries.where(~locked).join(answered, "query_id", "left_anti")
     fallback = search(empty, None)
