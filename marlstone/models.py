@@ -36,6 +36,10 @@ class Generator(Protocol):
     def generate(self, prompts: Sequence[str]) -> Sequence[str | None]: ...
 
 
+class ImageReader(Protocol):
+    def describe(self, images: Sequence[bytes]) -> Sequence[str | None]: ...
+
+
 @dataclass(frozen=True)
 class GenerationOptions:
     """How a prompt is answered: role, JSON mode, and thinking none / light / deep."""
@@ -248,3 +252,34 @@ def generate(
             )
 
     return df.mapInArrow(run, schema)
+
+
+def describe_images(
+    df: DataFrame,
+    image_col: str,
+    factory: Callable[[], ImageReader],
+    out: str = "description",
+    fallback: str | None = None,
+    limit: int = 4000,
+    batch_size: int = 8,
+) -> DataFrame:
+    """Add a text for each image, cut to ``limit``; a failing batch gives the fallback."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
+    names = df.columns
+    at = names.index(image_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for batch in batches:
+            images = batch.column(at).to_pylist()
+            texts: list[str | None] = []
+            for start in range(0, len(images), batch_size):
+                part = images[start : start + batch_size]
+                try:
+                    got = [(text or "").strip()[:limit] or fallback for text in model.describe(part)]
+                    texts.extend(got if len(got) == len(part) else [fallback] * len(part))
+                except Exception:
+                    texts.extend([fallback] * len(part))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
+
+    return df.mapInArrow(run, schema)

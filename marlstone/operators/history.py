@@ -27,6 +27,20 @@ def recent_messages(messages: DataFrame, limit: int = 10, order: str = "ts") ->
     return top_k(messages, ["session_id"], [F.col(order).desc()], limit)
 
 
+def exchange_rows(answers: DataFrame) -> DataFrame:
+    """Messages to append for answered questions: the user's, then the assistant's.
+
+    ``answers`` is (session_id, question, answer, asked_at, answered_at[, selected_documents]).
+    """
+    have = "selected_documents" in answers.columns
+    documents = F.col("selected_documents") if have else F.array().cast("array<string>")
+    row = lambda role, text, ts: F.struct(
+        F.lit(role).alias("role"), F.col(text).alias("text"), F.col(ts).alias("ts"), documents.alias("selected_documents")
+    )
+    both = F.array(row("user", "question", "asked_at"), row("assistant", "answer", "answered_at"))
+    return answers.select("session_id", F.inline(both)).where(F.length(F.coalesce("text", F.lit(""))) > 0)
+
+
 def session_list(sessions: DataFrame, owner_id: str, limit: int = 50) -> DataFrame:
     """An owner's sessions, most recently used first; the limit is kept within 1..200."""
     return (

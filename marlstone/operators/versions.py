@@ -174,7 +174,7 @@ def duplicate_groups(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
     The signature is order-free: a digest of the sorted digests of (title, content).
     """
-    digest = ids.sha256_hex(F.to_json(F.array(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
+    digest = ids.sha256_hex(F.concat(F.coalesce("title", F.lit("")), F.lit(ids.UNIT), F.coalesce("content", F.lit(""))))
     signed = chunks.withColumn("d", digest).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), ids.sha256_hex(F.array_join(F.array_sort(F.collect_list("d")), ",")).alias("chunk_signature")
     )

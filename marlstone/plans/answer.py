@@ -97,8 +97,15 @@ def answer(
 ) -> DataFrame:
     """(query_id, answer, context, context_chunk_ids, route_mode, route_reason).
 
-    ``questions`` is (query_id, text[, session_id]); ``messages`` the chat history.
+    ``questions`` is (query_id, text[, session_id][, answer]); ``messages`` the chat history.
+    A question that already has an answer, such as a request for clarification, keeps it
+    and is not searched.
     """
+    if "answer" in questions.columns:
+        settled = F.length(F.coalesce("answer", F.lit(""))) > 0
+        kept = questions.where(settled).select("query_id", "answer", F.lit("none").alias("route_mode"), F.lit("answered").alias("route_reason"))
+        fresh = answer(questions.where(~settled).drop("answer"), corpus, models, settings, messages)
+        return fresh.unionByName(kept, allowMissingColumns=True)
     referred = None
     if messages is not None and "session_id" in questions.columns and "selected_documents" in messages.columns:
         pointed = history.referred_documents(questions, messages)

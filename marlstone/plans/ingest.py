@@ -16,6 +16,7 @@ from marlstone.models import Embedder, Generator, HashedEmbedder, generate
 from marlstone.operators import formulas, identity, vectors, versions
 from marlstone.operators.chunks import chunk_documents
 from marlstone.operators.lexical import term_index
+from marlstone.plans.steps import StepLog
 from marlstone.session import materialize
 from marlstone.sources.stores import KeyedTable, registry_rows
 
@@ -96,25 +97,35 @@ def ingest(
     models: Models = Models(),
     settings: IngestSettings = IngestSettings(),
     published_at: str | None = None,
+    log: StepLog | None = None,
 ) -> DataFrame:
     """Build, store and publish documents; returns their profiles.
 
     Chunks, vectors and terms are keyed by content, so ingesting the same bytes again adds
     nothing. The publish entry comes last: until then readers see the earlier versions.
     """
-    chunks, profiles = build_chunks(documents, models, settings)
-    chunks = vectors.require_rows(materialize(chunks, "chunks"))
-    earlier = corpus.vectors.read() if corpus.vectors.exists() else None
-    fresh = materialize(vectors.embed_missing(chunks, earlier, "id", models.embedder, settings), "vectors")
-    checked = vectors.valid_rows(fresh.join(chunks.select("id", "content"), "id"), models.dim).drop("content")
-    if not fresh.isEmpty():
-        corpus.vectors.add(checked)
-    corpus.terms.add(term_index(chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.col("retrieval_text").alias("content"))))
-    corpus.chunks.add(chunks)
-    corpus.registry.write(registry_rows(profiles.drop("context", "title_candidates", "evidence")).dropDuplicates(["doc_id"]))
-    moment = F.lit(published_at).cast("timestamp") if published_at else F.current_timestamp()
-    entries = profiles.groupBy("logical_document_id").agg(
-        F.max_by(F.struct("version_id", "doc_id", "source_hash", "content_hash"), "doc_key").alias("v")
-    ).select("logical_document_id", "v.*", moment.alias("published_at"))
-    corpus.publishes.add(materialize(entries.withColumn("publish_id", F.concat_ws("@", "version_id", "published_at")), "publishes"))
+    log = log or StepLog("ingest")
+    with log.step("chunks"):
+        chunks, profiles = build_chunks(documents, models, settings)
+        chunks = vectors.require_rows(materialize(chunks, "chunks"))
+    with log.step("vectors"):
+        earlier = corpus.vectors.read() if corpus.vectors.exists() else None
+        fresh = materialize(vectors.embed_missing(chunks, earlier, "id", models.embedder, settings), "vectors")
+        if not fresh.isEmpty():
+            checked = vectors.valid_rows(fresh.join(chunks.select("id", "content"), "id"), models.dim)
+            corpus.vectors.add(checked.drop("content"))
+    with log.step("store"):
+        texts = chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.col("retrieval_text").alias("content"))
+        corpus.terms.add(term_index(texts))
+        corpus.chunks.add(chunks)
+        known = registry_rows(profiles.drop("context", "title_candidates", "evidence"))
+        corpus.registry.write(known.dropDuplicates(["doc_id"]))
+    with log.step("publish"):
+        moment = F.lit(published_at).cast("timestamp") if published_at else F.current_timestamp()
+        newest = F.max_by(F.struct("version_id", "doc_id", "source_hash", "content_hash"), "doc_key")
+        entries = profiles.groupBy("logical_document_id").agg(newest.alias("v")).select(
+            "logical_document_id", "v.*", moment.alias("published_at")
+        )
+        keyed = entries.withColumn("publish_id", F.concat_ws("@", "logical_document_id", "version_id", "published_at"))
+        corpus.publishes.add(materialize(keyed, "publishes"))
     return profiles

@@ -91,8 +91,8 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sharing a first line, each with a signature over its lines."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     lines = F.split("text", "\n")
-    logical = ids.logical_id(lines[0], F.lit(""))["logical_document_id"]
-    documents = docs.select("doc_id", logical.alias("logical_document_id"))
+    logical = ids.logical_id(F.col("first"), F.lit(""))["logical_document_id"]
+    documents = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("first")).select("doc_id", logical.alias("logical_document_id"))
     pieces = docs.select("doc_id", F.col("lang").alias("title"), F.explode(lines).alias("content"))
     found = versions.duplicate_groups(documents, pieces)
     return found.groupBy("logical_document_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.config import IngestSettings, QuerySettings
 from marlstone.errors import ClaimLostError, IngestError
+from marlstone.models import describe_images
 from marlstone.operators import conflict, evaluate, formulas, history, identity, routing, vectors, versions
 from marlstone.sources import files, stores
 from marlstone.streaming import claims, progress
@@ -184,6 +185,21 @@ def test_history_addresses_and_references(spark):
     assert [(r.query_id, r.documents) for r in history.referred_documents(asked, messages).collect()] == [(1, ["d2"])]
 
 
+class Reader:
+    def describe(self, images):
+        if b"bad" in images:
+            raise RuntimeError("reader is down")
+        return ["x" * 9 for _ in images]
+
+
+def test_images_are_described_and_exchanges_stored(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad"))], "id int, image binary")
+    got = {r.id: r.description for r in describe_images(df, "image", Reader, fallback="none", limit=4, batch_size=1).collect()}
+    assert got == {1: "xxxx", 2: "none"}
+    answers = spark.createDataFrame([("s", "q", "a", 1, 2), ("s", "q2", None, 3, 4)], "session_id string, question string, answer string, asked_at int, answered_at int")
+    assert [(r.role, r.text) for r in history.exchange_rows(answers).orderBy("ts").collect()] == [("user", "q"), ("assistant", "a"), ("user", "q2")]
+
+
 def test_identity_needs_support_in_the_text(spark):
     docs = spark.createDataFrame(
         [(1, "RS-12 file", ["RS-12 file", "RS-12 Manual"], "The RS-12 Manual covers voltage", ["RS-12 Manual"], ["rs12"], "RS-12 Manual", "first_heading")],
