@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.config import QuerySettings
-from marlstone.functions.text import SPACE, strip, unique_strings
+from marlstone.functions.text import strip, unique_strings
 from marlstone.operators.formulas import json_object
 
 # Search tools in order, intents, next actions, stop reasons and wording.

@@ -36,16 +36,16 @@ def conflict_pairs(selected: DataFrame, ranked: DataFrame, settings: QuerySettin
     """(query_id, pair_id, candidate_*, victim_*): best losers against weakest winners.
 
     ``selected`` is (query_id, place, chunk_id, rerank_score, coverage_protected,
-    conflict_judge_promoted); ``ranked`` is (query_id, chunk_id, rrf_rank, bge_rank).
+    conflict_judge_promoted); ``ranked`` is (query_id, chunk_id, rrf_rank, model_rank).
     Protected or promoted evidence is never a victim.
     """
     cutoff = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("cutoff"))
     losers = ranked.join(selected.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(cutoff, "query_id")
-    losers = losers.where((_rank("rrf_rank") <= settings.conflict_judge_rrf_rank_limit) & (_rank("bge_rank") > F.col("cutoff")))
-    loser_order = Window.partitionBy("query_id").orderBy(_rank("rrf_rank"), _rank("bge_rank"))
+    losers = losers.where((_rank("rrf_rank") <= settings.conflict_judge_rrf_rank_limit) & (_rank("model_rank") > F.col("cutoff")))
+    loser_order = Window.partitionBy("query_id").orderBy(_rank("rrf_rank"), _rank("model_rank"))
     losers = losers.select(
         "query_id", F.col("chunk_id").alias("candidate_chunk_id"), F.col("rrf_rank").alias("candidate_rrf_rank"),
-        F.col("bge_rank").alias("candidate_bge_rank"), F.row_number().over(loser_order).alias("pair_no"),
+        F.col("model_rank").alias("candidate_model_rank"), F.row_number().over(loser_order).alias("pair_no"),
     )
     held = F.coalesce("coverage_protected", F.lit(False)) | F.coalesce("conflict_judge_promoted", F.lit(False))
     victim_order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").asc_nulls_first(), "place")

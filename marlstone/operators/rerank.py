@@ -136,7 +136,7 @@ def rerank(
     hit = F.when(F.col("focused_text").isNotNull() & ~F.col("_failed"), F.array("focused_text")).otherwise(F.array().cast("array<string>"))
     if "retrieval_queries_hit" in df.columns:
         hit = F.array_distinct(F.concat(F.coalesce("retrieval_queries_hit", F.array().cast("array<string>")), hit))
-    return df.withColumn("retrieval_queries_hit", hit).withColumn("bge_rank", F.row_number().over(order)).drop("_failed", "rerank_text")
+    return df.withColumn("retrieval_queries_hit", hit).withColumn("model_rank", F.row_number().over(order)).drop("_failed", "rerank_text")
 
 
 def rerank_groups(
@@ -176,11 +176,11 @@ def coverage_pool(ranked: DataFrame, settings: QuerySettings = QuerySettings())
     """Fused leaders first, then reranked order: the candidates coverage is judged on."""
     limit = settings.rerank_coverage_candidate_top_k
     seeds = min(max(settings.rerank_max_top_k, 1), limit)
-    lead = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.col("rrf_rank") > 0, F.col("rrf_rank")).asc_nulls_last(), "bge_rank"))
+    lead = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.col("rrf_rank") > 0, F.col("rrf_rank")).asc_nulls_last(), "model_rank"))
     led = ranked.withColumn("_lead", F.when(F.col("rrf_rank") > 0, lead))
     seed = F.coalesce(F.col("_lead") <= seeds, F.lit(False))
     order = Window.partitionBy("query_id").orderBy(
-        F.when(seed, 0).otherwise(1), F.when(seed, F.col("_lead")).otherwise(F.col("bge_rank"))
+        F.when(seed, 0).otherwise(1), F.when(seed, F.col("_lead")).otherwise(F.col("model_rank"))
     )
     return led.withColumn("pool_pos", F.row_number().over(order)).where(F.col("pool_pos") <= limit).drop("_lead")
 
@@ -238,7 +238,7 @@ def select_with_coverage(
     order = Window.partitionBy("query_id").orderBy(
         F.col("coverage_protected").desc(),
         F.when(F.col("coverage_protected"), F.col("rerank_score")).desc_nulls_last(),
-        "bge_rank",
+        "model_rank",
     )
     return marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 

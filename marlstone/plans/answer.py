@@ -117,7 +117,7 @@ def answer(
     asked = questions.select("query_id", F.col("text").alias("query_text"), F.array("text").alias("retrieval_queries"))
     candidates = chunks.select("chunk_id", *PAYLOAD).join(F.broadcast(fused), "chunk_id").join(asked, "query_id")
     ranked = materialize(rerank.rerank(candidates, models.scorer, settings), "ranked")
-    selected = fusion.truncate_at_cliff(ranked, rank="bge_rank", score="rerank_score", settings=settings).withColumn("place", F.col("bge_rank"))
+    selected = fusion.truncate_at_cliff(ranked, rank="model_rank", score="rerank_score", settings=settings).withColumn("place", F.col("model_rank"))
     selected = selected.withColumn("coverage_protected", F.lit(False)).withColumn("conflict_judge_promoted", F.lit(False))
     if models.judge is not None and settings.conflict_judge_enabled:
         pairs = conflict.conflict_pairs(selected, ranked, settings)

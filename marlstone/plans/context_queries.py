@@ -136,7 +136,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blended full and focused scores with the term-overlap scorer."""
     ranked = rerank.rerank(_candidates(spark, sf_dir))
-    return ranked.select("query_id", "chunk_id", "rrf_rank", "full_query_score", "focused_score", "rerank_score", "bge_rank")
+    return ranked.select("query_id", "chunk_id", "rrf_rank", "full_query_score", "focused_score", "rerank_score", "model_rank")
 
 
 def _sub_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +154,14 @@ def coverage_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = materialize(rerank.rerank(_candidates(spark, sf_dir)), "ranked")
     chosen = rerank.select_with_coverage(ranked, _sub_questions(spark, sf_dir))
-    return chosen.select("query_id", "chunk_id", "place", "coverage_protected", "bge_rank")
+    return chosen.select("query_id", "chunk_id", "place", "coverage_protected", "model_rank")
 
 
 def conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs to arbitrate between the best three of each reranking and the rest."""
     ranked = materialize(rerank.rerank(_candidates(spark, sf_dir)), "ranked")
-    selected = ranked.where("bge_rank <= 3").select(
-        "query_id", "chunk_id", F.col("bge_rank").alias("place"), "rerank_score",
+    selected = ranked.where("model_rank <= 3").select(
+        "query_id", "chunk_id", F.col("model_rank").alias("place"), "rerank_score",
         F.lit(False).alias("coverage_protected"), F.lit(False).alias("conflict_judge_promoted"),
     )
     pairs = conflict.conflict_pairs(selected, ranked)
@@ -281,9 +281,9 @@ wide as (select f.*, max(case when k = 'full' then s end) fs,
   from fused f join sc using (query_id, chunk_id) join benchmark b on b.item_id = f.query_id group by all),
 scored as (select query_id, chunk_id, rrf_rank, round(fs, 6) full_query_score, round(os, 6) focused_score,
   round(case when os is null then fs else 0.4 * fs + 0.6 * os end, 6) rerank_score from wide),
-ranked as (select *, row_number() over (partition by query_id order by rerank_score desc, rrf_rank, chunk_id) bge_rank from scored),
+ranked as (select *, row_number() over (partition by query_id order by rerank_score desc, rrf_rank, chunk_id) model_rank from scored),
 pool as (select *, row_number() over (partition by query_id order by case when rrf_rank <= 5 then 0 else 1 end,
-  case when rrf_rank <= 5 then rrf_rank else bge_rank end) pool_pos from ranked),
+  case when rrf_rank <= 5 then rrf_rank else model_rank end) pool_pos from ranked),
 subs as (select query_id, case when k = 'sub0' then 0 else 1 end sub_q, k, text from qtexts where k like 'sub%'),
 cov as (select p.query_id, p.chunk_id, pool_pos, sub_q, round(case
     when regexp_replace(lower(u.text), '\\s+', '', 'g') = regexp_replace(lower(b.text), '\\s+', '', 'g') then p.full_query_score
@@ -345,17 +345,17 @@ select query_id, length(body) n, sha256(body) sha from packed""",
     "round_robin_evidence": f"""with {_VARIANTS}
 select query_id, chunk_id, row_number() over (partition by query_id order by min(rank * 10 + variant), chunk_id) pos,
   string_agg(variant::varchar, ',' order by rank, variant) owners from vhits group by query_id, chunk_id""",
-    "rerank_blend": f"with {_RERANK} select query_id, chunk_id, rrf_rank, full_query_score, focused_score, rerank_score, bge_rank from ranked",
+    "rerank_blend": f"with {_RERANK} select query_id, chunk_id, rrf_rank, full_query_score, focused_score, rerank_score, model_rank from ranked",
     "coverage_argmax": f"with {_RERANK} select query_id, sub_q, chunk_id, score, missing from best",
     "coverage_selection": f"""with {_RERANK},
 prot as (select distinct query_id, chunk_id from best where not missing),
 marked as (select r.*, p.chunk_id is not null coverage_protected from ranked r left join prot p using (query_id, chunk_id)),
-placed as (select *, row_number() over (partition by query_id order by coverage_protected desc, case when coverage_protected then rerank_score end desc nulls last, bge_rank) place from marked)
-select query_id, chunk_id, place, coverage_protected, bge_rank from placed where place <= 5""",
+placed as (select *, row_number() over (partition by query_id order by coverage_protected desc, case when coverage_protected then rerank_score end desc nulls last, model_rank) place from marked)
+select query_id, chunk_id, place, coverage_protected, model_rank from placed where place <= 5""",
     "conflict_pairs": f"""with {_RERANK},
-losers as (select query_id, chunk_id, rrf_rank, row_number() over (partition by query_id order by rrf_rank, bge_rank) n
-  from ranked where bge_rank > 3 and rrf_rank <= 5),
-victims as (select query_id, chunk_id, bge_rank place, row_number() over (partition by query_id order by rerank_score, bge_rank) n from ranked where bge_rank <= 3)
+losers as (select query_id, chunk_id, rrf_rank, row_number() over (partition by query_id order by rrf_rank, model_rank) n
+  from ranked where model_rank > 3 and rrf_rank <= 5),
+victims as (select query_id, chunk_id, model_rank place, row_number() over (partition by query_id order by rerank_score, model_rank) n from ranked where model_rank <= 3)
 select query_id, 'pair_' || n pair_id, l.chunk_id candidate_chunk_id, l.rrf_rank candidate_rrf_rank, v.chunk_id victim_chunk_id, v.place victim_place
 from losers l join victims v using (query_id, n) where n <= 2""",
     "alias_containment": f"with {_REGISTRY} select query_id, name_key, doc_id, group_key from strong",

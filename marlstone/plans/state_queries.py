@@ -10,7 +10,7 @@ from marlstone.functions import ids
 from marlstone.functions.text import collapse_spaces
 from marlstone.models import embed
 from marlstone.operators import agent, evaluate, lexical, rerank, vectors, versions
-from marlstone.plans.search_queries import K, _ASKED, _DOCS, _HASHED, _WORDS, _bm25_sql, bm25, sparse_dot
+from marlstone.plans.search_queries import _ASKED, _DOCS, _HASHED, _WORDS, _bm25_sql, bm25, sparse_dot
 from marlstone.plans.tables import chunks, questions, table
 from marlstone.plans.text_queries import _name, _strip
 from marlstone.session import spread

@@ -1,8 +1,6 @@
 """Planning, budgets, coverage and replanning."""
 
 import json
-from collections import Counter, defaultdict
-
 import pytest
 from pyspark.sql import functions as F
 

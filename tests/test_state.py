@@ -256,14 +256,14 @@ def test_code_matches_need_every_code(spark):
 
 
 def test_promotion_needs_a_confident_winner(spark):
-    ranked = spark.createDataFrame([(1, i, {1: 5, 2: 4, 3: 1, 4: 2, 5: 9}[i], i, 1.0 - i / 10) for i in range(1, 6)], "query_id int, chunk_id int, rrf_rank int, bge_rank int, rerank_score double")
-    selected = ranked.where("bge_rank <= 2").withColumn("place", F.col("bge_rank")).withColumn("coverage_protected", F.col("chunk_id") == 2).withColumn("conflict_judge_promoted", F.lit(False))
+    ranked = spark.createDataFrame([(1, i, {1: 5, 2: 4, 3: 1, 4: 2, 5: 9}[i], i, 1.0 - i / 10) for i in range(1, 6)], "query_id int, chunk_id int, rrf_rank int, model_rank int, rerank_score double")
+    selected = ranked.where("model_rank <= 2").withColumn("place", F.col("model_rank")).withColumn("coverage_protected", F.col("chunk_id") == 2).withColumn("conflict_judge_promoted", F.lit(False))
     pairs = conflict.conflict_pairs(selected, ranked)
     assert [(p.candidate_chunk_id, p.victim_chunk_id) for p in pairs.collect()] == [(3, 1)]
     for reply, kept in (('{"decisions":[{"pair_id":"pair_1","winner":"a","confidence":0.85}]}', {3, 2}), ('{"decisions":[{"pair_id":"pair_1","winner":"A","confidence":0.5}]}', {1, 2}), ("broken", {1, 2})):
         decided = conflict.decide(pairs, conflict.parse_decisions(spark.createDataFrame([(1, reply)], "query_id int, reply string")))
         assert {r.chunk_id for r in conflict.promote(selected, ranked, decided).collect()} == kept
-        pool = ranked.select("query_id", "chunk_id", F.col("bge_rank").alias("pos"))
+        pool = ranked.select("query_id", "chunk_id", F.col("model_rank").alias("pos"))
         assert conflict.sync_pool(conflict.promote(selected, ranked, decided), pool).count() == 5
 
 
