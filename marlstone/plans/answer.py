@@ -115,7 +115,8 @@ def answer(
     chunks = corpus.active_chunks().withColumnRenamed("id", "chunk_id")
     fused = fusion.fuse_branches(hits, settings)
     asked = questions.select("query_id", F.col("text").alias("query_text"), F.array("text").alias("retrieval_queries"))
-    candidates = chunks.select("chunk_id", *PAYLOAD).join(F.broadcast(fused), "chunk_id").join(asked, "query_id")
+    # Stored results have a known size, from which Spark chooses the join.
+    candidates = chunks.select("chunk_id", *PAYLOAD).join(materialize(fused, "fused"), "chunk_id").join(asked, "query_id")
     ranked = materialize(rerank.rerank(candidates, models.scorer, settings), "ranked")
     selected = fusion.truncate_at_cliff(ranked, rank="model_rank", score="rerank_score", settings=settings).withColumn("place", F.col("model_rank"))
     selected = selected.withColumn("coverage_protected", F.lit(False)).withColumn("conflict_judge_promoted", F.lit(False))

@@ -77,8 +77,8 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir).select(
         "chunk_id", F.col("doc_id").alias("canonical_title"), F.col("lang").alias("section_path"), "content"
     )
-    hits = bm25(spark, sf_dir)
-    return docs.join(F.broadcast(hits), "chunk_id")
+    # Stored hits have a known size, from which Spark chooses the join.
+    return docs.join(materialize(bm25(spark, sf_dir), "hits"), "chunk_id")
 
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def grouped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _variant_hits(spark, sf_dir).where("rank <= 3").withColumnRenamed("variant", "sub_q").withColumn("rerank_score", 1.0 / F.col("rank"))
     merged = context.merge_evidence_groups(groups)
     docs = chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("canonical_title"), F.col("lang").alias("section_path"), "content")
-    packed = context.pack_grouped_evidence(docs.join(F.broadcast(merged), "chunk_id"), 4000, 2500)
+    packed = context.pack_grouped_evidence(docs.join(materialize(merged, "merged"), "chunk_id"), 4000, 2500)
     return packed.select("query_id", F.length("evidence").alias("n"), F.array_join("chunk_ids", ",").alias("ids"))
 
 
@@ -130,7 +130,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("best", "chunk_id")
     fused = fused.withColumn("rrf_rank", F.row_number().over(order)).drop("best")
     docs = chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("canonical_title"), "content", F.lit("").alias("title"))
-    return docs.join(F.broadcast(fused), "chunk_id").join(F.broadcast(asked), "query_id")
+    return docs.join(materialize(fused, "fused"), "chunk_id").join(asked, "query_id")
 
 
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from marlstone.operators import agent, evaluate, lexical, rerank, vectors, versi
 from marlstone.plans.search_queries import _ASKED, _DOCS, _HASHED, _WORDS, _bm25_sql, bm25, sparse_dot
 from marlstone.plans.tables import chunks, questions, table
 from marlstone.plans.text_queries import _name, _strip
-from marlstone.session import spread
+from marlstone.session import materialize, spread
 from marlstone.streaming import progress
 
 # A fixed moment for lease decisions over the given events.
@@ -167,7 +167,8 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     docs = chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").alias("title"), "content")
-    ranked = docs.join(F.broadcast(hits.select(F.col("query_id").alias("case_id"), "chunk_id", "rank")), "chunk_id")
+    found = materialize(hits.select(F.col("query_id").alias("case_id"), "chunk_id", "rank"), "hits")
+    ranked = docs.join(found, "chunk_id")
     criteria = _criteria(spark, sf_dir)
     met = evaluate.criterion_hits(ranked, criteria)
     cases = questions(spark, sf_dir).select(F.col("query_id").alias("case_id"))
@@ -214,8 +215,8 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit(True).alias("supported"), t.alias("evidence_quote"))).alias("claims")
     )
     docs = chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("context"))
-    best = bm25(spark, sf_dir).where("rank = 1").select("query_id", "chunk_id")
-    scored = evaluate.faithfulness(docs.join(F.broadcast(best), "chunk_id").join(F.broadcast(asked), "query_id"))
+    best = materialize(bm25(spark, sf_dir).where("rank = 1").select("query_id", "chunk_id"), "best")
+    scored = evaluate.faithfulness(docs.join(best, "chunk_id").join(asked, "query_id"))
     return scored.select("query_id", "supported_claims", "total_claims", F.round("faithfulness", 9).alias("faithfulness"))
 
 
