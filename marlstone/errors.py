@@ -38,3 +38,7 @@ class RowValidationError(IngestError):
 
 class ClaimLostError(IngestError):
     pass
+
+
+class ConfigError(FlowError):
+    """The session lacks a setting that the job needs."""

@@ -12,6 +12,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.errors import ConfigError
+
 # A side is broadcast only when a counted check shows it has at most this many rows.
 BROADCAST_ROWS = 200_000
 # A query block kept in a Python worker (vectors, vocabularies) is at most this large.
@@ -46,19 +48,32 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: the cluster's, else a local one for tests."""
+    """The shared folder for written intermediates, named by ``spark.checkpoint.dir``.
+
+    Only a local master, whose tasks share one disk, may do without and gets a temporary
+    folder. Elsewhere each executor would write to a disk that the others cannot read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage result as a table and read it back: cuts lineage, survives executor loss."""
+    """Write a stage result as a table and read it back: cuts lineage, survives executor loss.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

