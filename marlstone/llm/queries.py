@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import mixing, token_counts
+from marlstone.llm import mixing, pii, sketches, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,16 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix}
+def op8_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
+    "op9_personal_data": op9_personal_data,
+}
 ORACLES = {"op6_source_mix": mixing.SQL}
