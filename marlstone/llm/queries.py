@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, pii, sketches, token_counts
+from marlstone.llm import mixing, pii, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,18 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(toxicity.fold() != 0)
+    model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (toxicity.fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
-    "op9_personal_data": op9_personal_data,
+    "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
 }
 ORACLES = {"op6_source_mix": mixing.SQL}
