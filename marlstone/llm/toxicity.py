@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Training | None = None) -> M
         model = fit(texts, table.column("label").to_numpy().astype(np.int64), rule)
         return pa.table({"weights": [model.weights.tobytes()], "slope": [model.slope], "offset": [model.offset]})
 
-    fitted = rows.groupBy(F.lit(1)).applyInArrow(one, "weights binary, slope double, offset double").first()
+    fitted = rows.groupBy(F.lit("all").alias("all")).applyInArrow(one, "weights binary, slope double, offset double").first()
     if fitted is None:
         return fit(pa.array([], pa.string()), np.empty(0, np.int64), rule)
     return Model(np.frombuffer(fitted["weights"], np.float32), fitted["slope"], fitted["offset"], rule)
