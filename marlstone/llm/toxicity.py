@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, rule: Training | None = None) -> M
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.sample)
     )
-    rows = docs.select("doc_id", plain_text().alias("text")).join(chosen, "doc_id").groupBy("doc_id")
+    # At most rule.sample rows of two numbers, so the texts need not move to find the sample.
+    rows = docs.select("doc_id", plain_text().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
     rows = rows.agg(F.min("text").alias("text"), F.max("label").alias("label")).withColumn("at", F.xxhash64("doc_id"))
 
     def one(table: pa.Table) -> pa.Table:
