@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, pii, sketches, token_counts, toxicity
+from marlstone.llm import mixing, ngram_join, pii, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"), ngram_join.Likeness(shingle=3, part=90))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.over_limit(counts, 4096)
@@ -41,7 +45,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
+    "op3_ngram_join": op3_ngram_join, "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
 }
-ORACLES = {"op6_source_mix": mixing.SQL}
+ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL}
