@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, ngram_join, pii, sketches, token_counts, toxicity
+from marlstone.llm import mixing, ngram_join, nn_descent, pii, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(_table(spark, sf_dir, "documents"), ngram_join.Likeness(shingle=3, part=90))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.over_limit(counts, 4096)
@@ -45,7 +49,8 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_ngram_join": op3_ngram_join, "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
+    "op3_ngram_join": op3_ngram_join, "op4_nn_descent": op4_nn_descent,
+    "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
 }
 ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL}
