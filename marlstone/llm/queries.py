@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, ngram_join, nn_descent, pii, sketches, token_counts, toxicity
+from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_ngram_join": op3_ngram_join, "op4_nn_descent": op4_nn_descent,
-    "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op8_threshold_sketch": op8_threshold_sketch,
+    "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op7_brown_lm": op7_brown_lm, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
 }
 ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL}
