@@ -18,10 +18,10 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Cells of the frequency table and of the table of documents to verify. Both are of fixed size.
 _CELLS, _CHUNK = 1 << 21, 1 << 14
 _MARKS = 1 << 22
-# Pivots of a signature.
-_PIVOTS = 4
+# Turns in which each class is compared with one pivot.
+_TURNS = 2
 # Words of 64 bits in a set's parity bitmap.
-_PARITY = 8
+_PARITY = 4
 _BITS = [f"p{i}" for i in range(_PARITY)]
 
 
@@ -183,13 +183,17 @@ def _class_array(sets: list[np.ndarray]) -> pa.Array:
 
 
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """(sign, cls, n, bitmap) of all signatures that more than one class has. The table is written."""
-    one = classes.filter("cls is not null and size(signs) > 0").dropDuplicates(["cls"])
-    postings = one.select("cls", F.col("n_shingles").alias("n"), F.explode(F.array_distinct("signs")).alias("sign"), *_BITS)
+    """(sign, cls) of all signatures that more than one class has. The table is written."""
+    one = classes.filter("cls is not null and size(signs) > 0").select("cls", "signs").dropDuplicates(["cls"])
+    postings = one.select("cls", F.explode(F.array_distinct("signs")).alias("sign"))
     held = F.count(F.lit(1)).over(Window.partitionBy("sign"))
     return materialize(postings.withColumn("held", held).filter("held > 1").drop("held"), "postings")
 
 
+def _class_facts(classes: DataFrame) -> DataFrame:
+    return classes.filter("cls is not null").select("cls", F.col("n_shingles").alias("n"), *_BITS).dropDuplicates(["cls"])
+
+
 def _can_link(rule: Likeness, other: str) -> Column:
     """Whether sizes and bitmaps of a row's two sets leave room for a link; ``other`` prefixes the second's columns."""
     n, m = F.col("n"), F.col(f"{other}n")
@@ -198,40 +202,37 @@ def _can_link(rule: Likeness, other: str) -> Column:
     return sizes & (F.lit(rule.whole + rule.part) * apart <= F.lit(rule.whole - rule.part) * (n + m))
 
 
-def pivot_pairs(postings: DataFrame, rule: Likeness) -> DataFrame:
-    """(a, b): each class with those pivots of its signatures that it may link with.
-
-    A pivot is a signature's first class by some hash, so the signatures of a group of near copies
-    mostly agree on it. The pairs are at most a few for each posting.
-    """
-    rows = postings
-    for k in range(_PIVOTS):
-        order = F.xxhash64(F.lit(k), "cls").alias("order")
-        first = F.min(F.struct(order, *[F.col(c) for c in ("cls", "n", *_BITS)]))
-        rows = rows.withColumn(f"pivot{k}", first.over(Window.partitionBy("sign")))
-    rows = rows.withColumn("o_", F.explode(F.array(*[F.col(f"pivot{k}") for k in range(_PIVOTS)])))
-    rows = rows.select("cls", "n", *_BITS, *[F.col(f"o_.{c}").alias(f"o_{c}") for c in ("cls", "n", *_BITS)])
-    rows = rows.filter((F.col("cls") != F.col("o_cls")) & _can_link(rule, "o_"))
-    return rows.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
-
-
-def other_pairs(postings: DataFrame, comps: DataFrame, rule: Likeness) -> DataFrame:
-    """(a, b): all pairs with a signature in common that may link and aren't in one component, each once.
-
-    Signatures whose classes are all in one component are left out. A pair comes out at its first
-    common signature only.
-    """
+def _open(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings with components, of signatures whose classes aren't all in one component yet."""
     named = postings.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_sign = Window.partitionBy("sign")
     named = named.withColumn("low", F.min("comp").over(by_sign)).withColumn("high", F.max("comp").over(by_sign))
-    named = named.filter("low < high").drop("low", "high")
-    lists = named.groupBy("cls").agg(F.sort_array(F.collect_set("sign")).alias("signs"))
-    left = materialize(named.join(lists, "cls"), "open-postings")
+    return named.filter("low < high").drop("low", "high")
+
+
+def pivot_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: Likeness, turn: int) -> DataFrame:
+    """(a, b): each class with the pivot of most of its signatures, if sizes and bitmaps allow a link.
+
+    A pivot is a signature's first class by a hash, so the signatures of a group of near copies
+    mostly agree on it. There is at most one pair for each class.
+    """
+    order = F.struct(F.xxhash64(F.lit(turn), "cls").alias("order"), F.col("cls").alias("cls"), F.col("comp").alias("comp"))
+    rows = _open(postings, comps).withColumn("first", F.min(order).over(Window.partitionBy("sign")))
+    rows = rows.filter(F.col("comp") != F.col("first.comp")).groupBy("cls", F.col("first.cls").alias("pivot")).count()
+    best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "pivot"))
+    pairs = rows.withColumn("place", best).filter("place = 1").select("cls", "pivot")
+    other = facts.select(F.col("cls").alias("pivot"), *[F.col(c).alias(f"o_{c}") for c in ("n", *_BITS)])
+    pairs = pairs.join(facts, "cls").join(other, "pivot").filter(_can_link(rule, "o_"))
+    return materialize(pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "pivot-pairs")
+
+
+def other_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: Likeness) -> DataFrame:
+    """(a, b): all pairs with a signature in common whose sizes and bitmaps allow a link, in different components."""
+    left = materialize(_open(postings, comps).join(facts, "cls"), "open-postings")
     right = left.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
     apart = (F.col("cls") < F.col("o_cls")) & (F.col("comp") != F.col("o_comp"))
-    first = F.array_min(F.array_intersect("signs", "o_signs")) == F.col("sign")
-    pairs = left.join(right, (F.col("sign") == F.col("o_sign")) & apart & _can_link(rule, "o_") & first)
-    return pairs.select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
+    pairs = left.join(right, (F.col("sign") == F.col("o_sign")) & apart & _can_link(rule, "o_"))
+    return materialize(pairs.select(F.col("cls").alias("a"), F.col("o_cls").alias("b")).distinct(), "other-pairs")
 
 
 def _marked(ids: DataFrame) -> np.ndarray:
@@ -279,17 +280,22 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Likeness) -> DataFrame:
 def class_components(docs: DataFrame, classes: DataFrame, rule: Likeness) -> DataFrame:
     """(cls, comp) of all classes that link with another one.
 
-    Pivots join the bulk of each group of near copies with a number of pairs linear in its size.
-    Then every pair with a common signature that isn't in one component already is verified, so
-    no link that matters is left out.
+    Turns with pivots join the bulk of each group of near copies, one pair for each class. Then
+    every pair with a common signature that isn't in one component already is verified, unless its
+    bitmaps rule a link out, so no link that matters is left out.
     """
-    postings = shared_postings(classes)
-    near = materialize(pivot_pairs(postings, rule), "pivot-pairs")
-    sets = class_sets(docs, classes, _members(near), rule)
-    links = verified(near, sets, rule)
-    rest = materialize(other_pairs(postings, components(links), rule), "other-pairs")
-    sets = class_sets(docs, classes, _members(rest), rule)
-    return components(links.union(verified(rest, sets, rule)))
+    postings, facts = shared_postings(classes), _class_facts(classes)
+    links = postings.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    comps = links.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    for turn in range(_TURNS + 1):
+        if turn < _TURNS:
+            pairs = pivot_pairs(postings, comps, facts, rule, turn)
+        else:
+            pairs = other_pairs(postings, comps, facts, rule)
+        sets = class_sets(docs, classes, _members(pairs), rule)
+        links = links.union(verified(pairs, sets, rule))
+        comps = components(links)
+    return comps
 
 
 def _members(pairs: DataFrame) -> DataFrame:
