@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sketches, token_counts, toxicity
+from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepieces.encode(_table(spark, sf_dir, "documents"), vocabulary, ["doc_id", "text"])
+    back = sentencepieces.decode(coded, vocabulary, ["doc_id", "text", "ids"])
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip")
+    )
+
+
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
     return quality.classify(_table(spark, sf_dir, "documents"), trusted)
@@ -58,6 +67,7 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shared_prefix_viterbi": op1_shared_prefix_viterbi,
     "op2_kneser_ney_quality": op2_kneser_ney_quality, "op3_ngram_join": op3_ngram_join, "op4_nn_descent": op4_nn_descent,
     "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op7_brown_lm": op7_brown_lm, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
