@@ -16,12 +16,12 @@ from marlstone.session import materialize
 @dataclass(frozen=True)
 class Search:
     neighbours: int = 20  # of a node in the graph, and as many that point to it
-    rounds: int = 4  # of neighbours of neighbours
-    gain: float = 0.0005  # a round that raises the graph's similarities by less is the last
+    rounds: int = 3  # of neighbours of neighbours
+    gain: float = 0.001  # a round that raises the graph's similarities by less is the last
     cell: int = 48  # nodes compared with one another at the start, three times with other cells
     beam: int = 64  # best nodes a query keeps
-    width: int = 8  # nodes a query opens in a step
-    steps: int = 8
+    width: int = 12  # nodes a query opens in a step
+    steps: int = 5
     seed: int = 11
 
 
@@ -45,7 +45,7 @@ def distinct_nodes(vectors: DataFrame, copies: int) -> DataFrame:
 
     More ids of one vector can't be among a query's nearest, as equal scores go to smaller ids.
     """
-    keyed = vectors.select(F.xxhash64("vec").alias("node"), "vec", "id").dropDuplicates(["node", "id"])
+    keyed = vectors.select(F.xxhash64("vec").alias("node"), "vec", "id").repartition("node").dropDuplicates(["node", "id"])
     place = F.row_number().over(Window.partitionBy("node").orderBy("id"))
     few = keyed.withColumn("place", place).filter(F.col("place") <= copies)
     return materialize(few.groupBy("node").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")), "nn-nodes")
@@ -121,45 +121,47 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
 def _best(edges: DataFrame, by: str, k: int) -> DataFrame:
     """The k edges of most similarity at each node."""
     order = Window.partitionBy(by).orderBy(F.desc("sim"), "node", "other")
-    return edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
+    return edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def _grouped(rows: DataFrame, by: str) -> DataFrame:
+def _graph(edges: DataFrame, rule: Search) -> DataFrame:
+    """Each node's best edges, with their place and the node's bar: its worst similarity, once it has enough."""
+    best = _best(edges.repartition("node").groupBy("node", "other").agg(F.max("sim").alias("sim")), "node", rule.neighbours)
+    own = Window.partitionBy("node")
+    full = F.count(F.lit(1)).over(own) >= rule.neighbours
+    bar = F.when(full, F.min("sim").over(own)).otherwise(F.lit(-5.0)).cast("float")
+    return materialize(best.withColumn("bar", bar), "nn-graph")
+
+
+def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     lists = [F.collect_list(c).alias(name) for c, name in (("node", "nodes"), ("code", "codes"), ("bar", "bars"))]
-    return rows.groupBy(by).agg(*lists)
+    return rows.groupBy(*by).agg(*lists)
 
 
 def _first_graph(codes: DataFrame, rule: Search) -> DataFrame:
-    """Each node's best among cells of nodes that are near one another along a random direction."""
+    """Each node's best in three cells of nodes on the same sides of some random planes."""
     count = max(1, codes.count())
-    edges = None
-    for turn in range(3):
-
-        def along(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            planes = None
-            bits = max(0, int(np.ceil(np.log2(count / rule.cell))))
-            for batch in batches:
-                rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.float16).reshape(len(batch), -1).astype(np.float64)
-                if planes is None:
-                    planes = np.random.default_rng((rule.seed, turn)).normal(size=(rows.shape[1], bits))
-                    planes -= planes.mean(0)
+    turns = 3
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = max(0, int(np.ceil(np.log2(count / rule.cell))))
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.float16).reshape(len(batch), -1).astype(np.float64)
+            for turn in range(turns):
+                planes = np.random.default_rng((rule.seed, turn)).normal(size=(rows.shape[1], bits))
                 signs = (rows @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(rows), np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs.astype(np.int64))], ["node", "code", "cell"])
+                cell = pa.array(signs.astype(np.int64) * turns + turn)
+                yield pa.RecordBatch.from_arrays([*batch.columns, cell], ["node", "code", "cell"])
 
-        placed = codes.mapInArrow(along, "node long, code binary, cell long")
-        # A cell with many nodes is cut by a hash into parts of the wanted size.
-        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
-        parts = F.ceil(F.col("held") / rule.cell)
-        placed = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), parts))
-        placed = placed.withColumn("key", F.struct("cell", "part")).withColumn("bar", F.lit(-5.0).cast("float"))
-        found = _compared(_grouped(placed, "key"), rule.neighbours)
-        edges = found if edges is None else edges.union(found)
-    edges = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
-    return materialize(_best(edges, "node", rule.neighbours), "nn-graph")
+    placed = codes.mapInArrow(sides, "node long, code binary, cell long")
+    # A cell with many nodes is cut by a hash into parts of the wanted size.
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) / rule.cell)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "cell"), parts)).withColumn("bar", F.lit(-5.0).cast("float"))
+    return _graph(_compared(_grouped(placed, ["cell", "part"]), rule.neighbours), rule)
 
 
 def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
-    """(node, other, sim): NN-descent.
+    """(node, other, sim, place, bar): NN-descent.
 
     In each round a node brings together its neighbours and some that point to it; these are
     compared with one another, and each takes over those that are better than its worst one. A
@@ -168,14 +170,12 @@ def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
     graph = _first_graph(codes, rule)
     total = graph.agg(F.sum("sim"), F.count(F.lit(1))).first()
     for _ in range(rule.rounds):
-        worst = graph.groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("held"))
-        worst = worst.select("node", F.when(F.col("held") >= rule.neighbours, F.col("low")).otherwise(F.lit(-5.0)).cast("float").alias("bar"))
-        member = codes.join(worst, "node", "left").select("node", "code", F.coalesce("bar", F.lit(-5.0)).cast("float").alias("bar"))
+        bars = graph.filter("place = 1").select("node", "bar")
+        member = codes.join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(-5.0)).cast("float").alias("bar"))
         there = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
-        back = _best(graph, "other", rule.neighbours).select(F.col("other").alias("hub"), "node")
-        lists = _grouped(there.union(back).distinct().join(member, "node"), "hub")
-        found = _compared(lists, rule.neighbours // 2).union(graph)
-        graph = materialize(_best(found.groupBy("node", "other").agg(F.max("sim").alias("sim")), "node", rule.neighbours), "nn-graph")
+        back = _best(graph.drop("place", "bar"), "other", rule.neighbours).select(F.col("other").alias("hub"), "node")
+        lists = _grouped(there.union(back).join(member, "node"), ["hub"])
+        graph = _graph(_compared(lists, rule.neighbours // 2).union(graph.select("node", "other", "sim")), rule)
         last, total = total, graph.agg(F.sum("sim"), F.count(F.lit(1))).first()
         if total[0] is None or (total[1] == last[1] and total[0] - last[0] <= rule.gain * abs(last[0])):
             break
@@ -183,46 +183,75 @@ def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
 
 
 def links(graph: DataFrame, nodes: DataFrame, rule: Search) -> DataFrame:
-    """(node, other): the graph in both directions, at most twice ``neighbours`` at a node, and random links.
+    """(node, others): the graph in both directions, at most twice ``neighbours`` at a node, and random links.
 
     The random ones let a walk leave a group of nodes that only know one another.
     """
     there = graph.select("node", "other")
-    back = _best(graph, "other", rule.neighbours).select(F.col("other").alias("node"), F.col("node").alias("other"))
+    back = _best(graph.drop("place", "bar"), "other", rule.neighbours).select(F.col("other").alias("node"), F.col("node").alias("other"))
     cells = max(1, nodes.count() // 4)
     near = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(cells)).alias("cell"))
     far = nodes.select(F.col("node").alias("other"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cells)).alias("cell"))
     random = near.join(far, "cell").select("node", "other")
-    return materialize(there.union(back).union(random).filter("node <> other").distinct(), "nn-links")
+    both = there.union(back).union(random).filter("node <> other")
+    return materialize(both.groupBy("node").agg(F.collect_set("other").alias("others")), "nn-links")
+
+
+_BEAM = "query long, vec array<double>, nodes array<long>, scores array<double>, opened array<boolean>"
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Search) -> DataFrame:
     """(query, node, score): the best ``beam`` nodes that a walk over the links finds for each query.
 
-    ``queries`` has query, vec and entry, a node to begin at. A step opens the best nodes not yet
-    opened and scores the nodes linked to them; a query whose best nodes are all open is done.
+    ``queries`` has query, vec and entry, the node to begin at: the query's own vector. In a step each query opens its best
+    nodes not yet opened; the nodes linked to them come with their vectors to the query's row, which
+    scores them and keeps the best. A query whose best nodes are all open is done.
     """
-    scored = nodes.select("node", F.col("vec").alias("there"))
+    there = nodes.select(F.col("node").alias("other"), F.col("vec").alias("there"))
 
-    def score(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(scored, "node").join(queries.select("query", "vec"), "query")
-        return both.select("query", "node", dot("vec", "there").alias("score"))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(len(batch)):
+                one = {name: batch.column(name)[row].values for name in ("vec", "nodes", "scores", "opened", "others", "vecs")}
+                vec = one["vec"].to_numpy()
+                ids, score = one["nodes"].to_numpy(), one["scores"].to_numpy()
+                opened = one["opened"].to_numpy(zero_copy_only=False)
+                best = np.lexsort((ids, -score))
+                now = best[~opened[best]][: rule.width]
+                opened = opened.copy()
+                opened[now] = True
+                if one["others"] is not None and len(one["others"]):
+                    new, first = np.unique(one["others"].to_numpy(), return_index=True)
+                    fresh = ~np.isin(new, ids)
+                    rows = one["vecs"].flatten().to_numpy().reshape(len(one["others"]), -1)[first[fresh]]
+                    ids = np.concatenate((ids, new[fresh]))
+                    score = np.concatenate((score, (rows * vec).sum(1)))
+                    opened = np.concatenate((opened, np.zeros(fresh.sum(), bool)))
+                best = np.lexsort((ids, -score))[: rule.beam]
+                out.append((batch.column("query")[row], vec, ids[best], score[best], opened[best]))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
+            columns = [pa.array([x[0].as_py() for x in out], kinds[0]), *[pa.array([x[i] for x in out], kinds[i]) for i in range(1, 5)]]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "vec", "nodes", "scores", "opened"])
 
-    beam = materialize(score(queries.select("query", F.col("entry").alias("node"))).withColumn("opened", F.lit(False)), "nn-beam")
+    norm = dot("vec", "vec")
+    beam = queries.select(
+        "query", "vec", F.array("entry").alias("nodes"), F.array(norm).alias("scores"), F.array(F.lit(False)).alias("opened")
+    )
     for _ in range(rule.steps):
-        order = Window.partitionBy("query", "opened").orderBy(F.desc("score"), "node")
-        ahead = beam.withColumn("place", F.row_number().over(order)).filter(~F.col("opened") & (F.col("place") <= rule.width))
-        ahead = ahead.select("query", "node")
-        seen = beam.join(ahead.withColumn("now", F.lit(True)), ["query", "node"], "left")
-        seen = seen.select("query", "node", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        new = ahead.join(edges, "node").select("query", F.col("other").alias("node")).distinct()
-        new = score(new.join(beam, ["query", "node"], "left_anti")).withColumn("opened", F.lit(False))
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        beam = seen.union(new).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= rule.beam).drop("place")
-        beam = materialize(beam, "nn-beam")
-        if beam.filter(~F.col("opened")).isEmpty():
+        closed = F.expr("filter(arrays_zip(nodes, scores, opened), x -> not x.opened)")
+        first = F.expr(f"slice(array_sort(closed, (a, b) -> case when a.scores > b.scores or (a.scores = b.scores and a.nodes < b.nodes) then -1 else 1 end), 1, {rule.width})")
+        ahead = beam.withColumn("closed", closed).select("query", F.explode(first).alias("x")).select("query", F.col("x.nodes").alias("node"))
+        new = ahead.join(edges, "node").select("query", F.explode("others").alias("other"))
+        new = new.repartition("other").distinct().join(there, "other")
+        lists = new.groupBy("query").agg(F.collect_list(F.struct("other", "there")).alias("x"))
+        lists = lists.select("query", F.col("x.other").alias("others"), F.col("x.there").alias("vecs"))
+        beam = materialize(beam.join(lists, "query", "left").mapInArrow(merged, _BEAM), "nn-beam")
+        if beam.filter("exists(opened, x -> not x)").isEmpty():
             break
-    return beam.select("query", "node", "score")
+    return beam.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select(
+        "query", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score")
+    )
 
 
 def nearest(rows: DataFrame, query_ids: Column, k: int, key: str = "vec_id", column: str = "embedding", rule: Search | None = None) -> DataFrame:
