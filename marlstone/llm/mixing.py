@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.text import running_sum, word_count
@@ -28,8 +28,11 @@ class Recipe:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and a shuffling key that depends on the row alone."""
-    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), _key().alias("key"))
+
+
+def _key() -> Column:
+    return F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
 def source_targets(rows: DataFrame, recipe: Recipe) -> DataFrame:
@@ -109,7 +112,7 @@ def mix(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     turn, again from the first when all are used; the last slot is cut where the source's target is
     met. A document takes what its blocks take, so at most ``most`` times its size.
 
-    Returns ``doc_id, source, size, source_size, target, taken``, one row for each row of ``docs``.
+    Returns ``doc_id, source, size, source_size, target, key, taken``, one row for each row of ``docs``.
     A null source is a source of its own, the last. Null and empty texts have size 0 and are never
     taken. Rows alike in id and text are neighbours in the shuffle and may be taken differently
     often by a part of one round; which of them is left open, as they are equal. An empty table
@@ -134,13 +137,31 @@ def mix(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     start, end = F.greatest(F.col("at"), F.col("block") * b), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b)
     cut_end = F.least(end, F.col("block") * b + F.col("cut"))
     words = F.coalesce(F.col("whole") * (end - start) + F.greatest(F.lit(0), cut_end - start), F.lit(0))
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    out = ["doc_id", "source", "size", "source_size", "target", "key"]
     taken = parts.withColumn("words", words).groupBy("index", "at", *out).agg(F.sum("words").cast("long").alias("taken"))
     return taken.select(*out, "taken").unionByName(
         rows.filter("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
     )
 
 
+def mixed_texts(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
+    """The mix as documents: rows with the columns of ``docs``, as often as they are taken.
+
+    Words taken beyond whole copies are the first ones of the text, with the white space before
+    them. Rows alike in id and text are taken together. Documents that aren't taken are left out,
+    as are empty ones.
+    """
+    taken = mix(docs, recipe).groupBy("key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
+    rows = docs.select("*", _key().alias("__key"))
+    once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    rows = rows.join(taken.filter("__taken > 0"), F.col("__key") == F.col("key")).withColumn("__place", once).filter("__place = 1")
+    rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, (__taken - 1) div __size), i -> __taken - i * __size)")))
+    with_space = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(with_space, F.lit(1), F.col("__left").cast("int")), "")
+    text = F.when(F.col("__left") >= F.col("__size"), F.col("text")).otherwise(cut)
+    return rows.withColumn("text", text).select(*docs.columns)
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -59,7 +59,7 @@ def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", plain_text().alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_text().alias("text"))
 
 
 def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
@@ -157,14 +157,17 @@ def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
             parity = np.array([parity_bits(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), _class_array(sets), lists, *[pa.array(parity[:, i]) for i in range(_PARITY)]],
-                ["doc_id", "n_shingles", "cls", "signs", *_BITS],
+                [
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), _class_array(sets), lists,
+                    *[pa.array(parity[:, i]) for i in range(_PARITY)],
+                ],
+                ["doc_id", "text_hash", "n_shingles", "cls", "signs", *_BITS],
             )
 
     rows = _rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     bitmap = ", ".join(f"{b} long" for b in _BITS)
-    out = rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, signs array<long>, {bitmap}")
+    out = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls long, signs array<long>, {bitmap}")
     return materialize(out, "shingle-classes")
 
 
@@ -323,7 +326,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, rule: Likeness | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_copies`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, n_copies, text_hash`` for each row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased. Equal sets form one class, whatever
     the number of copies; classes are joined, and links are verified exactly on whole sets.
@@ -343,10 +346,10 @@ def join_documents(docs: DataFrame, rule: Likeness | None = None) -> DataFrame:
     smallest = comps.join(classes, "cls").groupBy("comp").agg(F.min("least").alias("smallest"))
     found = classes.join(comps.join(smallest, "comp").drop("comp"), "cls", "left")
     found = found.select("cls", F.coalesce("smallest", "least").alias("component"), "copies")
-    joined = rows.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
+    joined = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(found, "cls", "left")
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        F.coalesce("copies", F.lit(1)).alias("n_copies"), "text_hash",
     )
 
 

@@ -174,6 +174,18 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "spans", F.when(~F.col("absent"), F.col("redacted")).alias("redacted"))
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with their texts redacted in place; other columns are as they were, null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            clean = [redacted(t, spans(t)) if t else t for t in batch.column(at).cast(pa.string()).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, pa.string()).cast(batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _joined(condition: str) -> Column:
     return F.expr(f"array_join(transform(filter(spans, s -> {condition}), s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
 

@@ -24,11 +24,11 @@ def op1_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
-    return quality.classify(_table(spark, sf_dir, "documents"), trusted)
+    return quality.classify(_table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_documents(_table(spark, sf_dir, "documents"), ngram_join.Likeness(shingle=3, part=90))
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"), ngram_join.Likeness(shingle=3, part=90)).drop("text_hash")
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "key")
 
 
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
