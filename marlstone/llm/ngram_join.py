@@ -160,23 +160,30 @@ def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
                 [
                     batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), _class_array(sets), lists,
                     *[pa.array(parity[:, i]) for i in range(_PARITY)],
+                    pa.array([parity_bits(s, _width(len(s))) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text_hash", "n_shingles", "cls", "signs", *_BITS],
+                ["doc_id", "text_hash", "n_shingles", "cls", "signs", *_BITS, "bits"],
             )
 
     rows = _rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     bitmap = ", ".join(f"{b} long" for b in _BITS)
-    out = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls long, signs array<long>, {bitmap}")
+    out = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls long, signs array<long>, {bitmap}, bits array<long>")
     return materialize(out, "shingle-classes")
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """For each bit whether an odd number of shingles hash to it.
+def _width(n: int) -> int:
+    """Words of the long bitmap of n shingles: a power of two with four to eight bits for a shingle."""
+    return 1 << max(0, (4 * n - 1).bit_length() - 6)
 
-    Two sets' bitmaps differ in no more bits than there are shingles in only one of the sets.
+
+def parity_bits(shingles: np.ndarray, width: int = _PARITY) -> np.ndarray:
+    """For each bit whether an odd number of shingles hash to it, in ``width`` words.
+
+    Two sets' bitmaps differ in no more bits than there are shingles in only one of the sets. The
+    halves of a bitmap make the one of half the width, when each bit is set in just one of them.
     """
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * _PARITY), minlength=64 * _PARITY) & 1
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * width), minlength=64 * width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -271,9 +278,30 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Lik
     return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "class-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Likeness) -> DataFrame:
-    """The pairs whose whole sets link. The table is written."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+def _folded(x: str, y: str) -> Column:
+    """The bitmap ``x``, folded once if it is longer than ``y``."""
+    half = f"cast(size({x}) / 2 as int)"
+    return F.expr(
+        f"if(size({x}) > size({y}), zip_with(slice({x}, 1, {half}), slice({x}, {half} + 1, {half}), (i, j) -> i ^ j), {x})"
+    )
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Likeness) -> DataFrame:
+    """The pairs whose whole sets link. The table is written.
+
+    Long bitmaps, a sixteenth of a set or less, rule out most of the pairs that don't link; only the
+    sets of the others move.
+    """
+    bits = classes.join(_members(pairs), "cls", "left_semi").select("cls", "n_shingles", "bits").dropDuplicates(["cls"])
+    bits = materialize(bits, "long-bitmaps")
+    both = pairs.join(bits.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("x")), "a")
+    both = both.join(bits.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("y")), "b")
+    both = both.select("a", "b", "na", "nb", _folded("x", "y").alias("x"), _folded("y", "x").alias("y"))
+    apart = F.expr("aggregate(zip_with(x, y, (i, j) -> bit_count(i ^ j)), 0, (s, n) -> s + n)")
+    near = both.filter(F.lit(rule.whole + rule.part) * apart <= F.lit(rule.whole - rule.part) * (F.col("na") + F.col("nb")))
+    near = materialize(near.select("a", "b"), "near-pairs")
+    sets = class_sets(docs, classes, _members(near), rule)
+    both = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
@@ -295,8 +323,7 @@ def class_components(docs: DataFrame, classes: DataFrame, rule: Likeness) -> Dat
             pairs = pivot_pairs(postings, comps, facts, rule, turn)
         else:
             pairs = other_pairs(postings, comps, facts, rule)
-        sets = class_sets(docs, classes, _members(pairs), rule)
-        links = links.union(verified(pairs, sets, rule))
+        links = links.union(verified(docs, classes, pairs, rule))
         comps = components(links)
     return comps
 
