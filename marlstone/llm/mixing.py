@@ -67,10 +67,20 @@ def source_targets(rows: DataFrame, recipe: Recipe) -> DataFrame:
     return sources.select("source", "index", "source_size", "target", "quota", "blocks", "slots", "first_slot")
 
 
+def _quotients(a: int, b: int) -> list[int]:
+    """Of the continued fraction of a / b; small ones make multiples of a / b fall evenly."""
+    out = []
+    while a:
+        out.append(b // a)
+        a, b = b % a, a
+    return out
+
+
 def _step(slots: int) -> int:
-    """The whole number next to the golden share of the slots that has no factor in common with them."""
-    near = max(1, round(slots * _GOLDEN))
-    return next(near + d for k in range(slots + 1) for d in (k, -k) if near + d > 0 and math.gcd(near + d, slots) == 1)
+    """A whole number near the golden share of the slots, without factors in common, that falls evenly."""
+    near = round(slots * _GOLDEN)
+    fine = [x for x in range(max(1, near - 40), near + 41) if x < max(2, slots) and math.gcd(x, slots) == 1]
+    return min(fine, key=lambda x: (max(_quotients(x, slots)), abs(x - near)))
 
 
 def schedule(sources: DataFrame, recipe: Recipe) -> DataFrame:
@@ -151,10 +161,10 @@ def mixed_texts(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     them. Rows alike in id and text are taken together. Documents that aren't taken are left out,
     as are empty ones.
     """
-    taken = mix(docs, recipe).groupBy("key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
+    taken = mix(docs, recipe).groupBy(F.col("key").alias("__of")).agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
     rows = docs.select("*", _key().alias("__key"))
     once = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    rows = rows.join(taken.filter("__taken > 0"), F.col("__key") == F.col("key")).withColumn("__place", once).filter("__place = 1")
+    rows = rows.join(taken.filter("__taken > 0"), F.col("__key") == F.col("__of")).withColumn("__place", once).filter("__place = 1")
     rows = rows.withColumn("__left", F.explode(F.expr("transform(sequence(0, (__taken - 1) div __size), i -> __taken - i * __size)")))
     with_space = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(with_space, F.lit(1), F.col("__left").cast("int")), "")
