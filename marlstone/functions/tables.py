@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from html.parser import HTMLParser
 
@@ -26,6 +27,12 @@ NO_KEY, NO_VALUE, NO_SUBJECT = "未知属性", "无", "未知项目"
 EMPTY_CELLS = ("-", "/", "\\", "无")
 
 
+def _span(given: str | None) -> int:
+    """The number at the head of a span attribute; 1 if there is none."""
+    number = re.match(r"\s*([0-9]{1,4})", given or "")
+    return max(1, int(number[1])) if number else 1
+
+
 class _Cells(HTMLParser):
     """Cells of one table with their spans; a new cell or row closes the open one."""
 
@@ -46,8 +53,7 @@ class _Cells(HTMLParser):
             self.headed |= tag == "th"
             if self.rows:
                 given = dict(attrs)
-                down, across = (int(given.get(k) or 1) for k in ("rowspan", "colspan"))
-                self.rows[-1].append(([], down, across))
+                self.rows[-1].append(([], _span(given.get("rowspan")), _span(given.get("colspan"))))
                 self._open = True
 
     def handle_endtag(self, tag):
@@ -71,8 +77,9 @@ def _html_table(html: str) -> str:
         for texts, down, across in row:
             while (r, c) in filled:
                 c += 1
-            for at in ((r + i, c + j) for i in range(down) for j in range(across)):
-                filled[at] = " ".join(texts)
+            # A span reaches over rows that the table has, not beyond them.
+            below, aside = range(r, min(r + down, len(reader.rows))), range(c, c + across)
+            filled |= dict.fromkeys(itertools.product(below, aside), " ".join(texts))
             c += across
     if not any(r == 0 for r, _ in filled):
         return ""
@@ -83,37 +90,38 @@ def _html_table(html: str) -> str:
 
 
 def _pipe_table(text: str) -> str:
-    grid = [
-        [cell.strip() for cell in line.strip("|").split("|")]
-        for line in text.strip().split("\n")
-        if not PIPE_RULE.match(line)
-    ]
-    width = max((len(row) for row in grid), default=0)
-    return _sentences([row + [""] * (width - len(row)) for row in grid], headed=True)
+    lines = filter(lambda line: not PIPE_RULE.match(line), text.strip().split("\n"))
+    columns = itertools.zip_longest(*(map(str.strip, line.strip("|").split("|")) for line in lines), fillvalue="")
+    # zip_longest turned rows into columns once, filled up; turned twice they are rows again.
+    turned = list(itertools.zip_longest(*columns, fillvalue=""))
+    return _sentences([list(row) for row in turned], headed=True)
+
+
+def _pair_line(row: list[str]) -> str:
+    """A row of a list of keys and values."""
+    key, value = row
+    return f"- 【{key or NO_KEY}】：{value or NO_VALUE}。" if any(row) else ""
+
+
+def _record_line(names: list[str], row: list[str]) -> str:
+    """A row under a header: its subject and what the header calls its cells."""
+    told = [f"{n}为{c}" for n, c in list(zip(names, row))[1:] if c not in EMPTY_CELLS and c]
+    about = f"(对应{names[0]})" if names[0] else ""
+    if told:
+        return f"- 【{row[0] or NO_SUBJECT}】{about}：{'，'.join(told)}。"
+    return f"- 【{row[0]}】" if row[0] not in ("", NO_SUBJECT) else ""
 
 
 def _sentences(grid: list[list[str]], headed: bool) -> str:
+    """A sentence for each row. Two columns without any header are keys and values."""
     if not grid or not grid[0]:
         return ""
-    width = len(grid[0])
-    headed = headed or grid[0][0] == "" or width > 2
-    lines = []
-    if not headed and width == 2:
-        lines = [f"- 【{k or NO_KEY}】：{v or NO_VALUE}。" for k, v in grid if k or v]
+    if len(grid[0]) == 2 and grid[0][0] and not headed:
+        lines = map(_pair_line, grid)
     else:
-        names = [name or f"属性{i}" for i, name in enumerate(grid[0])]
-        about = f"(对应{grid[0][0]})" if grid[0][0] else ""
-        for subject, *cells in grid[1:]:
-            facts = "，".join(
-                f"{name}为{cell}"
-                for name, cell in zip(names[1:], cells)
-                if cell and cell not in EMPTY_CELLS
-            )
-            if facts:
-                lines.append(f"- 【{subject or NO_SUBJECT}】{about}：{facts}。")
-            elif subject and subject != NO_SUBJECT:
-                lines.append(f"- 【{subject}】")
-    return "\n\n" + "\n".join(lines) + "\n\n"
+        first = grid[0][:1] + [name or f"属性{i}" for i, name in enumerate(grid[0][1:], 1)]
+        lines = (_record_line(first, row) for row in grid[1:])
+    return "\n\n" + "\n".join(filter(None, lines)) + "\n\n"
 
 
 def linearize(text: str) -> str:

@@ -6,8 +6,10 @@ questions at once. Only query similarity needs Python's matcher; it is a row hel
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -139,31 +141,44 @@ def parse_evaluation(reply: Column) -> Column:
 # ------------------------------------------------------------------ planning
 
 
-def _is_english(query: str) -> bool:
-    return not re.search("[一-鿿]", query) and len(re.findall("[A-Za-z]+", query)) >= 2
+# The letters that make a text Chinese, what a comparison ignores.
+_HAN = re.compile("[一-鿿]")
+_NOISE = re.compile(r"[^\w一-鿿]+")
 
 
-def _similar(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len)
-    if short == long or (len(short) >= CONTAINED_LENGTH and short in long):
-        return True
-    return SequenceMatcher(None, a, b).ratio() >= SIMILAR_RATIO
+@dataclass(frozen=True)
+class _Search:
+    """A search text with the form in which it is compared."""
+
+    text: str
+    key: str
+
+    @classmethod
+    def of(cls, raw: object) -> _Search:
+        text = re.sub(r"\s+", " ", str(raw or "")).strip()
+        return cls(text, _NOISE.sub("", text).lower())
+
+    @property
+    def english(self) -> bool:
+        return _HAN.search(self.text) is None and len(re.findall("[A-Za-z]+", self.text)) > 1
+
+    def repeats(self, other: _Search) -> bool:
+        """Equal, contained unless very short, or of nearly the same letters in the same order."""
+        inner, outer = (self.key, other.key) if len(self.key) <= len(other.key) else (other.key, self.key)
+        contained = inner in outer and (len(inner) >= CONTAINED_LENGTH or inner == outer)
+        return contained or SequenceMatcher(None, self.key, other.key).ratio() >= SIMILAR_RATIO
 
 
 def distinct_queries(queries: Iterable[str], source: str, limit: int) -> list[str]:
-    """Drop near-duplicates; a Chinese question gets at most one English search text."""
-    chinese = re.search("[一-鿿]", source or "") is not None
-    kept: dict[str, str] = {}
-    english = 0
-    for raw in queries if queries is not None else ():
-        query = " ".join(str(raw or "").split())
-        key = re.sub(r"[^\w一-鿿]+", "", query).lower()
-        foreign = chinese and _is_english(query)
-        if len(kept) >= limit or not key or (foreign and english) or any(_similar(key, k) for k in kept):
-            continue
-        kept[key] = query
-        english += foreign
-    return list(kept.values())
+    """Search texts that say something new; a Chinese question gets at most one English one."""
+    asked_in_chinese = _HAN.search(source or "") is not None
+
+    def with_next(kept: tuple[_Search, ...], new: _Search) -> tuple[_Search, ...]:
+        second_english = asked_in_chinese and new.english and any(k.english for k in kept)
+        fits = len(kept) < limit and new.key and not second_english
+        return (*kept, new) if fits and not any(new.repeats(k) for k in kept) else kept
+
+    return [k.text for k in functools.reduce(with_next, map(_Search.of, () if queries is None else queries), ())]
 
 
 @F.pandas_udf(_strings)
