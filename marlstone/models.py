@@ -119,7 +119,7 @@ class OverlapScorer:
 
 
 class ExtractiveGenerator:
-    """Returns the first line after the last body label, or the prompt's first line."""
+    """Returns the first line after the first body label, or the prompt's first line."""
 
     def __init__(self, marker: str = "正文："):
         self.marker = marker

@@ -12,7 +12,6 @@ from marlstone.config import IngestSettings
 from marlstone.functions import formula
 from marlstone.functions.text import strip
 from marlstone.models import Generator, generate
-from marlstone.session import broadcast_if_small
 
 REPLY = T.StructType(
     [
@@ -117,7 +116,7 @@ def apply_descriptions(chunks: DataFrame, descriptions: DataFrame, keys: list[st
     some = chunks.where(F.size("formulas") > 0)
     items = some.select(*keys, F.posexplode("formulas").alias("pos", "f"))
     known = descriptions.select(F.col("formula_id").alias("fid"), "description", "variables", "conditions")
-    joined = items.join(broadcast_if_small(known), F.col("f.formula_id") == F.col("fid"), "left")
+    joined = items.join(known, F.col("f.formula_id") == F.col("fid"), "left")
     filled = F.struct(
         *[F.col(f"f.{n}").alias(n) for n in ("formula_id", "latex", "raw", "display", "keywords")],
         *[

@@ -24,7 +24,12 @@ TITLE_CHARS = 20
 
 def recent_messages(messages: DataFrame, limit: int = 10, order: str = "ts") -> DataFrame:
     """Newest ``limit`` messages of every session, ``rank`` 1 being the newest."""
-    return top_k(messages, ["session_id"], [F.col(order).desc()], limit)
+    return top_k(messages, ["session_id"], _newest(order), limit)
+
+
+def _newest(order: str) -> list[Column]:
+    """Newest first; messages of one time by a hash of what they say, so that reruns agree."""
+    return [F.col(order).desc(), F.xxhash64("role", "text")]
 
 
 def exchange_rows(answers: DataFrame) -> DataFrame:
@@ -51,24 +56,24 @@ def session_list(sessions: DataFrame, owner_id: str, limit: int = 50) -> DataFra
 
 
 def budgeted_history(
-    messages: DataFrame, budget: Column | int, order: str = "ts", largest: int = 12000
+    messages: DataFrame, budget: Column | int, order: str = "ts"
 ) -> DataFrame:
     """Newest messages of each session within a character budget, joined oldest first.
 
-    The message crossing the budget is cut. ``budget`` is a number or a per-session column
-    of at most ``largest``. A line takes at least the role name, a colon, one character and
+    The message crossing the budget is cut. ``budget`` is a number or a per-session column. A line takes at least the role name, a colon, one character and
     a separator, so only so many newest lines can fit; older ones are dropped, before the
     shuffle, whatever the length of a session.
     """
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     text = strip(F.coalesce(F.col("text"), F.lit("")))
-    limit = F.lit(budget) if isinstance(budget, int) else F.least(budget, F.lit(largest))
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    largest = budget if isinstance(budget, int) else messages.agg(F.max(budget)).first()[0] or 0
     spoken = messages.where(F.col("role").isin(*ROLE_NAMES) & (F.length(text) > 0)).select(
-        "session_id", order, F.concat(names[F.col("role")], F.lit("："), text).alias("line"), limit.alias("budget")
+        "session_id", order, "role", "text", F.concat(names[F.col("role")], F.lit("："), text).alias("line"), limit.alias("budget")
     )
     shortest = min(len(n) for n in ROLE_NAMES.values()) + 3
-    most = (budget if isinstance(budget, int) else largest) // shortest + 2
-    spoken = top_k(spoken, ["session_id"], [F.col(order).desc()], most, "age")
+    most = int(largest) // shortest + 2
+    spoken = top_k(spoken, ["session_id"], _newest(order), most, "age")
     before = Window.partitionBy("session_id").orderBy("age").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     room = spoken.withColumn("room", F.col("budget") - used)

@@ -23,7 +23,7 @@ from marlstone.operators.scoring import (
     per_query_block,
     slices,
 )
-from marlstone.session import BROADCAST_ROWS, collect_if_small, materialize
+from marlstone.session import materialize
 
 # The usual BM25 constants; both are parameters below.
 K1, B = 1.2, 0.75
@@ -45,14 +45,9 @@ def term_index(
     return with_terms(chunks, text_col, keys, vocabulary)
 
 
-def index_for(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Stored term index for several searches by the same queries (query_id, text).
-
-    Holds only terms the queries use while those fit a task, else all terms.
-    """
-    words = collect_if_small(query_terms(queries).select("token").distinct(), BROADCAST_ROWS)
-    vocabulary = None if words is None else frozenset(row.token for row in words)
-    return materialize(term_index(chunks, vocabulary=vocabulary), "index")
+def index_for(chunks: DataFrame) -> DataFrame:
+    """Stored term index with all terms of the chunks, for any number of searches."""
+    return materialize(term_index(chunks), "index")
 
 
 def token_statistics(index: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marlstone.config import QuerySettings
 from marlstone.functions.text import model_codes, normalize_name, strip, unique_strings
 from marlstone.operators.ranking import top_k
-from marlstone.session import broadcast_if_small
 
 # Quoted titles and words that announce a document.
 QUOTED_TITLE = r"《([^》]{2,100})》"
@@ -136,7 +135,7 @@ def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
             )
         ).alias("name_key"),
     )
-    hits = parts.join(broadcast_if_small(names), "name_key").where(
+    hits = parts.join(names, "name_key").where(
         routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("query_text"))
     )
     found = hits.select("query_id", "name_key", "doc_id", "group_key").distinct()
@@ -156,7 +155,7 @@ def code_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
     wanted = queries.select("query_id", model_codes(F.col("text")).alias("codes")).where(F.size("codes") > 0)
     each = wanted.select("query_id", F.size("codes").alias("needed"), F.explode("codes").alias("code"))
     owned = registry.select("doc_id", group_key().alias("group_key"), F.explode("model_codes").alias("code")).distinct()
-    joined = each.join(broadcast_if_small(owned), "code").groupBy("query_id", "needed", "doc_id", "group_key").agg(
+    joined = each.join(owned, "code").groupBy("query_id", "needed", "doc_id", "group_key").agg(
         F.count(F.lit(1)).alias("held")
     )
     return joined.where(F.col("held") == F.col("needed")).select("query_id", "doc_id", "group_key")

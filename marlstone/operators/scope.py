@@ -71,11 +71,14 @@ def search_scoped(
 ) -> DataFrame:
     """Route each query by its scope rows (query_id, doc_id, mode 'hard' or 'soft').
 
-    ``queries`` carries ``locked``. Hard wins over soft; queries without rows are global.
+    ``queries`` carries ``locked`` and, in grouped searches, ``grouped``. Hard wins over soft;
+    queries without rows are global. Only a grouped search in a locked scope may come back empty:
+    any other question without hits in its scope is searched everywhere.
     """
     hard = scope.where(F.col("mode") == "hard")
     soft = scope.where(F.col("mode") == "soft").join(hard.select("query_id"), "query_id", "left_anti")
-    hard_hits = search_hard(queries, hard, search, F.coalesce(F.col("locked"), F.lit(False)))
+    grouped = F.coalesce(F.col("grouped"), F.lit(False)) if "grouped" in queries.columns else F.lit(False)
+    hard_hits = search_hard(queries, hard, search, grouped & F.coalesce(F.col("locked"), F.lit(False)))
     others = queries.join(hard.select("query_id"), "query_id", "left_anti")
     other_hits = search_soft(others, soft, search, limit, settings)
     return hard_hits.select("query_id", "chunk_id", "rank", "route_fallback").unionByName(

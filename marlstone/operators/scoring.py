@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.operators.ranking import best_score_order, top_k
-from marlstone.session import BLOCK_ROWS, broadcast_if_small, scratch_dir
+from marlstone.session import BLOCK_ROWS, scratch_dir
 
 DECIMALS = 6
 # Rows this close to the k-th score are kept: rounding and summation order cannot lose one.
@@ -74,7 +74,7 @@ def allow_by_scope(chunks: DataFrame, scope: DataFrame) -> DataFrame:
     ``scope`` is (query_id, doc_id). The join drops every other chunk before scoring.
     """
     per_doc = scope.groupBy("doc_id").agg(F.collect_set("query_id").alias("allowed"))
-    return chunks.join(broadcast_if_small(per_doc), "doc_id")
+    return chunks.join(per_doc, "doc_id")
 
 
 def allowed_mask(batch: pa.RecordBatch, query_ids: list) -> np.ndarray | None:
@@ -137,6 +137,10 @@ def per_query_block(
     return spark.read.schema(schema).parquet(path)
 
 
+# Pairs of a chunk's token and a query that are held at a time.
+_PAIRS = 1 << 20
+
+
 class TokenWeights:
     """Query-side weights of one block: for each token the queries using it."""
 
@@ -157,12 +161,18 @@ class TokenWeights:
 
     def accumulate(self, rows: int, row: np.ndarray, token: np.ndarray, weight: np.ndarray):
         """Scores and hit mask (rows x queries) of entries (row, token position, weight)."""
-        counts = self.starts[token + 1] - self.starts[token]
-        spread = np.repeat(np.arange(len(token)), counts)
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        at = self.starts[token][spread] + (np.arange(len(spread)) - first)
-        cell = row[spread] * self.queries + self.query[at]
         size = rows * self.queries
-        scores = np.bincount(cell, weights=weight[spread] * self.weight[at], minlength=size)
-        hit = np.bincount(cell, minlength=size) > 0
+        scores, hit = np.zeros(size), np.zeros(size, bool)
+        all_counts = self.starts[token + 1] - self.starts[token]
+        # A token that all queries use has as many pairs as there are queries, so pairs are made in parts.
+        part = np.cumsum(all_counts) // _PAIRS
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(token)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own, counts = token[a:b], all_counts[a:b]
+            spread = np.repeat(np.arange(len(own)), counts)
+            first = np.repeat(np.cumsum(counts) - counts, counts)
+            at = self.starts[own][spread] + (np.arange(len(spread)) - first)
+            cell = row[a:b][spread] * self.queries + self.query[at]
+            np.add.at(scores, cell, weight[a:b][spread] * self.weight[at])
+            hit[cell] = True
         return scores.reshape(rows, self.queries), hit.reshape(rows, self.queries)

@@ -122,7 +122,15 @@ def answer(
     selected = selected.withColumn("coverage_protected", F.lit(False)).withColumn("conflict_judge_promoted", F.lit(False))
     if models.judge is not None and settings.conflict_judge_enabled:
         pairs = conflict.conflict_pairs(selected, ranked, settings)
-        prompts = pairs.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pair_id", "candidate_chunk_id", "victim_chunk_id")))).alias("prompt"))
+        body = F.substring("content", 1, settings.conflict_judge_document_max_chars)
+        bodies = ranked.select("query_id", F.col("chunk_id").alias("id"), body.alias("body"))
+        told = pairs
+        for side in ("candidate", "victim"):
+            named = bodies.select("query_id", F.col("id").alias(f"{side}_chunk_id"), F.col("body").alias(side))
+            told = told.join(named, ["query_id", f"{side}_chunk_id"], "left")
+        judged = F.array_sort(F.collect_list(F.struct("pair_id", "candidate_chunk_id", "candidate", "victim_chunk_id", "victim")))
+        prompts = told.groupBy("query_id").agg(judged.alias("pairs")).join(questions.select("query_id", "text"), "query_id")
+        prompts = prompts.select("query_id", F.to_json(F.struct(F.col("text").alias("question"), "pairs")).alias("prompt"))
         replies = generate(prompts, "prompt", "reply", models.judge)
         decided = materialize(conflict.decide(pairs, conflict.parse_decisions(replies), settings), "decided")
         selected = conflict.promote(selected, ranked, decided)
@@ -138,8 +146,13 @@ def answer(
         per_query = questions.select("query_id", "session_id").join(reserved, "session_id", "left")
         budget = context.split_budgets(per_query, settings)
     packed = context.pack_answer_context(documents, budget, settings)
-    prompts = questions.join(packed, "query_id", "left").withColumn(
-        "prompt", F.concat_ws("\n", F.coalesce("context", F.lit("")), F.concat(F.lit("问题："), F.col("text")))
+    prompts = questions.join(packed, "query_id", "left")
+    said = F.lit(None).cast("string")
+    if messages is not None and "session_id" in questions.columns:
+        prompts = prompts.join(per_query.select("query_id", "history"), "query_id", "left")
+        said = F.when(F.length("history") > 0, F.concat(F.lit("历史对话：\n"), F.col("history")))
+    prompts = prompts.withColumn(
+        "prompt", F.concat_ws("\n", F.coalesce("context", F.lit("")), said, F.concat(F.lit("问题："), F.col("text")))
     )
     replied = generate(prompts, "prompt", "reply", models.answer)
     return replied.join(routes, "query_id").select(

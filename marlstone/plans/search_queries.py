@@ -109,7 +109,7 @@ def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25_scoped(spark: SparkSession, sf_dir: str):
     """A branch search over one stored index, shared by all scopes."""
-    index = index_for(chunks(spark, sf_dir), questions(spark, sf_dir))
+    index = index_for(chunks(spark, sf_dir))
     return lambda asked, limited: bm25_top_k(None, asked, K, index=index, scope=limited)
 
 

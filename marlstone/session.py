@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from marlstone.errors import ConfigError
 
-# A side is broadcast only when a counted check shows it has at most this many rows.
-BROADCAST_ROWS = 200_000
 # A query block kept in a Python worker (vectors, vocabularies) is at most this large.
 BLOCK_ROWS = 4_096
 
@@ -87,16 +85,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than that many plus one."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after a row check; otherwise leave the join to a shuffle with AQE."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
 def collect_if_small(df: DataFrame, rows: int = BLOCK_ROWS) -> list[Row] | None:
     """Rows of a small table, or None when it is larger than the bound."""
     taken = df.limit(rows + 1).collect()

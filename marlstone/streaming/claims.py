@@ -1,7 +1,9 @@
 """Exactly-once import claims over a stream of uploads and results.
 
-Claims are an append-only log with one folder per micro-batch. A batch reads the latest
-record of only the hashes it sees, and overwrites its own folder when repeated.
+Claims and results are append-only logs with one folder per micro-batch each and their own
+numbers. A batch reads the latest record of only the hashes it sees, and overwrites its own
+folder when repeated. Within an attempt a result comes after the claim; a later attempt comes
+after both, so the order of records needs no clock.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from marlstone.config import IngestSettings
 from marlstone.operators import versions
 
+_LOGS = ("claims", "results")
+
 CLAIM = T.StructType(
     [
         T.StructField("source_hash", T.StringType()),
@@ -34,19 +38,25 @@ CLAIM = T.StructType(
 
 
 def claim_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """All logged claims, optionally only of batches before a number."""
-    log = spark.read.schema(T.StructType([*CLAIM.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
-    return log if before is None else log.where(F.col("batch") < before)
+    """All results and claims (``step`` 1 and 0), optionally only claims of batches before a number."""
+    logged = T.StructType([*CLAIM.fields, T.StructField("batch", T.IntegerType())])
+    log = spark.createDataFrame([], T.StructType([*logged.fields, T.StructField("step", T.IntegerType())]))
+    for step, name in enumerate(_LOGS):
+        if _exists(spark, f"{path}/{name}"):
+            rows = spark.read.schema(logged).parquet(f"{path}/{name}")
+            rows = rows.where(F.col("batch") < before) if before is not None and step == 0 else rows
+            log = log.unionByName(rows.withColumn("step", F.lit(step)))
+    return log
 
 
 def latest_claims(log: DataFrame) -> DataFrame:
-    return log.groupBy("source_hash").agg(F.max_by(F.struct(*CLAIM.names[1:]), "batch").alias("c")).select("source_hash", "c.*")
+    newest = F.max_by(F.struct(*CLAIM.names[1:]), F.struct("attempt", "step", "batch"))
+    return log.groupBy("source_hash").agg(newest.alias("c")).select("source_hash", "c.*")
 
 
-def _append(rows: DataFrame, path: str, batch: int) -> None:
-    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CLAIM.fields]).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/batch={batch}")
+def _append(rows: DataFrame, path: str, log: str, batch: int) -> None:
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CLAIM.fields]
+    rows.select(*columns).write.mode("overwrite").parquet(f"{path}/{log}/batch={batch}")
 
 
 def claim_batch(
@@ -55,10 +65,10 @@ def claim_batch(
     """Claim one batch of uploads, log the records it won, and return all with ``acquired``."""
     spark = uploads.sparkSession
     seen = uploads.select("source_hash").distinct()
-    known = latest_claims(claim_log(spark, path, batch).join(seen, "source_hash", "left_semi")) if _exists(spark, path) else spark.createDataFrame([], CLAIM)
+    known = latest_claims(claim_log(spark, path, batch).join(seen, "source_hash", "left_semi"))
     claimed = versions.claim(known.drop("doc_id", "content_hash"), uploads, now, settings)
-    _append(claimed.where("acquired"), path, batch)
-    won = spark.read.schema(CLAIM).parquet(f"{path}/batch={batch}").withColumn("acquired", F.lit(True))
+    _append(claimed.where("acquired"), path, "claims", batch)
+    won = spark.read.schema(CLAIM).parquet(f"{path}/claims/batch={batch}").withColumn("acquired", F.lit(True))
     held = known.join(won.select("source_hash"), "source_hash", "left_anti").withColumn("acquired", F.lit(False))
     return won.unionByName(held)
 
@@ -68,7 +78,7 @@ def finish_batch(results: DataFrame, path: str, batch: int) -> None:
     spark = results.sparkSession
     mine = latest_claims(claim_log(spark, path, batch).join(results.select("source_hash"), "source_hash", "left_semi"))
     finished = versions.require_no_lost_claims(versions.finish(mine, results))
-    _append(finished, path, batch)
+    _append(finished, path, "results", batch)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -43,6 +43,23 @@ def test_claims_follow_the_life_of_an_import(spark, tmp_path):
         claims.finish_batch(results.where("source_hash = 'h1'").withColumn("ok", F.lit(True)), path, 4)
 
 
+def test_finish_between_two_batches_is_kept(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    claims.claim_batch(uploads(spark, ("h1", "t1")), path, 0, now()).collect()
+    done = spark.createDataFrame([("h1", "t1", True, None, "doc", "c")], "source_hash string, task_id string, ok boolean, error string, doc_id string, content_hash string")
+    claims.finish_batch(done, path, 1)
+    claims.claim_batch(uploads(spark, ("h2", "t2")), path, 1, now()).collect()
+    state = {r.source_hash: r.status for r in claims.latest_claims(claims.claim_log(spark, path)).collect()}
+    assert state == {"h1": "completed", "h2": "processing"}
+    assert not claims.claim_batch(uploads(spark, ("h1", "t3")), path, 2, now()).head().acquired
+
+
+def test_column_budget_has_no_ceiling(spark):
+    said = spark.createDataFrame([("s", "user", "x" * 30000, 1, 20000)], "session_id string, role string, text string, ts long, b long")
+    assert len(history.budgeted_history(said, F.col("b")).head().history) == 20000
+    assert len(history.budgeted_history(said.drop("b"), 20000).head().history) == 20000
+
+
 def test_repeated_batch_gives_the_same_claims(spark, tmp_path):
     path = str(tmp_path / "claims")
     for _ in range(2):
