@@ -114,27 +114,27 @@ def group_key() -> Column:
 def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name_key, doc_id, group_key) of registry names inside a query's text.
 
-    Every substring of a query key with the length of some registry name is looked up by
-    equality, so no query is compared with every name. Only names contained in no longer
-    matched name of the query remain, besides all of the greatest length.
+    A name is looked up by its first characters at each place of the query, then compared as a
+    whole: as many rows as the query has places, whatever the number of names. Only names
+    contained in no longer matched name of the query remain, besides all of the greatest length.
     """
-    lengths = names.select(F.length("name_key").alias("n")).where(F.col("n") >= MIN_ALIAS)
-    sizes = lengths.agg(F.collect_set("n")).scalar()
+    known = names.select("name_key").where(F.length("name_key") >= MIN_ALIAS).distinct()
+    known = known.withColumn("head", F.substring("name_key", 1, MIN_ALIAS))
+    longest = known.agg(F.coalesce(F.max(F.length("name_key")), F.lit(0))).scalar()
     keyed = queries.select("query_id", F.col("text").alias("query_text"), normalize_name(F.col("text")).alias("key"))
-    starts = keyed.withColumn("sizes", sizes).select(
-        "query_id", "query_text", "key", F.explode(F.filter("sizes", lambda n: n <= F.length("key"))).alias("n")
-    )
-    parts = starts.select(
-        "query_id", "query_text",
+    places = keyed.where(F.length("key") >= MIN_ALIAS).withColumn("longest", longest).select(
+        "query_id",
         F.explode(
             F.array_distinct(
                 F.transform(
-                    F.sequence(F.lit(1), F.length("key") - F.col("n") + 1),
-                    lambda i: F.substring(F.col("key"), i, F.col("n")),
+                    F.sequence(F.lit(1), F.length("key") - MIN_ALIAS + 1), lambda i: F.substring(F.col("key"), i, F.col("longest"))
                 )
             )
-        ).alias("name_key"),
+        ).alias("part"),
     )
+    parts = places.withColumn("head", F.substring("part", 1, MIN_ALIAS)).join(known, "head")
+    parts = parts.where(F.startswith("part", "name_key")).select("query_id", "name_key").distinct()
+    parts = parts.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     hits = parts.join(names, "name_key").where(
         routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("query_text"))
     )
