@@ -32,8 +32,8 @@ class Likeness:
     shingle: int = 5
     part: int = 80
     whole: int = 100
-    # A shingle is frequent when its cell has this many more than twice the mean of the cells.
-    frequent: int = 24
+    # A shingle is frequent when its cell has this many more than chance gives a cell.
+    frequent: int = 16
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -88,7 +88,7 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
         parts = table.reshape(-1, _CHUNK)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([parts[i].astype(np.int32).tobytes() for i in used], pa.binary())],
+            [pa.array(used, pa.int32()), pa.array([np.minimum(parts[i], 65_535).astype(np.uint16).tobytes() for i in used], pa.binary())],
             ["chunk", "counts"],
         )
 
@@ -96,8 +96,8 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
-        marks = [np.packbits(c > 2 * c.mean() + rule.frequent).tobytes() for c in sums.values()]
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+        marks = [np.packbits(c > c.mean() + 6 * np.sqrt(c.mean()) + rule.frequent).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(marks, pa.binary())], ["chunk", "marks"])
 
     counted = _rows(docs).mapInArrow(count, "chunk int, counts binary")
