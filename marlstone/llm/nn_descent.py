@@ -94,7 +94,7 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
             bars = batch.column("bars").flatten().to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column("codes").flatten().to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
             most = int(sizes.max())
-            step = max(1, 4_000_000 // (most * most))
+            step = max(1, 500_000 // (most * most))
             starts = np.concatenate(([0], np.cumsum(sizes)))
             for at in range(0, len(sizes), step):
                 n = sizes[at : at + step]
@@ -175,7 +175,7 @@ def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
         there = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
         back = _best(graph.drop("place", "bar"), "other", rule.neighbours).select(F.col("other").alias("hub"), "node")
         lists = _grouped(there.union(back).join(member, "node"), ["hub"])
-        graph = _graph(_compared(lists, rule.neighbours // 2).union(graph.select("node", "other", "sim")), rule)
+        graph = _graph(_compared(lists, max(1, rule.neighbours // 4)).union(graph.select("node", "other", "sim")), rule)
         last, total = total, graph.agg(F.sum("sim"), F.count(F.lit(1))).first()
         if total[0] is None or (total[1] == last[1] and total[0] - last[0] <= rule.gain * abs(last[0])):
             break
