@@ -43,8 +43,9 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as Markdown: headings and paragraphs become lines, other markup goes."""
     pages = spread(table(spark, sf_dir, "pages"), "page_id")
     text = F.regexp_replace("html", r"(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", "")
-    text = F.regexp_replace(text, r"<h1[^>]*>", "\n# ")
-    text = F.regexp_replace(text, r"<(p|li|div|br|/h1)[^>]*>", "\n")
+    for level in range(1, 7):
+        text = F.regexp_replace(text, rf"<h{level}[^>]*>", "\n" + "#" * level + " ")
+    text = F.regexp_replace(text, r"<(p|li|div|br|/h[1-6])[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     return pages.select(F.col("page_id").alias("doc_key"), F.col("url").alias("file_title"), text.alias("content"))
 
