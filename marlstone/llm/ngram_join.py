@@ -16,12 +16,12 @@ from marlstone.session import materialize
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Cells of the frequency table and of the table of documents to verify. Both are of fixed size.
-_CELLS, _CHUNK = 1 << 21, 1 << 14
+_CELLS, _CHUNK = 1 << 22, 1 << 14
 _MARKS = 1 << 22
 # Turns in which each class is compared with one pivot.
 _TURNS = 2
 # Words of 64 bits in a set's parity bitmap.
-_PARITY = 4
+_PARITY = 8
 _BITS = [f"p{i}" for i in range(_PARITY)]
 
 
