@@ -15,13 +15,11 @@ from marlstone.session import materialize
 
 @dataclass(frozen=True)
 class Search:
-    neighbours: int = 20  # of a node in the graph, and as many that point to it
-    rounds: int = 3  # of neighbours of neighbours
-    gain: float = 0.001  # a round that raises the graph's similarities by less is the last
-    cell: int = 48  # nodes compared with one another at the start, three times with other cells
-    beam: int = 64  # best nodes a query keeps
-    width: int = 12  # nodes a query opens in a step
-    steps: int = 5
+    neighbours: int = 40  # of a node in the graph, and as many that point to it
+    gain: float = 0.001  # a round that changes a smaller part of the graph's edges is the last
+    cell: int = 96  # nodes compared with one another at the start, four times with other cells
+    beam: int = 128  # best nodes a query keeps
+    width: int = 24  # nodes a query opens in a step
     seed: int = 11
 
 
@@ -74,14 +72,14 @@ def _packed(nodes: DataFrame) -> DataFrame:
     return materialize(nodes.select("node", "vec").mapInArrow(pack, "node long, code binary"), "nn-codes")
 
 
-_EDGES = "node long, other long, sim float"
+_EDGES = "node long, other long, sim float, fresh boolean"
 
 
 def _compared(groups: DataFrame, keep: int) -> DataFrame:
-    """Edges between the members of each group: (node, other, sim).
+    """Edges between the members of each group: (node, other, sim, fresh).
 
-    ``groups`` has lists ``nodes, codes, bars`` of bounded length. A member gets its best ``keep``
-    others, and only those above its bar.
+    ``groups`` has lists ``nodes, codes, bars, news`` of bounded length. Pairs without a new member
+    were compared before. A member gets its best ``keep`` others, and only those above its bar.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +90,7 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
                 continue
             ids = lists.flatten().to_numpy()
             bars = batch.column("bars").flatten().to_numpy(zero_copy_only=False)
+            news = batch.column("news").flatten().to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column("codes").flatten().to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
             most = int(sizes.max())
             step = max(1, 500_000 // (most * most))
@@ -104,6 +103,7 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
                 block = codes[place] * real[:, :, None]
                 sims = block @ block.transpose(0, 2, 1)
                 out = ~(real[:, :, None] & real[:, None, :]) | (ids[place][:, :, None] == ids[place][:, None, :])
+                out |= ~(news[place][:, :, None] | news[place][:, None, :])
                 sims[out] = -9
                 k = min(keep, most)
                 best = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
@@ -111,11 +111,14 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
                 good = value > np.maximum(bars[place], -5)[:, :, None]
                 g, i, j = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[place][g, i]), pa.array(ids[place][g, best[g, i, j]]), pa.array(value[g, i, j].astype(np.float32))],
-                    ["node", "other", "sim"],
+                    [
+                        pa.array(ids[place][g, i]), pa.array(ids[place][g, best[g, i, j]]),
+                        pa.array(value[g, i, j].astype(np.float32)), pa.array(np.ones(len(g), bool)),
+                    ],
+                    ["node", "other", "sim", "fresh"],
                 )
 
-    return groups.select("nodes", "codes", "bars").mapInArrow(run, _EDGES)
+    return groups.select("nodes", "codes", "bars", "news").mapInArrow(run, _EDGES)
 
 
 def _best(edges: DataFrame, by: str, k: int) -> DataFrame:
@@ -125,8 +128,12 @@ def _best(edges: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def _graph(edges: DataFrame, rule: Search) -> DataFrame:
-    """Each node's best edges, with their place and the node's bar: its worst similarity, once it has enough."""
-    best = _best(edges.repartition("node").groupBy("node", "other").agg(F.max("sim").alias("sim")), "node", rule.neighbours)
+    """Each node's best edges, with their place and the node's bar: its worst similarity, once it has enough.
+
+    An edge is ``fresh`` if no graph before had it.
+    """
+    once = edges.repartition("node").groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    best = _best(once, "node", rule.neighbours)
     own = Window.partitionBy("node")
     full = F.count(F.lit(1)).over(own) >= rule.neighbours
     bar = F.when(full, F.min("sim").over(own)).otherwise(F.lit(-5.0)).cast("float")
@@ -134,14 +141,14 @@ def _graph(edges: DataFrame, rule: Search) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
-    lists = [F.collect_list(c).alias(name) for c, name in (("node", "nodes"), ("code", "codes"), ("bar", "bars"))]
+    lists = [F.collect_list(c).alias(name) for c, name in (("node", "nodes"), ("code", "codes"), ("bar", "bars"), ("fresh", "news"))]
     return rows.groupBy(*by).agg(*lists)
 
 
 def _first_graph(codes: DataFrame, rule: Search) -> DataFrame:
-    """Each node's best in three cells of nodes on the same sides of some random planes."""
+    """Each node's best in four cells of nodes on the same sides of some random planes."""
     count = max(1, codes.count())
-    turns = 3
+    turns = 4
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = max(0, int(np.ceil(np.log2(count / rule.cell))))
@@ -156,30 +163,39 @@ def _first_graph(codes: DataFrame, rule: Search) -> DataFrame:
     placed = codes.mapInArrow(sides, "node long, code binary, cell long")
     # A cell with many nodes is cut by a hash into parts of the wanted size.
     parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) / rule.cell)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "cell"), parts)).withColumn("bar", F.lit(-5.0).cast("float"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "cell"), parts))
+    placed = placed.withColumn("bar", F.lit(-5.0).cast("float")).withColumn("fresh", F.lit(True))
     return _graph(_compared(_grouped(placed, ["cell", "part"]), rule.neighbours), rule)
 
 
 def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
-    """(node, other, sim, place, bar): NN-descent.
+    """(node, other, sim, fresh, place, bar): NN-descent, until a round changes hardly any edge.
 
     In each round a node brings together its neighbours and some that point to it; these are
     compared with one another, and each takes over those that are better than its worst one. A
-    node gathers at most twice ``neighbours`` others, whatever the number that point to it.
+    node gathers at most twice ``neighbours`` others, whatever the number that point to it. Pairs
+    that it brought together before are left out.
     """
-    graph = _first_graph(codes, rule)
-    total = graph.agg(F.sum("sim"), F.count(F.lit(1))).first()
-    for _ in range(rule.rounds):
+    graph, met = _first_graph(codes, rule), None
+    while True:
         bars = graph.filter("place = 1").select("node", "bar")
         member = codes.join(bars, "node", "left").select("node", "code", F.coalesce("bar", F.lit(-5.0)).cast("float").alias("bar"))
         there = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
-        back = _best(graph.drop("place", "bar"), "other", rule.neighbours).select(F.col("other").alias("hub"), "node")
-        lists = _grouped(there.union(back).join(member, "node"), ["hub"])
-        graph = _graph(_compared(lists, max(1, rule.neighbours // 4)).union(graph.select("node", "other", "sim")), rule)
-        last, total = total, graph.agg(F.sum("sim"), F.count(F.lit(1))).first()
-        if total[0] is None or (total[1] == last[1] and total[0] - last[0] <= rule.gain * abs(last[0])):
-            break
-    return graph
+        back = _best(graph.select("node", "other", "sim"), "other", rule.neighbours).select(F.col("other").alias("hub"), "node")
+        now = there.union(back).distinct()
+        if met is None:
+            now = now.withColumn("fresh", F.lit(True))
+        else:
+            now = now.join(met.withColumn("met", F.lit(True)), ["hub", "node"], "left").select("hub", "node", F.col("met").isNull().alias("fresh"))
+        now = materialize(now, "nn-members")
+        met = now.select("hub", "node")
+        hubs = now.filter("fresh").select("hub").distinct()
+        lists = _grouped(now.join(hubs, "hub", "left_semi").join(member, "node"), ["hub"])
+        kept = graph.select("node", "other", "sim", F.lit(False).alias("fresh"))
+        graph = _graph(_compared(lists, rule.neighbours).union(kept), rule)
+        edges, changed = graph.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if changed <= rule.gain * edges:
+            return graph
 
 
 def links(graph: DataFrame, nodes: DataFrame, rule: Search) -> DataFrame:
@@ -188,7 +204,7 @@ def links(graph: DataFrame, nodes: DataFrame, rule: Search) -> DataFrame:
     The random ones let a walk leave a group of nodes that only know one another.
     """
     there = graph.select("node", "other")
-    back = _best(graph.drop("place", "bar"), "other", rule.neighbours).select(F.col("other").alias("node"), F.col("node").alias("other"))
+    back = _best(graph.select("node", "other", "sim"), "other", rule.neighbours).select(F.col("other").alias("node"), F.col("node").alias("other"))
     cells = max(1, nodes.count() // 4)
     near = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(cells)).alias("cell"))
     far = nodes.select(F.col("node").alias("other"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cells)).alias("cell"))
@@ -205,7 +221,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule:
 
     ``queries`` has query, vec and entry, the node to begin at: the query's own vector. In a step each query opens its best
     nodes not yet opened; the nodes linked to them come with their vectors to the query's row, which
-    scores them and keeps the best. A query whose best nodes are all open is done.
+    scores them and keeps the best. The walk ends when all best nodes of all queries are open.
     """
     there = nodes.select(F.col("node").alias("other"), F.col("vec").alias("there"))
 
@@ -238,7 +254,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule:
     beam = queries.select(
         "query", "vec", F.array("entry").alias("nodes"), F.array(norm).alias("scores"), F.array(F.lit(False)).alias("opened")
     )
-    for _ in range(rule.steps):
+    while True:
         closed = F.expr("filter(arrays_zip(nodes, scores, opened), x -> not x.opened)")
         first = F.expr(f"slice(array_sort(closed, (a, b) -> case when a.scores > b.scores or (a.scores = b.scores and a.nodes < b.nodes) then -1 else 1 end), 1, {rule.width})")
         ahead = beam.withColumn("closed", closed).select("query", F.explode(first).alias("x")).select("query", F.col("x.nodes").alias("node"))

@@ -287,6 +287,21 @@ def test_search_in_small_and_empty_tables(spark):
     assert nn_descent.nearest(frame.filter("1 = 0"), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def recall(spark, vectors, k):
+    """Of the k best scores of every 20th row, the part that the search finds."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(frame, F.col("id") % 20 == 0, k).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = [len(got[q] & set([i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:k])) for q in range(0, len(vectors), 20)]
+    return sum(found) / k / len(found)
+
+
+def test_search_without_clusters(spark):
+    vectors = np.random.default_rng(3).normal(size=(4000, 64))
+    assert recall(spark, vectors / np.linalg.norm(vectors, axis=1)[:, None], 20) >= 0.98
+
+
 # 8: fingerprints
 
 
