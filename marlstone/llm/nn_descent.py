@@ -20,6 +20,7 @@ class Search:
     cell: int = 96  # nodes compared with one another at the start, four times with other cells
     beam: int = 128  # best nodes a query keeps
     width: int = 24  # nodes a query opens in a step
+    starts: int = 64  # nodes a query begins at among vectors of other lengths
     seed: int = 11
 
 
@@ -54,22 +55,28 @@ def dot(a: str, b: str) -> Column:
 
 
 def _packed(nodes: DataFrame) -> DataFrame:
-    """(node, code): short floats of each vector and of the component that makes all norms equal.
+    """(node, band, code): floats of each vector and of the component that makes all norms of its band equal.
 
-    With it, larger inner products are smaller distances, which graph search needs.
+    With it, larger inner products are smaller distances, which graph search needs. Norms in a band
+    differ by less than a factor of two, so a long vector leaves the codes of others as they are.
     """
-    norm = dot("vec", "vec")
-    top = nodes.agg(F.max(norm)).first()[0] or 1.0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("vec")
-            rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) / np.sqrt(top)
-            more = np.sqrt(np.maximum(0, 1 - (rows * rows).sum(1)))
-            codes = np.concatenate((rows, more[:, None]), 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "code"])
-
-    return materialize(nodes.select("node", "vec").mapInArrow(pack, "node long, code binary"), "nn-codes")
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            top = np.abs(rows).max(1)
+            rows = rows / top[:, None]
+            norm = np.sqrt((rows * rows).sum(1))
+            height = np.log2(top) + np.log2(norm)
+            band = np.floor(height + 0.5)
+            size = np.exp2(height - band - 0.5)
+            more = np.sqrt(np.maximum(0, 1 - size * size))
+            codes = np.concatenate((rows * (size / norm)[:, None], more[:, None]), 1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(band.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "band", "code"]
+            )
+
+    return materialize(nodes.select("node", "vec").mapInArrow(pack, "node long, band long, code binary"), "nn-codes")
 
 
 _EDGES = "node long, other long, sim float, fresh boolean"
@@ -91,7 +98,7 @@ def _compared(groups: DataFrame, keep: int) -> DataFrame:
             ids = lists.flatten().to_numpy()
             bars = batch.column("bars").flatten().to_numpy(zero_copy_only=False)
             news = batch.column("news").flatten().to_numpy(zero_copy_only=False)
-            codes = np.frombuffer(b"".join(batch.column("codes").flatten().to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
+            codes = np.frombuffer(b"".join(batch.column("codes").flatten().to_pylist()), np.float32).reshape(len(ids), -1)
             most = int(sizes.max())
             step = max(1, 500_000 // (most * most))
             starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -146,26 +153,27 @@ def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _first_graph(codes: DataFrame, rule: Search) -> DataFrame:
-    """Each node's best in four cells of nodes on the same sides of some random planes."""
-    count = max(1, codes.count())
+    """Each node's best in four cells of nodes of its band on the same sides of some random planes."""
+    bits = {r["band"]: max(0, int(np.ceil(np.log2(r["count"] / rule.cell)))) for r in codes.groupBy("band").count().collect()}
+    most = max(bits.values(), default=0)
     turns = 4
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = max(0, int(np.ceil(np.log2(count / rule.cell))))
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.float16).reshape(len(batch), -1).astype(np.float64)
+            rows = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.float32).reshape(len(batch), -1)[:, :-1].astype(np.float64)
+            used = np.arange(most) < np.array([bits[x] for x in batch.column("band").to_pylist()])[:, None]
             for turn in range(turns):
-                planes = np.random.default_rng((rule.seed, turn)).normal(size=(rows.shape[1], bits))
-                signs = (rows @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(rows), np.int64)
+                planes = np.random.default_rng((rule.seed, turn)).normal(size=(rows.shape[1], most))
+                signs = ((rows @ planes > 0) & used) @ (1 << np.arange(most)) if most else np.zeros(len(rows), np.int64)
                 cell = pa.array(signs.astype(np.int64) * turns + turn)
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell], ["node", "code", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, cell], ["node", "band", "code", "cell"])
 
-    placed = codes.mapInArrow(sides, "node long, code binary, cell long")
+    placed = codes.select("node", "band", "code").mapInArrow(sides, "node long, band long, code binary, cell long")
     # A cell with many nodes is cut by a hash into parts of the wanted size.
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) / rule.cell)
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("band", "cell")) / rule.cell)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node", "cell"), parts))
     placed = placed.withColumn("bar", F.lit(-5.0).cast("float")).withColumn("fresh", F.lit(True))
-    return _graph(_compared(_grouped(placed, ["cell", "part"]), rule.neighbours), rule)
+    return _graph(_compared(_grouped(placed, ["band", "cell", "part"]), rule.neighbours), rule)
 
 
 def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
@@ -198,28 +206,30 @@ def neighbour_graph(codes: DataFrame, rule: Search) -> DataFrame:
             return graph
 
 
-def links(graph: DataFrame, nodes: DataFrame, rule: Search) -> DataFrame:
+def links(graph: DataFrame, codes: DataFrame, rule: Search) -> DataFrame:
     """(node, others): the graph in both directions, at most twice ``neighbours`` at a node, and random links.
 
-    The random ones let a walk leave a group of nodes that only know one another.
+    The random ones let a walk leave a group of nodes that only know one another. All stay in a band.
     """
     there = graph.select("node", "other")
     back = _best(graph.select("node", "other", "sim"), "other", rule.neighbours).select(F.col("other").alias("node"), F.col("node").alias("other"))
-    cells = max(1, nodes.count() // 4)
-    near = nodes.select("node", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(cells)).alias("cell"))
-    far = nodes.select(F.col("node").alias("other"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cells)).alias("cell"))
-    random = near.join(far, "cell").select("node", "other")
+    # Bands are exponents of doubles, so at most some thousands.
+    cells = F.broadcast(codes.groupBy("band").agg(F.greatest(F.lit(1), F.expr("count(*) div 4")).alias("cells")))
+    placed = codes.select("node", "band").join(cells, "band")
+    near = placed.select("node", "band", F.expr("pmod(xxhash64(node, 1), cells)").alias("cell"))
+    far = placed.select(F.col("node").alias("other"), "band", F.expr("pmod(xxhash64(node, 2), cells)").alias("cell"))
+    random = near.join(far, ["band", "cell"]).select("node", "other")
     both = there.union(back).union(random).filter("node <> other")
     return materialize(both.groupBy("node").agg(F.collect_set("other").alias("others")), "nn-links")
 
 
-_BEAM = "query long, vec array<double>, nodes array<long>, scores array<double>, opened array<boolean>"
+_BEAM = "query long, band long, vec array<double>, nodes array<long>, scores array<double>, opened array<boolean>"
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule: Search) -> DataFrame:
-    """(query, node, score): the best ``beam`` nodes that a walk over the links finds for each query.
+    """(query, node, score): the best ``beam`` nodes of each band that a walk over the links finds for each query.
 
-    ``queries`` has query, vec and entry, the node to begin at: the query's own vector. In a step each query opens its best
+    ``queries`` has query, band, vec and the nodes to begin at with their scores. In a step each query opens its best
     nodes not yet opened; the nodes linked to them come with their vectors to the query's row, which
     scores them and keeps the best. The walk ends when all best nodes of all queries are open.
     """
@@ -245,24 +255,22 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule:
                     score = np.concatenate((score, (rows * vec).sum(1)))
                     opened = np.concatenate((opened, np.zeros(fresh.sum(), bool)))
                 best = np.lexsort((ids, -score))[: rule.beam]
-                out.append((batch.column("query")[row], vec, ids[best], score[best], opened[best]))
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
-            columns = [pa.array([x[0].as_py() for x in out], kinds[0]), *[pa.array([x[i] for x in out], kinds[i]) for i in range(1, 5)]]
-            yield pa.RecordBatch.from_arrays(columns, ["query", "vec", "nodes", "scores", "opened"])
-
-    norm = dot("vec", "vec")
-    beam = queries.select(
-        "query", "vec", F.array("entry").alias("nodes"), F.array(norm).alias("scores"), F.array(F.lit(False)).alias("opened")
-    )
+                out.append((batch.column("query")[row], batch.column("band")[row], vec, ids[best], score[best], opened[best]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
+            columns = [pa.array([x[i].as_py() for x in out], kinds[i]) for i in range(2)]
+            columns += [pa.array([x[i] for x in out], kinds[i]) for i in range(2, 6)]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "band", "vec", "nodes", "scores", "opened"])
+
+    beam = queries.select("query", "band", "vec", "nodes", "scores", F.transform("nodes", lambda x: F.lit(False)).alias("opened"))
     while True:
         closed = F.expr("filter(arrays_zip(nodes, scores, opened), x -> not x.opened)")
         first = F.expr(f"slice(array_sort(closed, (a, b) -> case when a.scores > b.scores or (a.scores = b.scores and a.nodes < b.nodes) then -1 else 1 end), 1, {rule.width})")
-        ahead = beam.withColumn("closed", closed).select("query", F.explode(first).alias("x")).select("query", F.col("x.nodes").alias("node"))
-        new = ahead.join(edges, "node").select("query", F.explode("others").alias("other"))
+        ahead = beam.withColumn("closed", closed).select("query", "band", F.explode(first).alias("x"))
+        new = ahead.select("query", "band", F.col("x.nodes").alias("node")).join(edges, "node").select("query", "band", F.explode("others").alias("other"))
         new = new.repartition("other").distinct().join(there, "other")
-        lists = new.groupBy("query").agg(F.collect_list(F.struct("other", "there")).alias("x"))
-        lists = lists.select("query", F.col("x.other").alias("others"), F.col("x.there").alias("vecs"))
-        beam = materialize(beam.join(lists, "query", "left").mapInArrow(merged, _BEAM), "nn-beam")
+        lists = new.groupBy("query", "band").agg(F.collect_list(F.struct("other", "there")).alias("x"))
+        lists = lists.select("query", "band", F.col("x.other").alias("others"), F.col("x.there").alias("vecs"))
+        beam = materialize(beam.join(lists, ["query", "band"], "left").mapInArrow(merged, _BEAM), "nn-beam")
         if beam.filter("exists(opened, x -> not x)").isEmpty():
             break
     return beam.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select(
@@ -270,6 +278,22 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, rule:
     )
 
 
+def starts(wanted: DataFrame, nodes: DataFrame, codes: DataFrame, rule: Search) -> DataFrame:
+    """(query, band, vec, nodes, scores): where a query's walk begins in each band.
+
+    In its own band that is its own vector, in each other one some nodes that a hash selects.
+    """
+    own = wanted.join(codes.select("node", "band"), "node")
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node"), "node"))
+    some = codes.select("node", "band").withColumn("place", place).filter(F.col("place") <= rule.starts)
+    some = some.join(nodes.select("node", F.col("vec").alias("there")), "node")
+    some = some.groupBy(F.col("band").alias("far")).agg(F.collect_list(F.struct("node", "there")).alias("some"))
+    far = own.crossJoin(F.broadcast(some)).filter("far <> band")
+    score = F.transform("some", lambda x: F.aggregate(F.zip_with(x["there"], F.col("vec"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    here = own.select("query", "band", "vec", F.array("node").alias("nodes"), F.array(dot("vec", "vec")).alias("scores"))
+    return here.union(far.select("query", "far", "vec", "some.node", score))
+
+
 def nearest(rows: DataFrame, query_ids: Column, k: int, key: str = "vec_id", column: str = "embedding", rule: Search | None = None) -> DataFrame:
     """The ``k`` rows of largest inner product found for each row whose id fulfils ``query_ids``.
 
@@ -284,10 +308,10 @@ def nearest(rows: DataFrame, query_ids: Column, k: int, key: str = "vec_id", col
     vectors = materialize(clean_vectors(rows, key, column), "nn-vectors")
     nodes = distinct_nodes(vectors, k + 1)
     codes = _packed(nodes)
-    edges = links(neighbour_graph(codes, rule), nodes, rule)
+    edges = links(neighbour_graph(codes, rule), codes, rule)
     wanted = vectors.filter(query_ids).dropDuplicates(["id"])
-    wanted = wanted.select(F.col("id").alias("query"), "vec", F.xxhash64("vec").alias("entry"))
-    found = greedy_search(wanted, nodes, edges, rule)
+    wanted = wanted.select(F.col("id").alias("query"), "vec", F.xxhash64("vec").alias("node"))
+    found = greedy_search(starts(wanted, nodes, codes, rule), nodes, edges, rule)
     ids = nodes.select("node", F.explode("ids").alias("vec_id"))
     hits = found.join(ids, "node").filter("vec_id <> query")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -302,6 +302,15 @@ def test_search_without_clusters(spark):
     assert recall(spark, vectors / np.linalg.norm(vectors, axis=1)[:, None], 20) >= 0.98
 
 
+def test_search_with_a_few_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1200, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[[7, 500, 901]] *= [[1e4], [2e4], [1e5]]
+    vectors[1000:1100] *= 30
+    assert recall(spark, vectors, 20) >= 0.98
+
+
 # 8: fingerprints
 
 
