@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, token_counts, toxicity
+from marlstone.llm import brown, filter_audit, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,15 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_shared_prefix_viterbi": op1_shared_prefix_viterbi,
     "op2_kneser_ney_quality": op2_kneser_ney_quality, "op3_ngram_join": op3_ngram_join, "op4_nn_descent": op4_nn_descent,
     "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op7_brown_lm": op7_brown_lm, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL}
+ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL, "op11_filter_audit": filter_audit.SQL}
