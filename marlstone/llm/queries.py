@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, brown, filter_audit, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, token_counts, toxicity
+from marlstone.llm import alignment, brown, filter_audit, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, subspace_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_subspace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -81,6 +85,6 @@ QUERIES = {
     "op2_kneser_ney_quality": op2_kneser_ney_quality, "op3_ngram_join": op3_ngram_join, "op4_nn_descent": op4_nn_descent,
     "op5_token_counts": op5_token_counts, "op6_source_mix": op6_source_mix, "op7_brown_lm": op7_brown_lm, "op8_threshold_sketch": op8_threshold_sketch,
     "op9_personal_data": op9_personal_data, "op10_subword_toxicity": op10_subword_toxicity,
-    "op11_filter_audit": op11_filter_audit, "op13_end_alignment": op13_end_alignment,
+    "op11_filter_audit": op11_filter_audit, "op12_subspace_dedup": op12_subspace_dedup, "op13_end_alignment": op13_end_alignment,
 }
-ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL, "op11_filter_audit": filter_audit.SQL}
+ORACLES = {"op3_ngram_join": ngram_join.SQL, "op6_source_mix": mixing.SQL, "op11_filter_audit": filter_audit.SQL, "op12_subspace_dedup": subspace_dedup.SQL}
