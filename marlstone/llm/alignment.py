@@ -8,6 +8,7 @@ import os
 import re
 import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.text import plain_text, text_batches
 from marlstone.session import materialize
 
-# One call of the libraries gets about this many bytes; a piece of the merge path has this many steps.
-CALL_BYTES, WORK = 1 << 20, 1 << 16
+# Texts of a block and of one call of the libraries have about so many bytes; a piece of the merge path has WORK steps.
+BLOCK_BYTES, CALL_BYTES, WORK = 4 << 20, 1 << 18, 1 << 16
 _SPACE = "▁"
 # Both tokenizers cut before a single space between characters that are no white space.
 _BOUNDARY = re.compile(rf"(?<=[^\s{_SPACE}]) (?=[^\s{_SPACE}])")
@@ -212,46 +213,69 @@ _BLOCK = (
 )
 
 
+@lru_cache(maxsize=1)
+def _aligner(a_blob: str, b_blob: bytes) -> Aligner:
+    """One for each Python worker, not for each task."""
+    return Aligner(a_blob, b_blob)
+
+
+def _parts(texts: pa.Array) -> list[slice]:
+    """Runs of texts of about ``BLOCK_BYTES``; a longer text is one by itself."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // BLOCK_BYTES)) + 1
+    return [slice(int(x), int(y)) for x, y in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+
+
+def _block(aligner: Aligner, ids: pa.Array, texts: pa.Array, whole_groups: bool) -> pa.RecordBatch:
+    """A row of :func:`aligned_blocks`."""
+    parts, offsets = segments(texts)
+    coded = pc.dictionary_encode(parts)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    valid, na, nb, links, pairs, groups = aligner.distinct(coded.dictionary)
+    good = _sums(~valid[codes], offsets) == 0
+    kept = np.repeat(good, np.diff(offsets))
+    codes, offsets = codes[kept], np.concatenate(([0], np.cumsum(np.diff(offsets) * good)))
+    figures = [_sums(x[codes], offsets) for x in (na, nb, links)]
+    texts_of = []
+    for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        joined = b"".join(map(groups.__getitem__, codes[x:y].tolist()))[:-1]
+        texts_of.append(joined.decode() if whole_groups or not joined else hashlib.sha256(joined).hexdigest())
+    distinct, place = np.unique(pairs, return_inverse=True)
+    amounts = np.zeros(len(distinct), np.int64)
+    np.add.at(amounts, place, np.repeat(np.bincount(codes, minlength=len(valid)), links))
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    columns = {
+        "block": pa.array([secrets.randbits(63)]),
+        "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        **{c: pa.array([x], longs) for c, x in zip(("n_a", "n_b", "n_links"), figures, strict=True)},
+        "groups": pa.array([texts_of], pa.list_(pa.string())),
+        "segments": pa.array([codes.astype(np.int32).tobytes()]),
+        "segment_ends": pa.array([offsets.astype(np.int64).tobytes()]),
+        "pairs": pa.array([place.astype(np.int32).tobytes()]),
+        "pair_ends": pa.array([np.concatenate(([0], np.cumsum(links))).tobytes()]),
+        "a": pa.array([(distinct >> 32).astype(np.int32)], ints),
+        "b": pa.array([(distinct & 0xFFFFFFFF).astype(np.int32)], ints),
+        "n": pa.array([amounts], longs),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def aligned_blocks(docs: DataFrame, a_vocabulary: str, b_vocabulary: str, whole_groups: bool = False) -> DataFrame:
-    """One row for each Arrow batch of texts: the documents' figures, and their links by distinct segment. Written.
+    """One row for each part of an Arrow batch: the documents' figures, and their links by distinct segment. Written.
 
-    Distinct segments of the batch are encoded and aligned once. ``a, b, n`` are the batch's distinct
+    Distinct segments of the part are encoded and aligned once. ``a, b, n`` are the part's distinct
     linked ids and how many links it has of each; ``pairs`` are places among them, segment by segment;
     ``segments`` are places among distinct segments, document by document.
     """
     a_blob, b_blob = Path(a_vocabulary).read_text(encoding="utf-8"), Path(b_vocabulary).read_bytes()
     rows = docs.select("doc_id", plain_text().alias("text"))
     schema = _BLOCK.format(kind=f"array<{rows.schema['doc_id'].dataType.simpleString()}>")
-    names = [field.split(" ")[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a_blob, b_blob)
+        aligner = _aligner(a_blob, b_blob)
         for batch, texts in text_batches(batches):
-            parts, offsets = segments(texts)
-            coded = pc.dictionary_encode(parts)
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            valid, na, nb, links, pairs, groups = aligner.distinct(coded.dictionary)
-            good = _sums(~valid[codes], offsets) == 0
-            kept = np.repeat(good, np.diff(offsets))
-            codes, offsets = codes[kept], np.concatenate(([0], np.cumsum(np.diff(offsets) * good)))
-            figures = [_sums(x[codes], offsets) for x in (na, nb, links)]
-            texts_of = []
-            for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-                joined = b"".join(map(groups.__getitem__, codes[x:y].tolist()))[:-1]
-                texts_of.append(joined.decode() if whole_groups or not joined else hashlib.sha256(joined).hexdigest())
-            distinct, place = np.unique(pairs, return_inverse=True)
-            times = np.repeat(np.bincount(codes, minlength=len(valid)), links)
-            amounts = np.zeros(len(distinct), np.int64)
-            np.add.at(amounts, place, times)
-            values = [
-                [secrets.randbits(63)], [batch.column("doc_id").to_pylist()], *[[x] for x in figures], [texts_of],
-                [codes.astype(np.int32).tobytes()], [offsets.astype(np.int64).tobytes()],
-                [place.astype(np.int32).tobytes()], [np.concatenate(([0], np.cumsum(links))).tobytes()],
-                [(distinct >> 32).astype(np.int32)], [(distinct & 0xFFFFFFFF).astype(np.int32)], [amounts],
-            ]
-            kinds = [pa.int64(), pa.list_(batch.schema.field("doc_id").type), *[pa.list_(pa.int64())] * 3, pa.list_(pa.string())]
-            kinds += [pa.binary()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+            for part in _parts(texts):
+                yield _block(aligner, batch.column("doc_id").slice(part.start, part.stop - part.start), texts[part], whole_groups)
 
     return materialize(rows.mapInArrow(run, schema), "aligned")
 
