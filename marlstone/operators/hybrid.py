@@ -9,6 +9,7 @@ from marlstone.config import QuerySettings
 from marlstone.operators.dense import dense_top_k
 from marlstone.operators.fusion import merge_lists
 from marlstone.operators.lexical import sparse_top_k
+from marlstone.operators.postings import Postings
 from marlstone.operators.scoring import DECIMALS
 
 
@@ -40,11 +41,15 @@ def hybrid_top_k(
     k: int = 12,
     scope: DataFrame | None = None,
     settings: QuerySettings = QuerySettings(),
+    sparse: Postings | None = None,
 ) -> DataFrame:
-    """Hybrid search over vectors(chunk_id, dense, sparse) for query_vectors(query_id, ...)."""
+    """Hybrid search over vectors(chunk_id, dense, sparse) for query_vectors(query_id, ...).
+
+    ``sparse`` are stored postings of the sparse vectors, if there are some.
+    """
     return weighted_hybrid(
         dense_top_k(vectors, query_vectors, k, scope),
-        sparse_top_k(vectors, query_vectors, k, scope),
+        sparse_top_k(vectors if sparse is None else sparse, query_vectors, k, scope),
         k,
         settings,
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.terms import with_terms
+from marlstone.operators.postings import Postings, bm25_contribution, build_postings, product, search_postings
 from marlstone.operators.scoring import (
     Keeper,
     TokenWeights,
@@ -45,9 +46,16 @@ def term_index(
     return with_terms(chunks, text_col, keys, vocabulary)
 
 
-def index_for(chunks: DataFrame) -> DataFrame:
-    """Stored term index with all terms of the chunks, for any number of searches."""
-    return materialize(term_index(chunks), "index")
+def index_for(chunks: DataFrame) -> Postings:
+    """Stored postings of all terms of the chunks, for any number of searches."""
+    return build_postings(materialize(term_index(chunks), "index"))
+
+
+def sparse_index(vectors: DataFrame) -> Postings:
+    """Stored postings of sparse vectors (chunk_id[, doc_id], sparse)."""
+    keys = [c for c in ("chunk_id", "doc_id") if c in vectors.columns]
+    terms = F.transform(F.map_entries("sparse"), lambda e: F.struct(e["key"].alias("token"), e["value"].alias("value")))
+    return build_postings(vectors.select(*keys, terms.alias("terms")))
 
 
 def token_statistics(index: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def bm25_top_k(
     queries: DataFrame,
     k: int = 12,
     *,
-    index: DataFrame | None = None,
+    index: DataFrame | Postings | None = None,
     scope: DataFrame | None = None,
     k1: float = K1,
     b: float = B,
@@ -78,10 +86,13 @@ def bm25_top_k(
     """Best ``k`` chunks per query: (query_id, chunk_id, score, rank).
 
     Give ``chunks`` (chunk_id, content) for a one-off search, which counts only terms some
-    query uses, or a stored ``index`` of :func:`term_index` for repeated ones. ``queries``
+    query uses, or a stored ``index`` for repeated ones: postings of :func:`index_for`, of which
+    only what can matter is read, or a forward index of :func:`term_index`. ``queries``
     is (query_id, text); chunks sharing no term with a query are not results. ``scope``
     (query_id, doc_id) limits queries to documents; statistics stay those of all chunks.
     """
+    if isinstance(index, Postings):
+        return search_postings(index, query_terms(queries), k, bm25_contribution(index, k1, b), scope)
 
     def search(block: DataFrame) -> DataFrame:
         terms = [(r.query_id, r.token) for r in query_terms(block).collect()]
@@ -117,12 +128,16 @@ def bm25_top_k(
 
 
 def sparse_top_k(
-    vectors: DataFrame, query_vectors: DataFrame, k: int = 12, scope: DataFrame | None = None
+    vectors: DataFrame | Postings, query_vectors: DataFrame, k: int = 12, scope: DataFrame | None = None
 ) -> DataFrame:
     """Best ``k`` by inner product: vectors(chunk_id, sparse), query_vectors(query_id, sparse).
 
-    A chunk is a result when it shares a token with the query, whatever the product.
+    A chunk is a result when it shares a token with the query, whatever the product. Stored
+    postings of :func:`sparse_index` stand for the vectors in repeated searches.
     """
+    if isinstance(vectors, Postings):
+        terms = query_vectors.select("query_id", F.explode("sparse").alias("token", "weight"))
+        return search_postings(vectors, terms, k, product, scope)
     scoped = vectors if scope is None else allow_by_scope(vectors, scope)
     kept = [c for c in ("chunk_id", "allowed") if c in scoped.columns]
     entries = scoped.select(*kept, F.map_entries("sparse").alias("terms"))

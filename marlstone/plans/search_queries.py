@@ -9,32 +9,49 @@ from marlstone.config import QuerySettings
 from marlstone.models import embed
 from marlstone.operators import fusion, hybrid, scope
 from marlstone.operators.dense import dense_top_k
-from marlstone.operators.lexical import bm25_top_k, index_for, sparse_top_k
-from marlstone.plans.tables import chunks, questions, scope_rows, table
+from marlstone.operators.lexical import bm25_top_k, sparse_index, sparse_top_k, term_index
+from marlstone.operators.postings import Postings, build_postings
+from marlstone.plans.tables import chunks, questions, scope_rows, stored, table
 from marlstone.session import materialize
 
 K = 12
 
 
+def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored terms of every chunk."""
+    return stored(spark, sf_dir, "documents", "terms", lambda: materialize(term_index(chunks(spark, sf_dir)), "terms"))
+
+
+def keyword_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """Stored postings of the chunks' terms, shared by all keyword searches."""
+    return stored(spark, sf_dir, "documents", "postings", lambda: build_postings(forward_index(spark, sf_dir)))
+
+
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_top_k(chunks(spark, sf_dir), questions(spark, sf_dir), K)
+    return bm25_top_k(None, questions(spark, sf_dir), K, index=keyword_postings(spark, sf_dir))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors of every chunk, shared by all vector searches."""
+    return stored(
+        spark, sf_dir, "documents", "vectors", lambda: materialize(embed(chunks(spark, sf_dir), "content", ["chunk_id", "doc_id"]), "vectors")
+    )
+
+
+def sparse_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    return stored(spark, sf_dir, "documents", "sparse", lambda: sparse_index(chunk_vectors(spark, sf_dir)))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored chunk vectors and question vectors."""
-    stored = materialize(embed(chunks(spark, sf_dir), "content", ["chunk_id", "doc_id"]), "vectors")
-    asked = materialize(embed(questions(spark, sf_dir), "text", ["query_id"]), "questions")
-    return stored, asked
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(embed(questions(spark, sf_dir), "text", ["query_id"]), "questions")
 
 
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, asked = vectors(spark, sf_dir)
-    return sparse_top_k(stored, asked, K)
+    return sparse_top_k(sparse_postings(spark, sf_dir), asked_vectors(spark, sf_dir), K)
 
 
 def dense_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, asked = vectors(spark, sf_dir)
-    return dense_top_k(stored, asked, K)
+    return dense_top_k(chunk_vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K)
 
 
 def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +66,15 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, asked = vectors(spark, sf_dir)
-    return hybrid.hybrid_top_k(stored, asked, K)
+    return hybrid.hybrid_top_k(chunk_vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K, sparse=sparse_postings(spark, sf_dir))
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid, dense (as the pseudo-document branch) and BM25 hits of every question."""
-    stored, asked = vectors(spark, sf_dir)
-    found = {
-        "direct_hybrid": hybrid.hybrid_top_k(stored, asked, K),
-        "hyde": dense_top_k(stored, asked, K),
-        "bm25": bm25_top_k(chunks(spark, sf_dir), questions(spark, sf_dir), K),
-    }
+    given, asked = chunk_vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
+    dense = materialize(dense_top_k(given, asked, K), "dense")
+    sparse = sparse_top_k(sparse_postings(spark, sf_dir), asked, K)
+    found = {"direct_hybrid": hybrid.weighted_hybrid(dense, sparse, K), "hyde": dense, "bm25": bm25(spark, sf_dir)}
     hits = None
     for name, hit in found.items():
         part = hit.select("query_id", "chunk_id", "rank", F.lit(name).alias("branch"))
@@ -92,7 +106,7 @@ def _variant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", F.posexplode(F.array("text", F.split("text", "\n")[0])).alias("variant", "text")
     )
     keyed = texts.select((F.col("query_id") * 2 + F.col("variant")).alias("query_id"), "text")
-    hits = bm25_top_k(chunks(spark, sf_dir), keyed, K)
+    hits = bm25_top_k(None, keyed, K, index=keyword_postings(spark, sf_dir))
     return hits.select(
         F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).cast("int").alias("variant"),
         "chunk_id", "rank",
@@ -108,8 +122,8 @@ def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_scoped(spark: SparkSession, sf_dir: str):
-    """A branch search over one stored index, shared by all scopes."""
-    index = index_for(chunks(spark, sf_dir))
+    """A branch search over the stored postings, shared by all scopes."""
+    index = keyword_postings(spark, sf_dir)
     return lambda asked, limited: bm25_top_k(None, asked, K, index=index, scope=limited)
 
 
@@ -128,10 +142,10 @@ def scope_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over documents whose quality label is good; unlabelled ones are active."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
-    flagged = chunks(spark, sf_dir).join(labels, "chunk_id", "left").withColumn(
+    flagged = forward_index(spark, sf_dir).join(labels, "chunk_id", "left").withColumn(
         "is_active", F.coalesce(F.col("quality") == 1, F.lit(True))
     )
-    return bm25_top_k(scope.visible(flagged), questions(spark, sf_dir), K)
+    return bm25_top_k(None, questions(spark, sf_dir), K, index=build_postings(scope.visible(flagged)))
 
 
 def score_cliff(spark: SparkSession, sf_dir: str) -> DataFrame:

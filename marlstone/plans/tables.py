@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple, object] = {}
+
+
+def stored[T](spark: SparkSession, sf_dir: str, name: str, kind: str, build: Callable[[], T]) -> T:
+    """What ``build`` has written from a table, once for each application and state of the table.
+
+    Indexes and vectors serve every later search. A table whose files have changed is built anew.
+    """
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    state = (files.getContentSummary(place).getLength(), files.getFileStatus(place).getModificationTime())
+    key = (context.applicationId, f"{sf_dir}/{name}", kind, *state)
+    if key not in _stored:
+        _stored[key] = build()
+    return _stored[key]
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as chunks; their source is the document they belong to."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
