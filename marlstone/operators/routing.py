@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.config import QuerySettings
 from marlstone.functions.text import model_codes, normalize_name, strip, unique_strings
 from marlstone.operators.ranking import top_k
+from marlstone.session import materialize
 
 # Quoted titles and words that announce a document.
 QUOTED_TITLE = r"《([^》]{2,100})》"
@@ -32,6 +33,8 @@ COMPLEXITY = (
 )
 DEMAND = r"为什么|为何|如何|怎么|多少|哪些|是什么|有什么|结论|结果"
 MIN_ALIAS, MIN_CANONICAL, MIN_NAME = 4, 6, 12
+# Names that may share a head under which they are looked up.
+SHARED_HEAD = 16
 
 
 def query_type(text: Column, image: Column) -> Column:
@@ -111,29 +114,41 @@ def group_key() -> Column:
     return F.when(F.length(key) > 0, key).otherwise(F.col("doc_id"))
 
 
+def headed_names(known: DataFrame) -> DataFrame:
+    """(name_key, head): the shortest beginning of each name that few other names share.
+
+    Heads have 4, 8, 16, ... characters or are whole names, so a beginning that very many names share
+    is never looked up by itself. ``known`` holds distinct names of ``MIN_ALIAS`` characters or more.
+    """
+    length = F.length("name_key")
+    doubled = F.filter(F.expr("transform(sequence(2, 30), i -> shiftleft(1, i))"), lambda n: n < length)
+    heads = known.select("name_key", F.explode(F.array_append(doubled, length)).alias("size"))
+    heads = heads.withColumn("head", F.expr("substring(name_key, 1, size)"))
+    crowd = heads.groupBy("head").agg(F.count(F.lit(1)).alias("names"))
+    good = heads.join(crowd, "head").where((F.col("names") <= SHARED_HEAD) | (F.col("size") == length))
+    return good.groupBy("name_key").agg(F.min_by("head", "size").alias("head"))
+
+
 def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name_key, doc_id, group_key) of registry names inside a query's text.
 
-    A name is looked up by its first characters at each place of the query, then compared as a
-    whole: as many rows as the query has places, whatever the number of names. Only names
-    contained in no longer matched name of the query remain, besides all of the greatest length.
+    At each place of the query the few head lengths in use are looked up among the names' heads
+    (:func:`headed_names`), and names found are compared with the query as a whole. A place has at most
+    ``SHARED_HEAD`` candidates for each head length, whatever the number of names and however many begin alike,
+    and carries only a head. Only names contained in no longer matched name of the query remain, besides
+    all of the greatest length.
     """
     known = names.select("name_key").where(F.length("name_key") >= MIN_ALIAS).distinct()
-    known = known.withColumn("head", F.substring("name_key", 1, MIN_ALIAS))
-    longest = known.agg(F.coalesce(F.max(F.length("name_key")), F.lit(0))).scalar()
-    keyed = queries.select("query_id", F.col("text").alias("query_text"), normalize_name(F.col("text")).alias("key"))
-    places = keyed.where(F.length("key") >= MIN_ALIAS).withColumn("longest", longest).select(
-        "query_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("key") - MIN_ALIAS + 1), lambda i: F.substring(F.col("key"), i, F.col("longest"))
-                )
-            )
-        ).alias("part"),
-    )
-    parts = places.withColumn("head", F.substring("part", 1, MIN_ALIAS)).join(known, "head")
-    parts = parts.where(F.startswith("part", "name_key")).select("query_id", "name_key").distinct()
+    known = materialize(headed_names(known), "heads")
+    # As many lengths as heads have, of which there are few.
+    sizes = sorted(r[0] for r in known.select(F.length("head")).distinct().collect())
+    keyed = queries.select("query_id", normalize_name(F.col("text")).alias("key"))
+    ends = keyed.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")))
+    ends = ends.where(F.length("key") >= F.col("size"))
+    places = ends.select("query_id", "size", "key", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("size") + 1)).alias("place"))
+    places = places.select("query_id", "place", F.expr("substring(key, place, size)").alias("head"))
+    near = places.join(known, "head").select("query_id", "place", "name_key").join(keyed, "query_id")
+    parts = near.where(F.expr("substring(key, place, length(name_key)) = name_key")).select("query_id", "name_key").distinct()
     parts = parts.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     hits = parts.join(names, "name_key").where(
         routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("query_text"))

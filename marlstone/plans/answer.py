@@ -14,6 +14,7 @@ from marlstone.models import Embedder, ExtractiveGenerator, Generator, HashedEmb
 from marlstone.operators import agent, context, conflict, fusion, history, hybrid, rerank, routing, scope
 from marlstone.operators.dense import dense_top_k
 from marlstone.operators.lexical import bm25_top_k
+from marlstone.operators.registry import mention_candidates, search_registry
 from marlstone.plans.ingest import Corpus
 from marlstone.session import materialize
 
@@ -35,7 +36,11 @@ class QueryModels:
 
 
 def route(
-    questions: DataFrame, corpus: Corpus, referred: DataFrame | None = None, settings: QuerySettings = QuerySettings()
+    questions: DataFrame,
+    corpus: Corpus,
+    referred: DataFrame | None = None,
+    settings: QuerySettings = QuerySettings(),
+    embedder: Callable[[], Embedder] = HashedEmbedder,
 ) -> tuple[DataFrame, DataFrame]:
     """Routes (query_id, mode, locked, reason) and their documents (query_id, doc_id, mode).
 
@@ -44,17 +49,15 @@ def route(
     registry = corpus.active_registry().withColumns(
         {"aliases": parse_list(F.col("aliases_json")), "model_codes": parse_list(F.col("model_codes_json"))}
     )
+    registry = materialize(registry, "registry")
     kind = questions.schema["query_id"].dataType.simpleString()
-    none = lambda schema: questions.sparkSession.createDataFrame([], schema)
-    referred = none(f"query_id {kind}, doc_id string") if referred is None else referred
+    if referred is None:
+        referred = questions.sparkSession.createDataFrame([], f"query_id {kind}, doc_id string")
     named = materialize(routing.deterministic_matches(questions, registry), "named")
-    mentioned = questions.select("query_id", F.explode(routing.mentions(F.col("text"))).alias("mention"), "text")
-    names = registry.select(
-        "doc_id", "canonical_title", "aliases", "model_codes", F.explode(F.concat(F.array("canonical_title"), "aliases")).alias("name")
-    ).withColumn("key", routing.normalize_name(F.col("name")))
-    candidates = mentioned.select("query_id", "mention", routing.normalize_name(F.col("mention")).alias("key")).join(names, "key").drop("key", "name")
-    matches = materialize(routing.exact_matches(mentioned, candidates), "matches")
-    weak = none(f"query_id {kind}, doc_id string, pos int")
+    mentioned = questions.select("query_id", F.posexplode(routing.mentions(F.col("text"))).alias("place", "mention"), "text")
+    weak = materialize(search_registry(mentioned, corpus.active_profiles(), embedder, settings), "weak")
+    mentioned = mentioned.drop("place")
+    matches = materialize(routing.exact_matches(mentioned, mention_candidates(mentioned, registry, weak)), "matches")
     routes = routing.decide_route(questions, referred, named, mentioned, matches, weak)
     routes = materialize(routes, "routes")
     return routes, materialize(routing.route_documents(routes, referred, named, matches, weak, settings), "scope")
@@ -72,7 +75,7 @@ def branches(
         ("direct_hybrid", vectors, lambda q, s: hybrid.hybrid_top_k(stored, q, settings.embedding_search_limit, s, settings), settings.embedding_search_limit)
     ]
     if settings.bm25_enabled:
-        index = corpus.active_terms()
+        index = corpus.keyword_postings()
         found.append(("bm25", asked, lambda q, s: bm25_top_k(None, q, settings.bm25_search_limit, index=index, scope=s), settings.bm25_search_limit))
     if models.pseudo is not None:
         imagined = generate(asked, "text", "imagined", models.pseudo).where(F.length("imagined") > 0)
@@ -110,7 +113,7 @@ def answer(
     if messages is not None and "session_id" in questions.columns and "selected_documents" in messages.columns:
         pointed = history.referred_documents(questions, messages)
         referred = pointed.select("query_id", F.explode("documents").alias("doc_id"))
-    routes, limits = route(questions, corpus, referred, settings)
+    routes, limits = route(questions, corpus, referred, settings, models.embedder)
     hits = materialize(branches(questions, routes, limits, corpus, models, settings), "hits")
     chunks = corpus.active_chunks().withColumnRenamed("id", "chunk_id")
     fused = fusion.fuse_branches(hits, settings)

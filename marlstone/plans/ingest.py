@@ -16,6 +16,8 @@ from marlstone.models import Embedder, Generator, HashedEmbedder, generate
 from marlstone.operators import formulas, identity, vectors, versions
 from marlstone.operators.chunks import chunk_documents
 from marlstone.operators.lexical import term_index
+from marlstone.operators.postings import Postings, build_postings
+from marlstone.operators.registry import profile_vectors
 from marlstone.plans.steps import StepLog
 from marlstone.session import materialize
 from marlstone.sources.stores import KeyedTable, registry_rows
@@ -46,11 +48,16 @@ class Corpus:
     vectors: KeyedTable = field(init=False)
     terms: KeyedTable = field(init=False)
     registry: KeyedTable = field(init=False)
+    profiles: KeyedTable = field(init=False)
     publishes: KeyedTable = field(init=False)
+    _indexes: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        for name, key in (("chunks", "id"), ("vectors", "id"), ("terms", "chunk_id"), ("registry", "doc_id"), ("publishes", "publish_id")):
-            setattr(self, name, KeyedTable(self.spark, f"{self.path}/{name}", key))
+        keys = {
+            "chunks": "id", "vectors": "id", "terms": "chunk_id", "registry": "doc_id", "profiles": "doc_id", "publishes": "publish_id",
+        }
+        for name, key in keys.items():
+            setattr(self, name, KeyedTable(self.spark, f"{self.path}/{name}", key, replaces=name in ("registry", "profiles")))
 
     def active_chunks(self) -> DataFrame:
         """Chunks of active versions."""
@@ -60,6 +67,13 @@ class Corpus:
         """Term index of active chunks, for repeated keyword searches."""
         return self.terms.read().join(self.active_chunks().select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
+    def keyword_postings(self) -> Postings:
+        """Stored postings of active chunks, built again after something was published."""
+        state = self.publishes.read().count()
+        if state not in self._indexes:
+            self._indexes = {state: build_postings(materialize(self.active_terms(), "terms"))}
+        return self._indexes[state]
+
     def active_vectors(self) -> DataFrame:
         """(chunk_id, doc_id, dense, sparse) of active chunks."""
         keys = self.active_chunks().select("id", "doc_id")
@@ -69,6 +83,10 @@ class Corpus:
         rows = versions.version_states(self.publishes.read(), self.registry.read())
         return rows.where("is_active")
 
+    def active_profiles(self) -> DataFrame:
+        """(doc_id, dense, sparse) of the profiles of active documents."""
+        return self.profiles.read().join(self.active_registry().select("doc_id"), "doc_id", "left_semi")
+
 
 def build_chunks(
     documents: DataFrame, models: Models = Models(), settings: IngestSettings = IngestSettings()
@@ -118,8 +136,9 @@ def ingest(
         texts = chunks.select(F.col("id").alias("chunk_id"), "doc_id", F.col("retrieval_text").alias("content"))
         corpus.terms.add(term_index(texts))
         corpus.chunks.add(chunks)
-        known = registry_rows(profiles.drop("context", "title_candidates", "evidence"))
-        corpus.registry.write(known.dropDuplicates(["doc_id"]))
+        known = profiles.drop("context", "title_candidates", "evidence").dropDuplicates(["doc_id"])
+        corpus.registry.write(registry_rows(known))
+        corpus.profiles.write(profile_vectors(known, models.embedder))
     with log.step("publish"):
         moment = F.lit(published_at).cast("timestamp") if published_at else F.current_timestamp()
         newest = F.max_by(F.struct("version_id", "doc_id", "source_hash", "content_hash"), "doc_key")

@@ -1,4 +1,4 @@
-"""Tables out and in: keyed overwrites, registry rows, reports and debug copies."""
+"""Tables out and in: keyed rows, registry rows, reports and debug copies."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.config import IngestSettings
 from marlstone.errors import IngestError
-from marlstone.operators.versions import upsert
+from marlstone.session import materialize
 
 # Registry fields routing needs.
 REGISTRY_FIELDS = (
@@ -21,59 +21,57 @@ REGISTRY_FIELDS = (
 
 
 class KeyedTable:
-    """A table with unique keys, kept as immutable parts behind a pointer.
+    """Plain Parquet that only grows, with unique keys for its readers.
 
-    ``add`` appends rows with new keys as one more part and reads only the key column of
-    what is there; ``write`` also replaces rows, as a new single part. The pointer moves
-    last, so readers see the old or the new state and a failed write leaves the old one.
+    ``add`` appends rows whose key is new and reads only the key column of what is there. ``write``
+    appends rows that take the place of earlier ones with their key, in tables that are opened with
+    ``replaces``: their readers get the newest row of each key. Nothing is rewritten, so writers at the
+    same time lose nothing of each other's.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path, key
-
-    def _state(self) -> tuple[int, list[str]]:
-        """Version and parts of the newest pointer entry; version -1 when there is none."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, "_current"))
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
-            return -1, []
-        newest = self.spark.read.text(str(target)).agg(F.max("value").alias("v")).head().v
-        version, parts = newest.split(" ")
-        return int(version), parts.split(",")
+    def __init__(self, spark: SparkSession, path: str, key: str, replaces: bool = False):
+        self.spark, self.path, self.key, self.replaces = spark, path, key, replaces
 
     def exists(self) -> bool:
-        return self._state()[0] >= 0
+        """True after the first write has been committed."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, "_SUCCESS"))
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def read(self) -> DataFrame:
-        parts = self._state()[1]
-        return self.spark.read.option("mergeSchema", "true").parquet(*[os.path.join(self.path, p) for p in parts])
-
-    def _store(self, rows: DataFrame, version: int, kept: list[str]) -> None:
-        part = f"part-{version:08d}-{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(os.path.join(self.path, part))
-        entry = f"{version:08d} {','.join([*kept, part])}"
-        pointer = self.spark.createDataFrame([(entry,)], "value string").coalesce(1)
-        pointer.write.mode("append").text(os.path.join(self.path, "_current"))
-
-    def _checked(self, rows: DataFrame) -> int:
-        counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(self.key).alias("keys")).head()
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
+        if not self.replaces:
+            return rows
+        newest = F.struct(F.col("written.at"), F.col("written.entry"))
+        columns = [c for c in rows.columns if c != "written"]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*columns), newest).alias("row")).select("row.*")
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """The rows, evaluated once; repeated keys are an error."""
+        kept = materialize(rows, "rows")
+        counted = kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(self.key).alias("keys")).head()
         if counted.n != counted.keys:
             raise IngestError(f"{counted.n - counted.keys} rows repeat a {self.key}", "write")
-        return counted.n
+        return kept
 
     def add(self, rows: DataFrame) -> None:
         """Append rows whose key is new; for rows that their key fully determines."""
-        self._checked(rows)
-        version, parts = self._state()
-        fresh = rows if version < 0 else rows.join(self.read().select(self.key), self.key, "left_anti")
-        if version < 0 or not fresh.isEmpty():
-            self._store(fresh, version + 1, parts)
+        fresh = self._once(rows)
+        if self.exists():
+            fresh = fresh.join(self.read().select(self.key), self.key, "left_anti")
+        self._append(fresh)
+
+    def _append(self, rows: DataFrame) -> None:
+        if self.replaces:
+            rows = rows.withColumn("written", F.struct(F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("entry")))
+        rows.write.mode("append").parquet(self.path)
 
     def write(self, rows: DataFrame) -> int:
         """Insert or replace rows by key; returns how many were given."""
-        count = self._checked(rows)
-        version, _parts = self._state()
-        self._store(rows if version < 0 else upsert(self.read(), rows, self.key), version + 1, [])
-        return count
+        if not self.replaces:
+            raise IngestError(f"rows of {self.path} are never replaced", "write")
+        kept = self._once(rows)
+        self._append(kept)
+        return kept.count()
 
 
 def registry_rows(documents: DataFrame) -> DataFrame:

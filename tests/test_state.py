@@ -134,7 +134,7 @@ def test_migration_needs_a_choice_between_equal_titles(spark):
 
 
 def test_keyed_table_upserts_and_refuses_repeated_keys(spark, tmp_path):
-    store = stores.KeyedTable(spark, str(tmp_path / "t"), "id")
+    store = stores.KeyedTable(spark, str(tmp_path / "t"), "id", replaces=True)
     assert not store.exists()
     store.write(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
     assert store.write(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string")) == 2
