@@ -25,6 +25,8 @@ BLOCK_POSTINGS = 4_096
 _FILE_POSTINGS, _LEAST_BUCKETS, _MOST_BUCKETS = 2_000_000, 8, 256
 # Postings read for each result to find out which score the last result has at least.
 _SEED = 64
+# Postings that are summed outright.
+DIRECT = 20_000_000
 # Scores this close to the bound are kept: rounding and the order of sums can't lose a result.
 _MARGIN = 10.0 ** (1 - DECIMALS)
 
@@ -122,18 +124,16 @@ def inverse_frequency(postings: Postings) -> Column:
     return F.log(1 + (F.lit(postings.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def _read(postings: Postings, wanted: DataFrame) -> DataFrame:
-    """Blocks in the buckets of the wanted tokens; their number is bounded, so they are listed to prune folders."""
-    named = [r.bucket for r in wanted.select("bucket").distinct().collect()]
-    return postings.blocks.where(F.col("bucket").isin(named))
+def _read(postings: Postings, buckets: list[int]) -> DataFrame:
+    """Blocks in the named folders."""
+    return postings.blocks.drop("splits").where(F.col("bucket").isin(buckets))
 
 
 def _contributions(found: DataFrame, contribution: Contribution, scope: DataFrame | None) -> DataFrame:
     """(query_id, chunk_id, part) of blocks joined with the queries' weights."""
-    rows = found.select("query_id", "weight", F.explode(F.arrays_zip("chunks", "docs", "values", "lengths")).alias("p"))
+    rows = found.select("query_id", "weight", "docs", "values", "lengths", F.posexplode("chunks").alias("i", "chunk_id"))
     rows = rows.select(
-        "query_id", F.col("p.chunks").alias("chunk_id"), F.col("p.docs").alias("doc_id"),
-        contribution(F.col("p.values"), F.col("p.lengths"), F.col("weight")).alias("part"),
+        "query_id", "chunk_id", F.expr("docs[i]").alias("doc_id"), contribution(F.expr("values[i]"), F.expr("lengths[i]"), F.col("weight")).alias("part")
     )
     if scope is not None:
         rows = rows.join(scope.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
@@ -154,7 +154,13 @@ def _bounded(scores: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def search_postings(
-    postings: Postings, terms: DataFrame, k: int, contribution: Contribution, scope: DataFrame | None = None, read: list | None = None
+    postings: Postings,
+    terms: DataFrame,
+    k: int,
+    contribution: Contribution,
+    scope: DataFrame | None = None,
+    direct: int = DIRECT,
+    read: list | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks of each query: (query_id, chunk_id, score, rank), exactly as if all were scored.
 
@@ -166,10 +172,12 @@ def search_postings(
        the other tokens' blocks are read, and of those only blocks whose bound can still reach it.
     3. Chunks that can still be results get what those tokens add, from the blocks that hold them.
 
-    Where a contribution can be negative all blocks are read. ``read`` gets, if given, the tables of
-    blocks that were read, for measuring.
+    Where a contribution can be negative all blocks are read. Queries whose tokens have at most ``direct``
+    postings together are summed in one step, as the steps above cost more than they save there.
+    ``read`` gets, if given, the tables of blocks that were read, for measuring.
     """
-    named = terms.withColumn("bucket", _bucket(postings.buckets))
+    named = materialize(terms.withColumn("bucket", _bucket(postings.buckets)), "asked")
+    # There are at most as many as folders.
     buckets = [r.bucket for r in named.select("bucket").distinct().collect()]
     known = postings.tokens.where(F.col("bucket").isin(buckets)).join(named, ["bucket", "token"])
     if "weight" not in terms.columns:
@@ -187,24 +195,23 @@ def search_postings(
         }
     )
     wanted = materialize(wanted, "wanted")
+    blocks, join = _read(postings, buckets), ["bucket", "token"]
+    if (wanted.agg(F.sum("df")).head()[0] or 0) <= direct:
+        return best_hits(_summed(_contributions(blocks.join(wanted, join), contribution, scope)), k)
     # What is read only serves to find a bound, so any part of a frequent token's blocks will do.
     seeds = wanted.where((F.col("before") < _SEED * k) & ~F.col("negative"))
     some = F.col("block") <= F.floor(F.col("splits") * F.least(F.lit(1.0), F.lit(_SEED * k) / F.col("df")))
-    blocks = _read(postings, wanted)
-    join = ["bucket", "token"]
-    seeded = blocks.drop("splits").join(seeds, join).where(some)
-    bounds = materialize(_kth(_summed(_contributions(seeded, contribution, scope)), k), "bounds")
+    seeded = blocks.join(seeds, join).where(some)
+    bounds = _kth(_summed(_contributions(seeded, contribution, scope)), k)
     rising = by_query.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
     judged = _bounded(wanted, bounds).withColumn("optional", F.sum("most").over(rising) < F.col("bound") - _MARGIN)
     judged = judged.withColumn("rest", F.sum(F.when(F.col("optional"), F.col("most")).otherwise(0.0)).over(by_query))
     judged = materialize(judged.drop("before", "negative", "least"), "judged")
     needed = judged.where(~F.col("optional"))
     bound_of = contribution(F.col("top"), F.col("shortest"), F.col("weight"))
-    used = blocks.drop("splits").join(needed, join).where(
+    used = blocks.join(needed, join).where(
         (F.col("bound") == float("-inf")) | (bound_of + F.col("all") - F.col("most") >= F.col("bound") - _MARGIN)
     )
-    if read is not None:
-        read += [seeded.select("query_id", "token", "block", "n"), used.select("query_id", "token", "block", "n")]
     rests = judged.groupBy("query_id").agg(F.max("rest").alias("rest"), F.max("bound").alias("bound"))
     found = _summed(_contributions(used, contribution, scope)).join(rests, "query_id")
     open_ = F.col("score") + F.col("rest") >= F.col("bound") - _MARGIN
@@ -212,13 +219,12 @@ def search_postings(
     better = _bounded(found, _kth(found, k))
     left = materialize(better.where(open_).drop("bound"), "open")
     optional = judged.where("optional").select("query_id", "bucket", "token", "weight", "splits")
-    asked = left.where("rest > 0").select("query_id", "chunk_id").join(optional, "query_id").withColumn("block", _block(F.col("splits")))
-    asked = materialize(asked.drop("splits"), "probes")
-    holding = _read(postings, asked).drop("splits").join(asked.select("bucket", "token", "block").distinct(), ["bucket", "token", "block"], "left_semi")
+    asked = left.where("rest > 0").select("query_id", "chunk_id").join(optional, "query_id").withColumn("block", _block(F.col("splits"))).drop("splits")
+    holding = blocks.join(asked.select("bucket", "token", "block").distinct(), ["bucket", "token", "block"], "left_semi")
     if read is not None:
-        read.append(holding.select(F.lit(None).alias("query_id"), "token", "block", "n"))
-    rows = holding.select("token", F.explode(F.arrays_zip("chunks", "values", "lengths")).alias("p"))
-    rows = rows.select("token", F.col("p.chunks").alias("chunk_id"), F.col("p.values").alias("value"), F.col("p.lengths").alias("length"))
+        read += [t.select("token", "block", "n") for t in (seeded, used, holding)]
+    rows = holding.select("token", "values", "lengths", F.posexplode("chunks").alias("i", "chunk_id"))
+    rows = rows.select("token", "chunk_id", F.expr("values[i]").alias("value"), F.expr("lengths[i]").alias("length"))
     added = asked.join(rows, ["token", "chunk_id"]).select(
         "query_id", "chunk_id", contribution(F.col("value"), F.col("length"), F.col("weight")).alias("part")
     )
