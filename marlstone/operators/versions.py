@@ -113,6 +113,20 @@ def retryable(registry: DataFrame, task_ids: DataFrame, now: Column) -> DataFram
     return joined.select("task_id", outcome.alias("outcome"))
 
 
+def reclaim(registry: DataFrame, task_ids: DataFrame, now: Column, settings: IngestSettings = IngestSettings()) -> DataFrame:
+    """Registry rows of the tasks to retry, with ``outcome`` of :func:`retryable`.
+
+    A reclaimed task keeps its record with one attempt more, a new lease and no error; others keep
+    theirs as it is. Tasks without a record give no row.
+    """
+    lease = now + F.make_interval(secs=F.lit(float(max(60, settings.import_claim_lease_seconds))))
+    known = registry.join(retryable(registry, task_ids.select("task_id").distinct(), now), "task_id")
+    again = F.col("outcome") == "reclaimed"
+    changed = {"status": F.lit(PROCESSING), "lease_until": lease, "error": F.lit(""), "attempt": F.col("attempt") + 1}
+    return known.withColumns({c: F.when(again, v).otherwise(F.col(c)) for c, v in changed.items()})
+
+
+
 def active_versions(publishes: DataFrame) -> DataFrame:
     """The version each logical document points to: its last publish wins."""
     last = F.max_by(F.struct("version_id", "doc_id", "source_hash", "published_at"), F.struct("published_at", "version_id"))
