@@ -35,6 +35,8 @@ DEMAND = r"为什么|为何|如何|怎么|多少|哪些|是什么|有什么|结
 MIN_ALIAS, MIN_CANONICAL, MIN_NAME = 4, 6, 12
 # Names that may share a head under which they are looked up.
 SHARED_HEAD = 16
+# Characters of a text whose places are held together.
+PART = 4_000
 
 
 def query_type(text: Column, image: Column) -> Column:
@@ -133,22 +135,28 @@ def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name_key, doc_id, group_key) of registry names inside a query's text.
 
     At each place of the query the few head lengths in use are looked up among the names' heads
-    (:func:`headed_names`), and names found are compared with the query as a whole. A place has at most
+    (:func:`headed_names`), and names found are sought in the query as a whole. A place has at most
     ``SHARED_HEAD`` candidates for each head length, whatever the number of names and however many begin alike,
-    and carries only a head. Only names contained in no longer matched name of the query remain, besides
+    and carries only a head. Long texts are looked up part by part. Only names contained in no longer matched name of the query remain, besides
     all of the greatest length.
     """
     known = names.select("name_key").where(F.length("name_key") >= MIN_ALIAS).distinct()
     known = materialize(headed_names(known), "heads")
     # As many lengths as heads have, of which there are few.
     sizes = sorted(r[0] for r in known.select(F.length("head")).distinct().collect())
-    keyed = queries.select("query_id", normalize_name(F.col("text")).alias("key"))
-    ends = keyed.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")))
-    ends = ends.where(F.length("key") >= F.col("size"))
-    places = ends.select("query_id", "size", "key", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("size") + 1)).alias("place"))
-    places = places.select("query_id", "place", F.expr("substring(key, place, size)").alias("head"))
-    near = places.join(known, "head").select("query_id", "place", "name_key").join(keyed, "query_id")
-    parts = near.where(F.expr("substring(key, place, length(name_key)) = name_key")).select("query_id", "name_key").distinct()
+    keyed = materialize(queries.select("query_id", normalize_name(F.col("text")).alias("key")), "keys")
+    starts = None
+    for size in sizes:
+        # Patterns run once over a text; reading at a place counts characters from the start each time.
+        cut = [F.regexp_extract_all("key", F.lit(rf"(?s)(.{{1,{PART}}})(?=(.{{0,{size - 1}}}))"), F.lit(i)) for i in (1, 2)]
+        texts = keyed.select("query_id", F.explode(F.zip_with(*cut, lambda own, after: F.concat(own, after))).alias("part"))
+        begins = F.array_distinct(F.regexp_extract_all("part", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+        found = texts.select("query_id", F.explode(begins).alias("head"))
+        starts = found if starts is None else starts.unionByName(found)
+    if starts is None:
+        starts = keyed.select("query_id", F.col("key").alias("head")).limit(0)
+    near = starts.join(known, "head").select("query_id", "name_key").distinct()
+    parts = near.join(keyed, "query_id").where(F.contains("key", "name_key")).select("query_id", "name_key")
     parts = parts.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     hits = parts.join(names, "name_key").where(
         routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("query_text"))

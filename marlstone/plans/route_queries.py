@@ -12,7 +12,7 @@ from marlstone.operators.lexical import sparse_index
 from marlstone.plans.search_queries import _HASHED, _WORDS, K
 from marlstone.plans.tables import questions, stored, table
 from marlstone.plans.text_queries import _name
-from marlstone.session import materialize
+from marlstone.session import materialize, spread
 
 
 def _line(text: str = "text"):
@@ -29,7 +29,7 @@ def passage_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
 
 
 def titles_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
