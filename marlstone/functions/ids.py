@@ -80,6 +80,17 @@ def chunk_id(
     return low63(sha256_hex(F.concat_ws(UNIT, *fields)))
 
 
+def multiset_digest(*parts: Column) -> Column:
+    """Aggregate: digest of a group's rows whatever their order, repeated rows counted.
+
+    Number, sums and exclusive ors of two 64-bit hashes are combined before the shuffle, so a group's
+    rows never meet.
+    """
+    halves = [F.xxhash64(F.lit(i), *parts) for i in range(2)]
+    sums = [F.sum(h.cast("decimal(38,0)")) for h in halves]
+    return sha256_hex(F.concat_ws(",", F.count(F.lit(1)), *sums, *[F.bit_xor(h) for h in halves]))
+
+
 def low63(digest: Column) -> Column:
     """First eight bytes of a hex digest as a big-endian integer without its top bit."""
     top = F.conv(F.substring(digest, 1, 1), 16, 10).cast("long").bitwiseAND(F.lit(7))

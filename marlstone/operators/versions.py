@@ -186,12 +186,11 @@ def chunk_keys(values: Column) -> Column:
 def duplicate_groups(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(logical_document_id, doc_id, chunks, chunk_signature) where one logical id has several documents.
 
-    The signature is order-free: a digest of the sorted digests of (title, content).
+    The signature is a digest of the document's (title, content) pairs in any order, summed up where
+    the chunks are.
     """
-    digest = ids.sha256_hex(F.concat(F.coalesce("title", F.lit("")), F.lit(ids.UNIT), F.coalesce("content", F.lit(""))))
-    signed = chunks.withColumn("d", digest).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("chunks"), ids.sha256_hex(F.array_join(F.array_sort(F.collect_list("d")), ",")).alias("chunk_signature")
-    )
+    pair = (F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    signed = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), ids.multiset_digest(*pair).alias("chunk_signature"))
     several = documents.groupBy("logical_document_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return documents.join(several, "logical_document_id", "left_semi").select("logical_document_id", "doc_id").join(signed, "doc_id", "left").withColumn(
         "chunks", F.coalesce("chunks", F.lit(0))

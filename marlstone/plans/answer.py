@@ -66,9 +66,20 @@ def route(
 def branches(
     questions: DataFrame, routes: DataFrame, documents: DataFrame, corpus: Corpus, models: QueryModels, settings: QuerySettings
 ) -> DataFrame:
-    """(query_id, branch, chunk_id, rank) of every enabled search, each within its scope."""
-    asked = questions.select("query_id", "text").join(routes.select("query_id", "locked"), "query_id")
-    limits = documents.where(F.col("mode") != "global")
+    """(query_id, branch, chunk_id, rank) of every enabled search, each within its scope.
+
+    A question with several ``retrieval_queries`` is searched by each of them, and their rankings are
+    fused within a branch, at least one hit of each kept.
+    """
+    texts = F.array("text")
+    if "retrieval_queries" in questions.columns:
+        texts = F.when(F.size("retrieval_queries") > 0, F.array_distinct("retrieval_queries")).otherwise(texts)
+    each = questions.select(F.col("query_id").alias("question_id"), F.posexplode(texts).alias("variant", "text"))
+    each = each.withColumn("query_id", F.concat_ws("#", "variant", "question_id"))
+    each = materialize(each.join(routes.select(F.col("query_id").alias("question_id"), "locked"), "question_id"), "texts")
+    asked = each.select("query_id", "text", "locked")
+    limits = documents.where(F.col("mode") != "global").withColumnRenamed("query_id", "question_id")
+    limits = limits.join(each.select("query_id", "question_id"), "question_id").drop("question_id")
     stored = corpus.active_vectors()
     vectors = materialize(embed(asked, "text", ["query_id", "locked"], models.embedder), "asked")
     found = [
@@ -84,9 +95,13 @@ def branches(
         found.append(("hyde", pseudo, lambda q, s: search(stored, q, settings.hyde_search_limit, s), settings.hyde_search_limit))
     hits = None
     for name, queries, search, limit in found:
-        part = scope.search_scoped(queries, limits, search, limit, settings).select(
-            "query_id", "chunk_id", "rank", "route_fallback", F.lit(name).alias("branch")
-        )
+        part = scope.search_scoped(queries, limits, search, limit, settings).join(each.select("query_id", "question_id", "variant"), "query_id")
+        part = part.drop("query_id").withColumnRenamed("question_id", "query_id")
+        if "retrieval_queries" in questions.columns:
+            part = materialize(part, "variants")
+            fallback = part.groupBy("query_id", "chunk_id").agg(F.max("route_fallback").alias("route_fallback"))
+            part = hybrid.merge_query_variants(part, limit).join(fallback, ["query_id", "chunk_id"])
+        part = part.select("query_id", "chunk_id", "rank", "route_fallback", F.lit(name).alias("branch"))
         hits = part if hits is None else hits.unionByName(part)
     return hits
 
@@ -100,7 +115,9 @@ def answer(
 ) -> DataFrame:
     """(query_id, answer, context, context_chunk_ids, route_mode, route_reason).
 
-    ``questions`` is (query_id, text[, session_id][, answer]); ``messages`` the chat history.
+    ``questions`` is (query_id, text[, session_id][, answer][, retrieval_queries][, sub_questions]);
+    ``messages`` the chat history. Search texts take the question's place in every search; sub-questions
+    have their best evidence kept, whatever its rank.
     A question that already has an answer, such as a request for clarification, keeps it
     and is not searched.
     """
@@ -117,12 +134,19 @@ def answer(
     hits = materialize(branches(questions, routes, limits, corpus, models, settings), "hits")
     chunks = corpus.active_chunks().withColumnRenamed("id", "chunk_id")
     fused = fusion.fuse_branches(hits, settings)
-    asked = questions.select("query_id", F.col("text").alias("query_text"), F.array("text").alias("retrieval_queries"))
+    texts = F.coalesce("retrieval_queries", F.array("text")) if "retrieval_queries" in questions.columns else F.array("text")
+    asked = questions.select("query_id", F.col("text").alias("query_text"), texts.alias("retrieval_queries"))
     # Stored results have a known size, from which Spark chooses the join.
     candidates = chunks.select("chunk_id", *PAYLOAD).join(materialize(fused, "fused"), "chunk_id").join(asked, "query_id")
     ranked = materialize(rerank.rerank(candidates, models.scorer, settings), "ranked")
-    selected = fusion.truncate_at_cliff(ranked, rank="model_rank", score="rerank_score", settings=settings).withColumn("place", F.col("model_rank"))
-    selected = selected.withColumn("coverage_protected", F.lit(False)).withColumn("conflict_judge_promoted", F.lit(False))
+    if "sub_questions" in questions.columns:
+        parts = questions.select("query_id", F.posexplode("sub_questions").alias("sub_q", "question"))
+        selected = rerank.select_with_coverage(ranked, parts, factory=models.scorer, settings=settings)
+    else:
+        selected = fusion.truncate_at_cliff(ranked, rank="model_rank", score="rerank_score", settings=settings)
+        none = {"place": F.col("model_rank"), "coverage_protected": F.lit(False), "coverage_subquestion_indices": F.array().cast("array<int>")}
+        selected = selected.withColumns(none)
+    selected = selected.withColumn("conflict_judge_promoted", F.lit(False))
     if models.judge is not None and settings.conflict_judge_enabled:
         pairs = conflict.conflict_pairs(selected, ranked, settings)
         body = F.substring("content", 1, settings.conflict_judge_document_max_chars)
@@ -138,7 +162,8 @@ def answer(
         decided = materialize(conflict.decide(pairs, conflict.parse_decisions(replies), settings), "decided")
         selected = conflict.promote(selected, ranked, decided)
     selected = materialize(selected, "selected").withColumn("anchor_id", F.concat_ws("|", "query_id", "place"))
-    opens = context.should_expand(F.col("place"), F.col("coverage_protected"), F.col("conflict_judge_promoted"), F.lit(False), settings)
+    selected = materialize(selected.withColumn("first", context.first_of_group(selected, "coverage_subquestion_indices", rank="place")), "opened")
+    opens = context.should_expand(F.col("place"), F.col("coverage_protected"), F.col("conflict_judge_promoted"), F.col("first"), settings)
     grown = context.expand(selected.where(opens), chunks, settings).unionByName(selected.where(~opens), allowMissingColumns=True)
     documents = grown.withColumn("pos", F.col("place")).withColumn("source", F.lit("local")).withColumn(
         "expanded_chunk_ids", F.coalesce("expanded_chunk_ids", F.array("chunk_id"))

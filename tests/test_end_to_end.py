@@ -43,6 +43,13 @@ def test_answers_use_the_named_document(spark, corpus):
     assert rows[2].answer and rows[2].context.startswith("【资料1】\n来源：本地知识库\n文档：")
 
 
+def test_sub_questions_keep_their_evidence(spark, corpus):
+    rows = [(1, "everything about devices", ["measure voltage", "do roses need water"], ["voltage dial", "roses water"])]
+    asked = spark.createDataFrame(rows, "query_id int, text string, retrieval_queries array<string>, sub_questions array<string>")
+    got = answering.answer(asked, corpus, settings=QuerySettings(bm25_enabled=True)).head()
+    assert "dial to V" in got.context and "Roses need sun" in got.context
+
+
 def test_settled_questions_are_not_searched(spark, corpus):
     asked = spark.createDataFrame([(1, "roses", "please name the document"), (2, "roses", None)], "query_id int, text string, answer string")
     rows = {r.query_id: r for r in answering.answer(asked, corpus).collect()}

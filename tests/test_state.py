@@ -133,6 +133,15 @@ def test_migration_needs_a_choice_between_equal_titles(spark):
         versions.migrate_chunks(stray, versions.migration_plan(docs, picked)).collect()
 
 
+def test_document_signatures_ignore_order_but_count_copies(spark):
+    docs = spark.createDataFrame([("l", d) for d in "abcd"], "logical_document_id string, doc_id string")
+    rows = [("a", "t", "x"), ("a", "t", "y"), ("b", "t", "y"), ("b", "t", "x"), ("c", "t", "x"), ("c", "t", "y"), ("c", "t", "y"), ("c", "t", "y"), ("d", "tx", "")]
+    found = versions.duplicate_groups(docs, spark.createDataFrame(rows, "doc_id string, title string, content string"))
+    got = {r.doc_id: (r.chunks, r.chunk_signature) for r in found.collect()}
+    assert got["a"] == got["b"] and len({s for _, s in got.values()}) == 3 and got["c"][0] == 4
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_keyed_table_upserts_and_refuses_repeated_keys(spark, tmp_path):
     store = stores.KeyedTable(spark, str(tmp_path / "t"), "id", replaces=True)
     assert not store.exists()
