@@ -5,8 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import tables
 from marlstone.operators.chunks import chunk_documents
+from marlstone.operators.lexical import bm25_top_k, sparse_top_k
+from marlstone.plans import search_queries, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,14 +20,34 @@ def exchanges(text):
     return [line for line in text.splitlines() if re.search(r"\bExchange (hash|range|Single|RoundRobin)", line)]
 
 
+def scan(spark, name):
+    """Searches that score chunks where they are scanned."""
+    if name == "bm25_topk":
+        return bm25_top_k(tables.chunks(spark, SF), tables.questions(spark, SF))
+    if name == "sparse_dot_topk":
+        return sparse_top_k(search_queries.chunk_vectors(spark, SF), search_queries.asked_vectors(spark, SF))
+    return entry.queries()[name](spark, SF)
+
+
 @pytest.mark.parametrize("name", ["bm25_topk", "sparse_dot_topk", "dense_topk"])
 def test_searches_cut_each_partition_before_one_exchange(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(scan(spark, name))
     assert len(exchanges(text)) == 1
     above, below = text.split("Exchange hashpartitioning(query_id", 1)
     assert "WindowGroupLimit" in above and "WindowGroupLimit" in below
 
 
+@pytest.mark.parametrize("name", ["bm25_topk", "sparse_dot_topk"])
+def test_stored_postings_are_summed_before_they_move(spark, name):
+    """Postings move only as sums of a partition, results as each partition's best; blocks stay."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert len(exchanges(text)) == 2 and text.count("partial_sum") == 1
+    best, sums = text.split("Exchange hashpartitioning(query_id", 1)
+    assert "WindowGroupLimit" in best and "WindowGroupLimit" in sums
+    assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert "docs" not in text.split("ReadSchema: struct<", 1)[1].split(">>")[0]
+
+
 @pytest.mark.parametrize("name", ["recent_messages", "history_window", "transcript", "round_robin_sample", "schedule"])
 def test_limits_reach_below_the_exchange(spark, name):
     text = plan(entry.queries()[name](spark, SF))
