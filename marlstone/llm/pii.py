@@ -108,19 +108,28 @@ def _score(kind: str, start: float, text: str, a: int, b: int) -> float:
     return min(1.0, max(0.0, start + 0.4 * bool(_FOR[kind].search(around)) - 0.3 * bool(_AGAINST.search(around))))
 
 
-def spans(text: str) -> list[tuple[str, int, int, float]]:
-    """All spans with scores: the base ones, and proposals that reach the bar and overlap none of them."""
-    base = base_spans(text)
+def spans(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int, float]]:
+    """All spans with scores: the base ones, and proposals that reach the bar and overlap no span before them.
+
+    Characters in a span are marked, so a proposal costs its own length, however many spans there are.
+    """
+    base = base_spans(text) if base is None else base
     out = [(k, a, b, max(BAR, _score(k, 0.6, text, a, b))) for k, a, b in base]
     if not _DIGITS.search(text):
         return out
     proposals = [("iban", m.start(), m.end(), 0.7) for m in _IBAN.finditer(text) if mod97(m.group())]
     proposals += [("phone", m.start(), m.end(), 0.5 if m.group()[0] == "(" else 0.3) for m in _LOCAL_PHONE.finditer(text)]
     proposals += [("ssn", m.start(), m.end(), 0.3) for m in _SSN.finditer(text)]
+    if not proposals:
+        return out
+    used = bytearray(len(text))
+    for _, a, b in base:
+        used[a:b] = bytes((1,)) * (b - a)
     for kind, a, b, start in proposals:
         score = _score(kind, start, text, a, b)
-        if score >= BAR and not any(x < b and a < y for _, x, y, _ in out):
+        if score >= BAR and used.find(1, a, b) < 0:
             out.append((kind, a, b, score))
+            used[a:b] = bytes((1,)) * (b - a)
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -156,10 +165,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             likely = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
             found, clean = [], texts.to_pylist()
             for i, (text, look) in enumerate(zip(clean, likely, strict=True)):
-                own = spans(text) if look else []
+                checked = base_spans(text) if look else []
+                own = spans(text, checked) if look else []
                 if own:
                     clean[i] = redacted(text, own)
-                base = {x for x in base_spans(text)} if own else set()
+                base = set(checked)
                 found.append(
                     [{"kind": k, "start": a, "end": b, "score": s, "base": (k, a, b) in base} for k, a, b, s in own]
                 )

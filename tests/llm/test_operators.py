@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -384,6 +385,30 @@ def test_long_runs_are_linear():
     assert pii.base_spans("a" * 300_000 + "@" + "1." * 100_000 + "+" * 100_000) != []
 
 
+def test_proposals_keep_clear_of_all_spans_before_them():
+    pick = random.Random(5)
+    parts = ["GB82 WEST 1234 5698 7654 32", "555-123-4567", "tel 555 123 4567", "ssn 123-45-6789", "4111 1111 1111 1111", "a@b.de", "+1 (555) 555-0100", "1.2.3.4", " ", ", "]
+    for _ in range(1000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 12)))
+        found = pii.spans(text)
+        base = pii.base_spans(text)
+        assert set(base) <= {s[:3] for s in found}
+        added = [s for s in found if s[:3] not in base]
+        assert not any(a < y and x < b for _, a, b, _ in added for _, x, y in base)
+        assert not any(s is not t and s[1] < t[2] and t[1] < s[2] for s in added for t in added)
+
+
+def test_many_spans_are_linear():
+    def seconds(n):
+        text = "call +1 555 123 4567 or 555-123-4567, ssn 123-45-6789\n" * n
+        start = time.perf_counter()
+        assert len(pii.spans(text)) == 3 * n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * seconds(4_000)
+
+
 def test_personal_data_of_rows(docs, none):
     rows = pii.find_personal_data(docs).collect()
     assert len(rows) == len(ROWS)
