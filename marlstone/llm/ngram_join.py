@@ -18,8 +18,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Cells of the frequency table and of the table of documents to verify. Both are of fixed size.
 _CELLS, _CHUNK = 1 << 22, 1 << 14
 _MARKS = 1 << 22
-# Turns in which each class is compared with one pivot.
-_TURNS = 2
+# Turns in which each class is compared with a few pivots. They end earlier when too few of the pairs link.
+_TURNS, _PIVOTS, _WORTH = 6, 4, 1 / 16
 # Words of 64 bits in a set's parity bitmap.
 _PARITY = 8
 _BITS = [f"p{i}" for i in range(_PARITY)]
@@ -63,11 +63,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
-    """One bit for each cell of shingle hashes: whether its shingles count as frequent.
+    """A level for each cell of shingle hashes: 0 if its shingles are rare, else how frequent they are.
 
     Each task counts all its shingles into a table of fixed size; the tables are added up by
     chunks of cells. A frequent shingle stands out against the mean of its chunk, so the rule
-    is the same at any size. Which shingles are frequent only steers how they are indexed.
+    is the same at any size; levels double the excess in two steps. They only steer how shingles
+    are indexed.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +98,19 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
-        marks = [np.packbits(c > c.mean() + 6 * np.sqrt(c.mean()) + rule.frequent).tobytes() for c in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(marks, pa.binary())], ["chunk", "marks"])
+        levels = [level(c).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["chunk", "levels"])
+
+    def level(counts: np.ndarray) -> np.ndarray:
+        mean = counts.mean()
+        excess = (counts - mean) / (6 * np.sqrt(mean) + rule.frequent)
+        return np.where(excess > 1, 1 + np.floor(2 * np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
     counted = _rows(docs).mapInArrow(count, "chunk int, counts binary")
-    bits = np.zeros((_CELLS // _CHUNK, _CHUNK // 8), np.uint8)
-    for row in counted.repartition("chunk").mapInArrow(add, "chunk int, marks binary").collect():
-        bits[row["chunk"]] = np.frombuffer(row["marks"], np.uint8)
-    return bits.reshape(-1)
+    levels = np.zeros((_CELLS // _CHUNK, _CHUNK), np.uint8)
+    for row in counted.repartition("chunk").mapInArrow(add, "chunk int, levels binary").collect():
+        levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
 
 
 def _unshared(n: int, rule: Likeness) -> int:
@@ -112,32 +118,34 @@ def _unshared(n: int, rule: Likeness) -> int:
     return n - -(-rule.part * n // rule.whole)
 
 
-def signatures(shingles: np.ndarray, bits: np.ndarray, rule: Likeness) -> np.ndarray:
+def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
     """Signatures of a set, such that linked sets that differ have one in common.
 
     All sets put their rare shingles first, then the frequent ones, each by hash. Linked sets share
     a shingle within the first d + 1 of both, d being what a linked set can lack. If it is rare, it
     is a signature of both. If not, both have at most d rare shingles and share none of those, so
-    a set with r rare ones lacks at most e = d - r frequent ones of the other. Of the first
-    e + e' + 2 shared frequent shingles, e and e' of the places between them can be taken up by
-    shingles of one set only; in at least one place two shared shingles are neighbours in both
-    sets. So neighbouring pairs of frequent shingles, as far as those places can reach, are the
-    other signatures. Their number is linear in the set.
+    sets with r and r' rare ones lack at most e = d - r and e' = d' - r' frequent ones of the other.
+    Of the places between neighbours among the shared frequent shingles at most e + e' are taken up
+    by shingles of one set only; the others are neighbours in both sets, and a set with f frequent
+    shingles has at most f - 1 - (f - e - 1 - e - e') = 2e + e' neighbouring pairs that the other
+    lacks. So in any order of pairs common to all sets, the first shared pair is among the first
+    2e + e' + 1 of both. The order begins with the least frequent pairs, so crowds meet only where
+    sets consist of nothing else. The number of signatures is linear in the set.
     """
     n = len(shingles)
     if n == 0 or rule.whole * n < rule.part * (n + 1):
         return shingles[:0]  # too small to link with any other set
     lacks = _unshared(n, rule)
-    cell = shingles % np.uint64(_CELLS)
-    # packbits puts the first cell into the highest bit of a byte.
-    often = (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    rare = shingles[~often]
+    level = levels[(shingles % np.uint64(_CELLS)).astype(np.int64)]
+    rare = shingles[level == 0]
     if len(rare) > lacks:
         return rare[: lacks + 1]
     own, other = lacks - len(rare), _unshared(rule.whole * n // rule.part, rule)
-    rest = shingles[often][: 2 * own + other + 2]
+    rest, level = shingles[level > 0], level[level > 0].astype(np.int64)
     with np.errstate(over="ignore"):
-        return np.concatenate((rare, mix(rest[:-1] * _A + rest[1:] * _B)))
+        pairs = mix(rest[:-1] * _A + rest[1:] * _B)
+    low, high = np.minimum(level[:-1], level[1:]), np.maximum(level[:-1], level[1:])
+    return np.concatenate((rare, pairs[np.lexsort((pairs, high, low))[: 2 * own + other + 1]]))
 
 
 def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
@@ -145,12 +153,12 @@ def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
 
     The table is written once.
     """
-    bits = frequent_cells(docs, rule)
+    levels = frequent_cells(docs, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             sets = shingle_hashes(texts, rule.shingle)
-            signs = [signatures(s, bits, rule) for s in sets]
+            signs = [signatures(s, levels, rule) for s in sets]
             sizes = np.array([len(s) for s in sets], np.int64)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in signs])))
             flat = signed(np.concatenate(signs)) if ends[-1] else np.empty(0, np.int64)
@@ -193,11 +201,19 @@ def _class_array(sets: list[np.ndarray]) -> pa.Array:
 
 
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """(sign, cls) of all signatures that more than one class has. The table is written."""
+    """(sign, cls) of the signatures that more than one class has, one of those with the same classes. The table is written.
+
+    Near copies share very many signatures; those that all the same classes hold say the same. Signatures are
+    compared by the number and two hash sums of their classes.
+    """
     one = classes.filter("cls is not null and size(signs) > 0").select("cls", "signs").dropDuplicates(["cls"])
     postings = one.select("cls", F.explode(F.array_distinct("signs")).alias("sign"))
     held = F.count(F.lit(1)).over(Window.partitionBy("sign"))
-    return materialize(postings.withColumn("held", held).filter("held > 1").drop("held"), "postings")
+    postings = materialize(postings.withColumn("held", held).filter("held > 1").drop("held"), "postings")
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"x{i}") for i in range(2)]
+    alike = postings.groupBy("sign").agg(F.count(F.lit(1)).alias("held"), *sums)
+    kept = alike.groupBy("held", "x0", "x1").agg(F.min("sign").alias("sign")).select("sign")
+    return materialize(postings.join(kept, "sign", "left_semi"), "distinct-postings")
 
 
 def _class_facts(classes: DataFrame) -> DataFrame:
@@ -221,16 +237,16 @@ def _open(postings: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: Likeness, turn: int) -> DataFrame:
-    """(a, b): each class with the pivot of most of its signatures, if sizes and bitmaps allow a link.
+    """(a, b): each class with the pivots of most of its signatures, if sizes and bitmaps allow a link.
 
     A pivot is a signature's first class by a hash, so the signatures of a group of near copies
-    mostly agree on it. There is at most one pair for each class.
+    mostly agree on it. There are at most four pairs for each class.
     """
     order = F.struct(F.xxhash64(F.lit(turn), "cls").alias("order"), F.col("cls").alias("cls"), F.col("comp").alias("comp"))
     rows = _open(postings, comps).withColumn("first", F.min(order).over(Window.partitionBy("sign")))
     rows = rows.filter(F.col("comp") != F.col("first.comp")).groupBy("cls", F.col("first.cls").alias("pivot")).count()
     best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "pivot"))
-    pairs = rows.withColumn("place", best).filter("place = 1").select("cls", "pivot")
+    pairs = rows.withColumn("place", best).filter(F.col("place") <= _PIVOTS).select("cls", "pivot")
     other = facts.select(F.col("cls").alias("pivot"), *[F.col(c).alias(f"o_{c}") for c in ("n", *_BITS)])
     pairs = pairs.join(facts, "cls").join(other, "pivot").filter(_can_link(rule, "o_"))
     return materialize(pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "pivot-pairs")
@@ -311,21 +327,21 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Likene
 def class_components(docs: DataFrame, classes: DataFrame, rule: Likeness) -> DataFrame:
     """(cls, comp) of all classes that link with another one.
 
-    Turns with pivots join the bulk of each group of near copies, one pair for each class. Then
-    every pair with a common signature that isn't in one component already is verified, unless its
+    Turns with pivots join the bulk of each group of near copies, a few pairs for each class, for as
+    long as enough of them link; each turn has other pivots, and leaves out what is joined. Then every pair with a common signature that isn't in one component already is verified, unless its
     bitmaps rule a link out, so no link that matters is left out.
     """
     postings, facts = shared_postings(classes), _class_facts(classes)
     links = postings.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     comps = links.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
-    for turn in range(_TURNS + 1):
-        if turn < _TURNS:
-            pairs = pivot_pairs(postings, comps, facts, rule, turn)
-        else:
-            pairs = other_pairs(postings, comps, facts, rule)
-        links = links.union(verified(docs, classes, pairs, rule))
+    for turn in range(_TURNS):
+        pairs = pivot_pairs(postings, comps, facts, rule, turn)
+        linked = verified(docs, classes, pairs, rule)
+        links = links.union(linked)
         comps = components(links)
-    return comps
+        if linked.count() < _WORTH * pairs.count():
+            break
+    return components(links.union(verified(docs, classes, other_pairs(postings, comps, facts, rule), rule)))
 
 
 def _members(pairs: DataFrame) -> DataFrame:

@@ -238,14 +238,15 @@ def test_linked_sets_share_a_signature():
     for part, n in itertools.product((80, 90), (5, 6, 7, 9, 11, 20, 37, 80)):
         rule = ngram_join.Likeness(3, part)
         for _ in range(60):
-            bits = np.packbits(rng.random(ngram_join._CELLS) < rng.random()) if _ % 20 == 0 else bits  # noqa: F821
+            if _ % 20 == 0:
+                levels = rng.integers(1, 30, ngram_join._CELLS, dtype=np.uint8) * (rng.random(ngram_join._CELLS) < rng.random())
             common = rng.integers(1, 2**63, n, dtype=np.uint64)
             a = np.concatenate((common, rng.integers(1, 2**63, rng.integers(0, 1 + n // 4), dtype=np.uint64)))
             b = np.concatenate((common, rng.integers(1, 2**63, rng.integers(0, 1 + n // 4), dtype=np.uint64)))
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
             if 100 * both >= part * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
-                assert np.intersect1d(ngram_join.signatures(a, bits, rule), ngram_join.signatures(b, bits, rule)).size
+                assert np.intersect1d(ngram_join.signatures(a, levels, rule), ngram_join.signatures(b, levels, rule)).size
 
 
 def test_join_of_edge_rows(docs, none):
