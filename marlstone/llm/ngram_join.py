@@ -339,7 +339,7 @@ def class_components(docs: DataFrame, classes: DataFrame, rule: Likeness) -> Dat
         linked = verified(docs, classes, pairs, rule)
         links = links.union(linked)
         comps = components(links)
-        if linked.count() < _WORTH * pairs.count():
+        if linked.count() <= _WORTH * pairs.count():
             break
     return components(links.union(verified(docs, classes, other_pairs(postings, comps, facts, rule), rule)))
 
