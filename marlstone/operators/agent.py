@@ -6,10 +6,6 @@ questions at once. Only query similarity needs Python's matcher; it is a row hel
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Iterable
-from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -18,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.config import QuerySettings
-from marlstone.functions.text import strip, unique_strings
+from marlstone.functions.text import collapse_spaces, strip, unique_strings
 from marlstone.operators.formulas import json_object
 
 # Search tools in order, intents, next actions, stop reasons and wording.
@@ -141,49 +137,60 @@ def parse_evaluation(reply: Column) -> Column:
 # ------------------------------------------------------------------ planning
 
 
-# The letters that make a text Chinese, what a comparison ignores.
-_HAN = re.compile("[一-鿿]")
-_NOISE = re.compile(r"[^\w一-鿿]+")
+# The letters that make a text Chinese, two words in Latin letters, what a comparison ignores.
+_HAN = "[一-鿿]"
+_LATIN_WORDS = "[A-Za-z][^A-Za-z]+[A-Za-z]"
+_NOISE = r"[^\p{L}\p{N}_]+"
 
 
-@dataclass(frozen=True)
-class _Search:
-    """A search text with the form in which it is compared."""
+def _comparable(texts: Column) -> Column:
+    """Search texts with the keys by which they are compared; texts without a key go."""
+    tidy = F.transform(F.coalesce(texts, F.array().cast(_strings)), lambda t: collapse_spaces(F.coalesce(t, F.lit(""))))
+    keyed = F.transform(tidy, lambda t: F.struct(t.alias("text"), F.lower(F.regexp_replace(t, _NOISE, "")).alias("key")))
+    return F.filter(keyed, lambda t: t["key"] != "")
 
-    text: str
-    key: str
 
-    @classmethod
-    def of(cls, raw: object) -> _Search:
-        text = re.sub(r"\s+", " ", str(raw or "")).strip()
-        return cls(text, _NOISE.sub("", text).lower())
+def _alike(key: str, earlier: str) -> bool:
+    if key == earlier or SequenceMatcher(None, key, earlier).ratio() >= SIMILAR_RATIO:
+        return True
+    return min(len(key), len(earlier)) >= CONTAINED_LENGTH and (key in earlier or earlier in key)
 
-    @property
-    def english(self) -> bool:
-        return _HAN.search(self.text) is None and len(re.findall("[A-Za-z]+", self.text)) > 1
 
-    def repeats(self, other: _Search) -> bool:
-        """Equal, contained unless very short, or of nearly the same letters in the same order."""
-        inner, outer = (self.key, other.key) if len(self.key) <= len(other.key) else (other.key, self.key)
-        contained = inner in outer and (len(inner) >= CONTAINED_LENGTH or inner == outer)
-        return contained or SequenceMatcher(None, self.key, other.key).ratio() >= SIMILAR_RATIO
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
+def _earlier_alike(lists: pd.Series) -> pd.Series:
+    """For each key of each list the places of the keys before it that are alike."""
+    places = lambda keys: [[j for j in range(i) if _alike(keys[i], keys[j])] for i in range(len(keys))]
+    return lists.map(lambda row: [places(list(keys)) for keys in row])
 
 
-def distinct_queries(queries: Iterable[str], source: str, limit: int) -> list[str]:
-    """Search texts that say something new; a Chinese question gets at most one English one."""
-    asked_in_chinese = _HAN.search(source or "") is not None
+# Marked as not deterministic so that it is computed once and never inlined where a Python
+# function cannot run (inside lambdas or inferred filters).
+_earlier_alike = _earlier_alike.asNondeterministic()
 
-    def with_next(kept: tuple[_Search, ...], new: _Search) -> tuple[_Search, ...]:
-        second_english = asked_in_chinese and new.english and any(k.english for k in kept)
-        fits = len(kept) < limit and new.key and not second_english
-        return (*kept, new) if fits and not any(new.repeats(k) for k in kept) else kept
 
-    return [k.text for k in functools.reduce(with_next, map(_Search.of, () if queries is None else queries), ())]
+def _new_texts(rows: Column, alike: Column, source: Column, limit: int) -> Column:
+    """Texts in order, without those alike to one taken before or a second English one for a Chinese source."""
+    chinese = F.coalesce(source, F.lit("")).rlike(_HAN)
+    numbered = F.zip_with(
+        F.transform(rows, lambda r, i: F.struct(i.alias("i"), (~r["text"].rlike(_HAN) & r["text"].rlike(_LATIN_WORDS)).alias("english"))),
+        alike, lambda r, a: F.struct(r["i"].alias("i"), r["english"].alias("english"), a.alias("alike")),
+    )
+
+    def take(acc: Column, r: Column) -> Column:
+        new = (F.size(acc["taken"]) < limit) & ~F.arrays_overlap(acc["taken"], r["alike"]) & ~(chinese & r["english"] & acc["english"])
+        return F.when(
+            new, F.struct(F.array_append(acc["taken"], r["i"]).alias("taken"), (acc["english"] | r["english"]).alias("english"))
+        ).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(False).alias("english"))
+    return F.transform(F.aggregate(numbered, start, take, lambda acc: acc["taken"]), lambda i: F.get(rows, i)["text"])
 
 
-@F.pandas_udf(_strings)
-def _distinct(queries: pd.Series, sources: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([distinct_queries(q, s, int(n)) for q, s, n in zip(queries, sources, limits)])
+def distinct_queries(df: DataFrame, name: str, texts: Column, source: str, limit: int) -> DataFrame:
+    """Adds search texts that say something new; a Chinese question gets at most one English one."""
+    df = df.withColumn("_rows", _comparable(texts))
+    df = df.withColumn("_alike", _earlier_alike(F.array(F.transform("_rows", lambda r: r["key"]))))
+    return df.withColumn(name, _new_texts(F.col("_rows"), F.col("_alike")[0], F.col(source), limit)).drop("_rows", "_alike")
 
 
 def fallback_plan(query: Column, reason: Column, settings: QuerySettings = QuerySettings()) -> Column:
@@ -222,10 +229,10 @@ def normalize_plans(df: DataFrame, settings: QuerySettings = QuerySettings()) ->
         F.when(F.size(unique) > 0, unique).otherwise(fallback)
     )
     df = df.withColumn("_questions", questions).withColumn("_tasked", has_tasks)
-    df = df.withColumn("_focused", _distinct(F.coalesce(p["search_queries"], none), "query_text", F.lit(FOCUSED_QUERIES)))
+    df = distinct_queries(df, "_focused", p["search_queries"], "query_text", FOCUSED_QUERIES)
     backup = F.when(F.size("_focused") == 0, F.col("_questions")).otherwise(none)
     every = F.concat(F.array("query_text"), F.col("_focused"), backup)
-    df = df.withColumn("_searches", _distinct(every, "query_text", F.lit(PLAN_QUERIES)))
+    df = distinct_queries(df, "_searches", every, "query_text", PLAN_QUERIES)
 
     named = F.filter(F.coalesce(p["retrieval_tools"], none), lambda t: t.isin(*TOOLS))
     by_profile = F.when(p["retrieval_profile"] == "fast", F.array(*[F.lit(t) for t in _profile_tools(settings, "fast")])).otherwise(
@@ -251,8 +258,10 @@ def normalize_plans(df: DataFrame, settings: QuerySettings = QuerySettings()) ->
         )
 
     df = df.withColumn("_merged", F.transform("_questions", merged))
-    df = df.withColumn("_task_queries", _distinct_each(F.col("_merged")))
     # A Python result may be an argument of a higher-order function but not used inside one.
+    df = df.withColumn("_each", F.transform("_merged", lambda m: F.struct(m["question"].alias("question"), _comparable(m["queries"]).alias("rows"))))
+    df = df.withColumn("_alike_each", _earlier_alike(F.transform("_each", lambda m: F.transform(m["rows"], lambda r: r["key"]))))
+    df = df.withColumn("_task_queries", F.zip_with("_each", "_alike_each", lambda m, a: _new_texts(m["rows"], a, m["question"], QUERIES_PER_TASK)))
     tasks = F.zip_with(
         "_merged",
         "_task_queries",
@@ -270,8 +279,8 @@ def normalize_plans(df: DataFrame, settings: QuerySettings = QuerySettings()) ->
         F.exists("_merged", lambda m: F.exists(m["deps"], lambda d: (d < 0) | (d >= m["i"]))), "dependency is not an earlier sub-question"
     )
     single = (F.size("_questions") == 1) & F.col("_tasked")
-    one = _distinct(F.concat(F.array("query_text"), F.col("_tasks")[0]["search_queries"]), "query_text", F.lit(PLAN_QUERIES))
-    searches = F.when(single, one).otherwise(F.when(F.size("_searches") > 0, F.col("_searches")).otherwise(F.array("query_text")))
+    df = distinct_queries(df, "_one", F.concat(F.array("query_text"), F.col("_tasks")[0]["search_queries"]), "query_text", PLAN_QUERIES)
+    searches = F.when(single, F.col("_one")).otherwise(F.when(F.size("_searches") > 0, F.col("_searches")).otherwise(F.array("query_text")))
     criteria = unique_strings(F.coalesce(p["success_criteria"], none), limit)
     criteria = F.when(F.size(criteria) > 0, criteria).otherwise(
         F.transform("_questions", lambda q: F.concat(F.lit("找到能够直接回答“"), q, F.lit("”的证据")))
@@ -283,27 +292,10 @@ def normalize_plans(df: DataFrame, settings: QuerySettings = QuerySettings()) ->
         unique_strings(F.coalesce(p["document_hints"], none), settings.document_route_max_options).alias("document_hints"),
         p["retrieval_profile"].alias("retrieval_profile"), F.col("_tools").alias("retrieval_tools"), criteria.alias("success_criteria"),
     )
-    made = ["_questions", "_tasked", "_focused", "_searches", "_tools", "_merged", "_task_queries", "_tasks"]
+    made = ["_questions", "_tasked", "_focused", "_searches", "_tools", "_merged", "_each", "_alike_each", "_task_queries", "_tasks", "_one"]
     return df.withColumn("plan_problem", problem).withColumn("plan", plan).drop(*made)
 
 
-@F.pandas_udf(T.ArrayType(_strings))
-def _each(queries: pd.Series, questions: pd.Series) -> pd.Series:
-    return pd.Series(
-        [[distinct_queries(q, s, QUERIES_PER_TASK) for q, s in zip(qs, ss)] for qs, ss in zip(queries, questions)]
-    )
-
-
-# Marked as not deterministic so that plans are computed once and never inlined where a
-# Python function cannot run (inside lambdas or inferred filters).
-_distinct = _distinct.asNondeterministic()
-_each = _each.asNondeterministic()
-
-
-def _distinct_each(merged: Column) -> Column:
-    return _each(F.transform(merged, lambda m: m["queries"]), F.transform(merged, lambda m: m["question"]))
-
-
 # ------------------------------------------------------------------ budget
 
 

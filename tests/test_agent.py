@@ -74,11 +74,17 @@ def test_dependency_must_point_backwards(spark):
     assert agent.normalize_plans(plans(spark, ("q", plan)), SETTINGS).head().plan_problem == "dependency is not an earlier sub-question"
 
 
-def test_near_duplicate_queries_and_one_english_text():
-    assert agent.distinct_queries(["激光 原理", "激光原理", "laser principle basics", "another english text", "成像公式"], "激光原理是什么", 5) == [
-        "激光 原理", "laser principle basics", "成像公式",
+def test_near_duplicate_queries_and_one_english_text(spark):
+    cases = [
+        (["激光 原理", "激光原理", "laser principle basics", "another english text", "成像公式"], "激光原理是什么", ["激光 原理", "laser principle basics", "成像公式"]),
+        (["abcdefghijkl", "abcdefghijklm", "x"], "q", ["abcdefghijkl", "x"]),
+        (["", None, " ! ", "a", "A.", "b", "c", "d", "e", "f"], None, ["a", "b", "c", "d", "e"]),
+        (["one two", "three four"], "q", ["one two", "three four"]),
+        (None, "q", []),
     ]
-    assert agent.distinct_queries(["abcdefghijkl", "abcdefghijklm", "x"], "q", 5) == ["abcdefghijkl", "x"]
+    rows = spark.createDataFrame(cases, "texts array<string>, source string, expected array<string>")
+    for row in agent.distinct_queries(rows, "found", F.col("texts"), "source", 5).collect():
+        assert row.found == row.expected
 
 
 def test_dependent_tasks_are_not_scheduled_first(spark):
