@@ -41,11 +41,11 @@ def hybrid_top_k(
     k: int = 12,
     scope: DataFrame | None = None,
     settings: QuerySettings = QuerySettings(),
-    sparse: Postings | None = None,
+    sparse: Postings | DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid search over vectors(chunk_id, dense, sparse) for query_vectors(query_id, ...).
 
-    ``sparse`` are stored postings of the sparse vectors, if there are some.
+    ``sparse`` is a stored index of the sparse vectors (:func:`vector_index`), if there is one.
     """
     return weighted_hybrid(
         dense_top_k(vectors, query_vectors, k, scope),

@@ -27,7 +27,7 @@ def search_registry(
     vectors: DataFrame,
     embedder: Callable[[], Embedder] = HashedEmbedder,
     settings: QuerySettings = QuerySettings(),
-    sparse: Postings | None = None,
+    sparse: Postings | DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, mention, doc_id, pos, route_score): the best documents for each mention.
 

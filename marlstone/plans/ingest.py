@@ -15,8 +15,8 @@ from marlstone.config import IngestSettings
 from marlstone.models import Embedder, Generator, HashedEmbedder, generate
 from marlstone.operators import formulas, identity, vectors, versions
 from marlstone.operators.chunks import chunk_documents
-from marlstone.operators.lexical import term_index
-from marlstone.operators.postings import Postings, build_postings
+from marlstone.operators.lexical import keyword_index, term_index
+from marlstone.operators.postings import Postings
 from marlstone.operators.registry import profile_vectors
 from marlstone.plans.steps import StepLog
 from marlstone.session import materialize
@@ -67,11 +67,11 @@ class Corpus:
         """Term index of active chunks, for repeated keyword searches."""
         return self.terms.read().join(self.active_chunks().select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
-    def keyword_postings(self) -> Postings:
-        """Stored postings of active chunks, built again after something was published."""
+    def keyword_postings(self) -> Postings | DataFrame:
+        """Stored index of active chunks for keyword searches, built again after something was published."""
         state = self.publishes.read().count()
         if state not in self._indexes:
-            self._indexes = {state: build_postings(materialize(self.active_terms(), "terms"))}
+            self._indexes = {state: keyword_index(materialize(self.active_terms(), "terms"))}
         return self._indexes[state]
 
     def active_vectors(self) -> DataFrame:

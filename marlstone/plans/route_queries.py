@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import model_codes
 from marlstone.models import embed
 from marlstone.operators import registry, routing
-from marlstone.operators.lexical import sparse_index
+from marlstone.operators.lexical import vector_index
 from marlstone.plans.search_queries import _HASHED, _WORDS, K
 from marlstone.plans.tables import questions, stored, table
 from marlstone.plans.text_queries import _name
@@ -57,7 +57,7 @@ def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentioned = questions(spark, sf_dir).select("query_id", _line().alias("mention"), F.lit(0).alias("place"))
     vectors = title_vectors(spark, sf_dir)
     keyed = vectors.withColumnRenamed("doc_id", "chunk_id")
-    sparse = stored(spark, sf_dir, "documents", "title_postings", lambda: sparse_index(keyed))
+    sparse = stored(spark, sf_dir, "documents", "title_postings", lambda: vector_index(keyed))
     return registry.search_registry(mentioned, vectors, sparse=sparse)
 
 

@@ -9,8 +9,8 @@ from marlstone.config import QuerySettings
 from marlstone.models import embed
 from marlstone.operators import fusion, hybrid, scope
 from marlstone.operators.dense import dense_top_k
-from marlstone.operators.lexical import bm25_top_k, sparse_index, sparse_top_k, term_index
-from marlstone.operators.postings import Postings, build_postings
+from marlstone.operators.lexical import bm25_top_k, keyword_index, sparse_top_k, term_index, vector_index
+from marlstone.operators.postings import Postings
 from marlstone.plans.tables import chunks, questions, scope_rows, stored, table
 from marlstone.session import materialize
 
@@ -22,9 +22,9 @@ def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "documents", "terms", lambda: materialize(term_index(chunks(spark, sf_dir)), "terms"))
 
 
-def keyword_postings(spark: SparkSession, sf_dir: str) -> Postings:
-    """Stored postings of the chunks' terms, shared by all keyword searches."""
-    return stored(spark, sf_dir, "documents", "postings", lambda: build_postings(forward_index(spark, sf_dir)))
+def keyword_postings(spark: SparkSession, sf_dir: str) -> Postings | DataFrame:
+    """Stored index of the chunks' terms, shared by all keyword searches: postings, or the terms of a large table."""
+    return stored(spark, sf_dir, "documents", "postings", lambda: keyword_index(forward_index(spark, sf_dir)))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sparse_postings(spark: SparkSession, sf_dir: str) -> Postings:
-    return stored(spark, sf_dir, "documents", "sparse", lambda: sparse_index(chunk_vectors(spark, sf_dir)))
+def sparse_postings(spark: SparkSession, sf_dir: str) -> Postings | DataFrame:
+    return stored(spark, sf_dir, "documents", "sparse", lambda: vector_index(chunk_vectors(spark, sf_dir)))
 
 
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,8 @@ def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, hit in found.items():
         part = hit.select("query_id", "chunk_id", "rank", F.lit(name).alias("branch"))
         hits = part if hits is None else hits.unionByName(part)
-    return hits
+    # Ranked hits are few; what follows doesn't repeat the searches.
+    return materialize(hits, "hits")
 
 
 def _flat_fused(fused: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_scoped(spark: SparkSession, sf_dir: str):
-    """A branch search over the stored postings, shared by all scopes."""
+    """A branch search over the stored index, shared by all scopes."""
     index = keyword_postings(spark, sf_dir)
     return lambda asked, limited: bm25_top_k(None, asked, K, index=index, scope=limited)
 
@@ -140,12 +141,15 @@ def scope_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over documents whose quality label is good; unlabelled ones are active."""
+    """BM25 over documents whose quality label is good; unlabelled ones are active.
+
+    Searched once, so the terms are scored where they lie.
+    """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
     flagged = forward_index(spark, sf_dir).join(labels, "chunk_id", "left").withColumn(
         "is_active", F.coalesce(F.col("quality") == 1, F.lit(True))
     )
-    return bm25_top_k(None, questions(spark, sf_dir), K, index=build_postings(scope.visible(flagged)))
+    return bm25_top_k(None, questions(spark, sf_dir), K, index=materialize(scope.visible(flagged), "active"))
 
 
 def score_cliff(spark: SparkSession, sf_dir: str) -> DataFrame:
