@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,11 @@ DEMAND = r"为什么|为何|如何|怎么|多少|哪些|是什么|有什么|结
 MIN_ALIAS, MIN_CANONICAL, MIN_NAME = 4, 6, 12
 # Names that may share a head under which they are looked up.
 SHARED_HEAD = 16
-# Characters of a text whose places are held together.
-PART = 4_000
+# Characters of texts whose places are held together.
+PART = 1 << 20
+# Cells of the table of the heads' hashes, and the base of the hash with its inverse modulo 2^64.
+_CELL_BITS = 22
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def query_type(text: Column, image: Column) -> Column:
@@ -117,10 +124,10 @@ def group_key() -> Column:
 
 
 def headed_names(known: DataFrame) -> DataFrame:
-    """(name_key, head): the shortest beginning of each name that few other names share.
+    """(name_key, head): the longest beginning of 4, 8, 16, ... characters of each name, or all of it.
 
-    Heads have 4, 8, 16, ... characters or are whole names, so a beginning that very many names share
-    is never looked up by itself. ``known`` holds distinct names of ``MIN_ALIAS`` characters or more.
+    A head is a whole name where too many names share the beginning, so one that very many names share
+    is never looked up by itself, and a text that holds a head mostly holds the name. ``known`` holds distinct names of ``MIN_ALIAS`` characters or more.
     """
     length = F.length("name_key")
     doubled = F.filter(F.expr("transform(sequence(2, 30), i -> shiftleft(1, i))"), lambda n: n < length)
@@ -128,40 +135,111 @@ def headed_names(known: DataFrame) -> DataFrame:
     heads = heads.withColumn("head", F.expr("substring(name_key, 1, size)"))
     crowd = heads.groupBy("head").agg(F.count(F.lit(1)).alias("names"))
     good = heads.join(crowd, "head").where((F.col("names") <= SHARED_HEAD) | (F.col("size") == length))
-    return good.groupBy("name_key").agg(F.min_by("head", "size").alias("head"))
+    return good.groupBy("name_key").agg(F.max_by("head", F.when(F.col("size") < length, F.col("size")).otherwise(0)).alias("head"))
+
+
+def head_cells(known: DataFrame) -> np.ndarray:
+    """A bit table of fixed size with the hashes of all heads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_size: dict[int, list[str]] = {}
+            for head in batch.column("head").to_pylist():
+                by_size.setdefault(len(head), []).append(head)
+            for size, heads in by_size.items():
+                places = np.arange(len(heads)) * size
+                cells = _cells(_code_points("".join(heads)), size)[places]
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64))], ["cell"])
+
+    words = known.select("head").mapInArrow(run, "cell long").select(
+        F.expr("cast(cell div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(cell % 64 as int))").alias("bit")
+    )
+    table = np.zeros((1 << _CELL_BITS) // 64, np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        table[row["word"]] = row["bits"]
+    return table.view(np.uint64)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _cells(codes: np.ndarray, size: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The cell of each window of ``size`` characters, from differences of running sums."""
+    sums, down = known or _running(codes)
+    windows = (sums[size:] - sums[:-size]) * down[: len(codes) - size + 1]
+    return ((windows ^ (windows >> np.uint64(32))) * _BASE) >> np.uint64(64 - _CELL_BITS)
+
+
+def _running(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the characters before each place, weighted by powers, and what takes a place's power off again."""
+    up = np.cumprod(np.full(len(codes), _BASE))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up, dtype=np.uint64)))
+    return sums, np.cumprod(np.full(len(codes), _INVERSE))
+
+
+def _head_places(sizes: list[int], table: np.ndarray):
+    """An Arrow function from (query_id, key) to (query_id, head): windows whose cell some head has, once for a part."""
+    longest = max(sizes, default=1)
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
+        rows, texts, held = [], [], 0
+        for row, key in enumerate(batch.column("key").to_pylist()):
+            for start in range(0, len(key), PART):
+                piece = key[start : start + PART + longest - 1]
+                rows.append(row)
+                texts.append(piece)
+                held += len(piece)
+                if held >= PART:
+                    yield rows, texts
+                    rows, texts, held = [], [], 0
+        if rows:
+            yield rows, texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in parts(batch):
+                text, ends = "".join(texts), np.cumsum([len(t) for t in texts])
+                codes = _code_points(text)
+                known = _running(codes)
+                found = set()
+                for size in sizes:
+                    if size > len(codes):
+                        continue
+                    cells = _cells(codes, size, known)
+                    at = np.flatnonzero((table[cells >> np.uint64(6)] >> (cells & np.uint64(63))) & np.uint64(1))
+                    owner = np.searchsorted(ends, at, side="right")
+                    inside = at + size <= ends[owner]
+                    found.update((rows[o], text[i : i + size]) for o, i in zip(owner[inside].tolist(), at[inside].tolist(), strict=True))
+                ids = batch.column("query_id").take(pa.array([row for row, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([head for _, head in found], pa.string())], ["query_id", "head"])
+
+    return run
 
 
 def contained_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name_key, doc_id, group_key) of registry names inside a query's text.
 
-    At each place of the query the few head lengths in use are looked up among the names' heads
-    (:func:`headed_names`), and names found are sought in the query as a whole. A place has at most
-    ``SHARED_HEAD`` candidates for each head length, whatever the number of names and however many begin alike,
-    and carries only a head. Long texts are looked up part by part. Only names contained in no longer matched name of the query remain, besides
-    all of the greatest length.
+    At each place of the query the few head lengths in use are looked up in a table of fixed size with the
+    hashes of the names' heads (:func:`headed_names`). Places that it lets through join with the heads, and names found are
+    sought in the query as a whole. A place has at most ``SHARED_HEAD`` candidates for each head length, whatever the
+    number of names and however many begin alike. Long texts are looked up part by part. Only names contained in no
+    longer matched name of the query remain, besides all of the greatest length.
     """
     known = names.select("name_key").where(F.length("name_key") >= MIN_ALIAS).distinct()
     known = materialize(headed_names(known), "heads")
     # As many lengths as heads have, of which there are few.
     sizes = sorted(r[0] for r in known.select(F.length("head")).distinct().collect())
     keyed = materialize(queries.select("query_id", normalize_name(F.col("text")).alias("key")), "keys")
-    starts = None
-    for size in sizes:
-        # Patterns run once over a text; reading at a place counts characters from the start each time.
-        cut = [F.regexp_extract_all("key", F.lit(rf"(?s)(.{{1,{PART}}})(?=(.{{0,{size - 1}}}))"), F.lit(i)) for i in (1, 2)]
-        texts = keyed.select("query_id", F.explode(F.zip_with(*cut, lambda own, after: F.concat(own, after))).alias("part"))
-        begins = F.array_distinct(F.regexp_extract_all("part", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-        found = texts.select("query_id", F.explode(begins).alias("head"))
-        starts = found if starts is None else starts.unionByName(found)
-    if starts is None:
-        starts = keyed.select("query_id", F.col("key").alias("head")).limit(0)
-    near = starts.join(known, "head").select("query_id", "name_key").distinct()
+    starts = keyed.mapInArrow(_head_places(sizes, head_cells(known)), keyed.select("query_id", F.col("key").alias("head")).schema)
+    # Most texts name nothing, and what was found has a known size when the texts are joined.
+    near = materialize(starts.join(known, "head").select("query_id", "name_key").distinct(), "near")
     parts = near.join(keyed, "query_id").where(F.contains("key", "name_key")).select("query_id", "name_key")
-    parts = parts.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    parts = materialize(parts, "named").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     hits = parts.join(names, "name_key").where(
         routable(F.col("name_key"), F.col("name_has_code"), F.col("canonical"), F.col("query_text"))
     )
-    found = hits.select("query_id", "name_key", "doc_id", "group_key").distinct()
+    found = materialize(hits.select("query_id", "name_key", "doc_id", "group_key").distinct(), "found")
     matched = found.groupBy("query_id").agg(F.collect_set("name_key").alias("matched"))
     strong = ~F.exists(
         "matched", lambda longer: (longer != F.col("name_key")) & F.contains(longer, F.col("name_key"))

@@ -84,3 +84,18 @@ def test_registry_search_ranks_each_mention(spark, corpus):
     titles = {r.doc_id: r.canonical_title for r in corpus.active_registry().collect()}
     first = {(r.query_id, r.mention): titles[r.doc_id] for r in rows if r.pos % 10 == 1}
     assert first == {(1, "rose almanac"): "Rose Garden Almanac", (1, "diesel service"): "Diesel Engine XK-900 Service", (2, "rose almanac"): "Rose Garden Almanac"}
+
+
+def test_few_places_of_a_text_leave_its_scan(spark, monkeypatch):
+    """Only places that some head may begin at become rows, also where a text is cut."""
+    monkeypatch.setattr(routing, "PART", 50)
+    pick = random.Random(5)
+    texts = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=3_000)) for _ in range(20)]
+    texts[3] = texts[3][:47] + "magnetometer handbook" + texts[3][47:] + "ünïcode \U0001f600 manual"
+    titles = ["Magnetometer Handbook", "Ünïcode \U0001f600 Manual", "nowhere to be found"]
+    known = routing.headed_names(spark.createDataFrame([("magnetometerhandbook",), ("nowheretobefound",)], "name_key string"))
+    rows = spark.createDataFrame([(i, t.replace(" ", "")) for i, t in enumerate(texts)], "query_id int, key string")
+    sizes = sorted({r[0] for r in known.select(F.length("head")).collect()})
+    places = rows.mapInArrow(routing._head_places(sizes, routing.head_cells(known)), "query_id int, head string").collect()
+    assert "magnetometerhand" in {p.head for p in places if p.query_id == 3} and len(places) < 100
+    assert {(r.query_id, r.doc_id) for r in contained(spark, texts, titles).collect()} == {(3, "d0"), (3, "d1")}
