@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import mix, plain_text, text_batches
+from marlstone.llm.text import mix, plain_text, running_sum, text_batches
 from marlstone.session import materialize
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -24,8 +24,8 @@ class Rule:
     quantile: float = 0.99  # of a language's trusted perplexities
     slack: float = 1.05  # documents up to so many times that quantile stay
     least: int = 20  # documents that set limits, as a language needs for one of its own
-    trusted: int = 200_000  # trusted documents that the model learns from at most, chosen by a hash of their id
     shard: int = 2_000_000  # n-grams whose probabilities a task holds at a time
+    sent: int = 5_000_000  # trusted ids that go to all tasks at most; with more, texts move to be marked
 
 
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,37 +95,36 @@ def gram_probabilities(counts: DataFrame, rule: Rule) -> DataFrame:
 
     Below the highest order, an n-gram's count is the number of characters seen before it. Three
     discounts for an order follow from the numbers of n-grams seen once to four times; what they
-    take off a context goes to the next lower order. All tables are joined in shards by n-gram.
+    take off a context goes to the next lower order. Each order's counts are a written table.
     """
     order = rule.order
-    types = {order: counts.filter("n > 0")}
-    wanted = {order: counts.select("gram")}
+    tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        types[k] = types[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        wanted[k] = wanted[k + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+        shorter = tables[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n"))
+        tables[k] = materialize(shorter, "kn-counts")
     counted = [
-        types[k].select(F.lit(k).alias("k"), F.least("n", F.lit(5)).alias("m")).groupBy("k", "m").count() for k in range(1, order + 1)
+        tables[k].filter("n > 0").select(F.lit(k).alias("k"), F.least("n", F.lit(5)).alias("m")).groupBy("k", "m").count() for k in range(1, order + 1)
     ]
     every = counted[0]
     for more in counted[1:]:
         every = every.union(more)
     seen = {(r["k"], r["m"]): r["count"] for r in every.collect()}
     known = sum(v for (k, _), v in seen.items() if k == 1)
-    below = wanted[1].select("gram", F.lit(1.0 / (known + 1)).alias("p"))
+    below = tables[1].select("gram", F.lit(1.0 / (known + 1)).alias("p"))
     for k in range(1, order + 1):
         n1, n2, n3, n4 = (max(1, seen.get((k, m), 0)) for m in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         off = [min(max(d, 0.1), m - 0.05) for m, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
         cut = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
-        own = types[k].withColumn("cut", cut).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
-        contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        row = wanted[k].withColumn("context", F.expr(f"substring(gram, 1, {k - 1})")).join(own.select("gram", "n", "cut"), "gram", "left")
-        row = row.join(contexts, "context", "left")
+        own = tables[k].withColumn("cut", cut).withColumn("context", F.expr(f"substring(gram, 1, {k - 1})"))
+        contexts = own.filter("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+        row = own.join(contexts, "context", "left")
         if k > 1:
             row = row.withColumn("less", F.expr("substring(gram, 2)")).join(below.select(F.col("gram").alias("less"), "p"), "less")
         else:
             row = row.join(below, "gram")
-        p = F.coalesce((F.col("n") - F.col("cut")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("p")
+        own_share = F.when(F.col("n") > 0, (F.col("n") - F.col("cut")) / F.col("total")).otherwise(0.0)
+        p = own_share + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("p")
         below = row.select("gram", p.alias("p"))
         if k >= order - 1:
             below = materialize(below, "kn-probabilities")
@@ -229,11 +228,27 @@ def perplexities(docs: DataFrame, logp: DataFrame, rule: Rule) -> DataFrame:
     return parts.withColumn("perplexity", F.exp(-F.col("log_sum") / F.col("symbols"))).drop("log_sum", "symbols")
 
 
+def quantiles(values: DataFrame, by: str, column: str, at: float) -> DataFrame:
+    """(by, n, quantile): the exact quantile ``at`` of each group, as Spark's ``percentile`` gives it.
+
+    Equal values are counted first, the counts run over cells of near values, so no group is gathered in one task.
+    """
+    counted = values.groupBy(by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("held"))
+    counted = materialize(counted, "values")
+    ahead = running_sum(counted, [by], F.floor(F.log("value") * 256), [F.col("value")], "held", "ahead")
+    sizes = counted.groupBy(F.col(by).alias("__by")).agg(F.sum("held").alias("n"))
+    placed = ahead.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).withColumn("place", F.lit(at) * (F.col("n") - 1))
+    holds = lambda rank: F.max(F.when((F.col("ahead") <= rank) & (rank < F.col("ahead") + F.col("held")), F.col("value")))
+    ends = placed.groupBy(by, "n", "place").agg(holds(F.floor("place")).alias("low"), holds(F.ceil("place")).alias("high"))
+    between = (F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high")
+    return ends.select(by, "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("quantile"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, lang, text_hash, perplexity, max_perplexity, keep`` for each row of ``docs(doc_id, text, lang)``.
 
-    ``trusted`` has the ``doc_id`` of documents known to be good, of which ``rule.trusted`` are used. An interpolated modified
-    Kneser-Ney model of their characters gives each document's perplexity. A document is kept up to
+    ``trusted`` has the ``doc_id`` of documents known to be good. An interpolated modified Kneser-Ney
+    model of their characters gives each document's perplexity. A document is kept up to
     ``slack`` times the quantile of its language's trusted documents that the model hasn't learnt
     from, a fifth of them. Languages with few of those (null among them) take the limit of all.
 
@@ -242,22 +257,25 @@ def classify(docs: DataFrame, trusted: DataFrame, rule: Rule | None = None) -> D
     ignored. An empty table gives an empty table.
     """
     rule = rule or Rule()
-    good = trusted.select(F.col("doc_id").alias("good_id")).dropna().distinct()
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(rule.trusted)
-    # At most rule.trusted ids, so the texts need not move to be marked.
-    marks = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), plain_text().alias("text"))
-    marks = marks.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
+    good = materialize(trusted.select(F.col("doc_id").alias("good_id")).dropna().distinct(), "trusted")
     # The model learns from four fifths of them; the others set the limits, as documents that it hasn't seen.
     fifth = F.pmod(F.xxhash64(F.lit(5), "good_id"), F.lit(5)) == 0
-    marks = marks.withColumn("trusted", F.col("good_id").isNotNull() & ~fifth).withColumn("limits", F.col("good_id").isNotNull() & fifth)
-    marks = marks.drop("good_id")
-    scored = perplexities(marks, gram_probabilities(gram_counts(marks, rule), rule), rule)
-    scored = materialize(scored.select("doc_id", "lang", "text_hash", "limits", "perplexity"), "perplexities")
-    level = (F.percentile("perplexity", F.lit(rule.quantile)) * rule.slack).alias("own")
-    known = scored.filter("limits")
-    for_all = known.select(level.alias("common"))
-    limits = known.groupBy(F.col("lang").alias("l")).agg(level, F.count(F.lit(1)).alias("n")).filter(f"n >= {rule.least} and l is not null")
-    common = for_all.first()["common"]
+    same = F.col("doc_id") == F.col("good_id")
+    learnt = good.filter(~fifth)
+    learnt = F.broadcast(learnt) if good.count() <= rule.sent else learnt
+    marks = docs.select("doc_id", plain_text().alias("text")).join(learnt, same, "left")
+    counts = gram_counts(marks.select("text", F.col("good_id").isNotNull().alias("trusted")), rule)
+    # Texts are scored where they are read; marks follow by id.
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), plain_text().alias("text"))
+    scored = perplexities(rows, gram_probabilities(counts, rule), rule)
+    scored = materialize(scored.select("doc_id", "lang", "text_hash", "perplexity"), "perplexities")
+    known = scored.join(good.filter(fifth), same, "left_semi")
+    # Each document counts for its language and, under null, for all.
+    known = known.select("perplexity", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col("lang").cast("string")))).alias("l"))
+    levels = materialize(quantiles(known, "l", "perplexity", rule.quantile).select("l", "n", (F.col("quantile") * rule.slack).alias("own")), "limits")
+    limits = levels.filter(f"n >= {rule.least} and l is not null")
+    for_all = levels.filter("l is null").first()
+    common = for_all["own"] if for_all else None
     out = scored.join(limits.select("l", "own"), F.col("lang") == F.col("l"), "left")
     limit = F.coalesce("own", F.lit(common).cast("double"))
     return out.select(
