@@ -1,12 +1,14 @@
-"""Models and limits from all rows."""
+"""Models and limits from all rows, tasks that hold one block at a time."""
 
 import dataclasses
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import quality
+from marlstone.llm import brown, quality
 
 
 def test_limits_come_from_all_trusted_documents(spark):
@@ -27,3 +29,17 @@ def test_more_trusted_ids_than_are_sent_change_nothing(spark):
     labels = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id long")
     one, two = ({r.doc_id: (r.perplexity, r.max_perplexity, r.keep) for r in quality.classify(docs, labels, quality.Rule(order=3, least=3, sent=n)).collect()} for n in (1, 1000))
     assert one == {k: pytest.approx(v, rel=1e-6) for k, v in two.items()}
+
+
+def test_a_blocks_pairs_leave_before_the_next_block_is_read():
+    def blocks():
+        row = {"train": [True, False], "sizes": [3, 1], "words": ["x", "y"], "places": [0, 1, 0, 1]}
+        yield pa.RecordBatch.from_pylist([row], pa.schema({"train": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "words": pa.list_(pa.string()), "places": pa.list_(pa.int32())}))
+        raise AssertionError("the first block was held")
+
+    rule = brown.Classes(head=2, tails=1)
+    first = next(brown._block_pairs(pa.array(["x", "y"]), rule)(blocks()))
+    end = rule.head + rule.tails
+    pairs = {(p // (end + 1), p % (end + 1)): n for p, n in zip(first["pair"].to_pylist(), first["n"].to_pylist())}
+    assert pairs == {(end, 0): 1, (0, 1): 1, (1, 0): 1, (0, end): 1}
+    assert np.array(first["n"]).sum() == 4
