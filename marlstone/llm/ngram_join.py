@@ -1,9 +1,12 @@
-"""N-gram Jaccard join: token-combination prefixes over word shingles, then exact verification."""
+"""N-gram Jaccard join: parts of the sets of word shingles that linked sets agree on, then exact verification."""
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,10 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Cells of the frequency table and of the table of documents to verify. Both are of fixed size.
 _CELLS, _CHUNK = 1 << 22, 1 << 14
 _MARKS = 1 << 22
-# Turns in which each class is compared with a few pivots. They end earlier when too few of the pairs link.
-_TURNS, _PIVOTS, _WORTH = 6, 4, 1 / 16
+# Shingles of this level or above are very frequent. Ways to cut a set into parts.
+_CROWD, _WAYS = 13, 4
+# Turns in which each class is compared with a few pivots. They end earlier when a turn adds too few links to those before.
+_TURNS, _PIVOTS, _WORTH = 6, 4, 1 / 8
 # Words of 64 bits in a set's parity bitmap.
 _PARITY = 8
 _BITS = [f"p{i}" for i in range(_PARITY)]
@@ -67,8 +72,8 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
 
     Each task counts all its shingles into a table of fixed size; the tables are added up by
     chunks of cells. A frequent shingle stands out against the mean of its chunk, so the rule
-    is the same at any size; levels double the excess in two steps. They only steer how shingles
-    are indexed.
+    is the same at any size; levels double the excess in two steps. They only steer which parts of
+    sets are indexed.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,39 +118,63 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
     return levels.reshape(-1)
 
 
-def _unshared(n: int, rule: Likeness) -> int:
-    """Most shingles of a set of n that a linked set can lack."""
-    return n - -(-rule.part * n // rule.whole)
+@cache
+def _bands(rule: Likeness) -> list[int]:
+    """Smallest sizes of the bands that sets are sorted into: sets of linked sizes are in one band or in neighbouring ones."""
+    sizes = [-(-rule.part // max(1, rule.whole - rule.part))]
+    while sizes[-1] < 1 << 40:
+        sizes.append(rule.whole * sizes[-1] // rule.part + 1)
+    return sizes
+
+
+@cache
+def _cut(band: int, rule: Likeness) -> tuple[int, int]:
+    """Into how many parts sets of a band and the one below are cut, and how many more of them agree than one."""
+    sizes = _bands(rule)
+    # Two sets of one band meet among those of the band above.
+    parts = (rule.whole - rule.part) * (sizes[band] + sizes[band + 1] - 2) // (rule.whole + rule.part) + 1
+    weak = parts * math.exp(-0.75 * sizes[band - 1] / parts)
+    spare = math.floor(weak + 2 * math.sqrt(weak))
+    return parts + spare, spare
 
 
 def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
-    """Signatures of a set, such that linked sets that differ have one in common.
-
-    All sets put their rare shingles first, then the frequent ones, each by hash. Linked sets share
-    a shingle within the first d + 1 of both, d being what a linked set can lack. If it is rare, it
-    is a signature of both. If not, both have at most d rare shingles and share none of those, so
-    sets with r and r' rare ones lack at most e = d - r and e' = d' - r' frequent ones of the other.
-    Of the places between neighbours among the shared frequent shingles at most e + e' are taken up
-    by shingles of one set only; the others are neighbours in both sets, and a set with f frequent
-    shingles has at most f - 1 - (f - e - 1 - e - e') = 2e + e' neighbouring pairs that the other
-    lacks. So in any order of pairs common to all sets, the first shared pair is among the first
-    2e + e' + 1 of both. The order begins with the least frequent pairs, so crowds meet only where
-    sets consist of nothing else. The number of signatures is linear in the set.
+    """Signatures of a set (sorted hashes), such that linked sets that differ have one in common.
+
+    The space of hashes is cut into parts, the same for all sets of a band of sizes and the band below.
+    A shingle of only one of two linked sets spoils one part, and there are more parts than such
+    shingles, so linked sets agree on 1 + ``spare`` whole parts. A part's shingles are one signature:
+    unlike single shingles, hardly any of these are shared by chance. Weak are parts without shingles or
+    with none but very frequent ones, which crowds share. A set with at most ``spare`` weak parts leaves them
+    out, as it agrees on another one. Sets that agree on weak parts only both have more; they are cut in
+    another way too, and what the last way leaves weak is signatures as well. The number of signatures is linear in the set.
     """
     n = len(shingles)
     if n == 0 or rule.whole * n < rule.part * (n + 1):
         return shingles[:0]  # too small to link with any other set
-    lacks = _unshared(n, rule)
-    level = levels[(shingles % np.uint64(_CELLS)).astype(np.int64)]
-    rare = shingles[level == 0]
-    if len(rare) > lacks:
-        return rare[: lacks + 1]
-    own, other = lacks - len(rare), _unshared(rule.whole * n // rule.part, rule)
-    rest, level = shingles[level > 0], level[level > 0].astype(np.int64)
+    crowded = levels[(shingles % np.uint64(_CELLS)).astype(np.int64)] >= _CROWD
+    band, out = bisect.bisect_right(_bands(rule), n) - 1, []
     with np.errstate(over="ignore"):
-        pairs = mix(rest[:-1] * _A + rest[1:] * _B)
-    low, high = np.minimum(level[:-1], level[1:]), np.maximum(level[:-1], level[1:])
-    return np.concatenate((rare, pairs[np.lexsort((pairs, high, low))[: 2 * own + other + 1]]))
+        for at in range(max(1, band), band + 2):
+            parts, spare = _cut(at, rule)
+            for way in range(_WAYS):
+                kind = np.uint64(at * _WAYS + way) * _A
+                keys, common = shingles, crowded
+                if way:
+                    keys = mix(shingles ^ mix(np.array([way], np.uint64)))
+                    order = np.argsort(keys)
+                    keys, common = keys[order], crowded[order]
+                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                weak = np.logical_and.reduceat(common, starts)
+                signs = mix((np.add.reduceat(mix(keys), starts) + part[starts]) * _B + kind)
+                out.append(signs[~weak])
+                if parts - len(starts) + np.count_nonzero(weak) <= spare:
+                    break
+            else:
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
+                out += [signs[weak], mix(empty * _B + kind)]
+    return np.concatenate(out)
 
 
 def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
@@ -328,18 +357,22 @@ def class_components(docs: DataFrame, classes: DataFrame, rule: Likeness) -> Dat
     """(cls, comp) of all classes that link with another one.
 
     Turns with pivots join the bulk of each group of near copies, a few pairs for each class, for as
-    long as enough of them link; each turn has other pivots, and leaves out what is joined. Then every pair with a common signature that isn't in one component already is verified, unless its
-    bitmaps rule a link out, so no link that matters is left out.
+    long as they add enough links; each turn has other pivots, and leaves out what is joined. Then every
+    pair with a common signature that isn't in one component already is verified, unless its bitmaps rule
+    a link out, so no link that matters is left out.
     """
     postings, facts = shared_postings(classes), _class_facts(classes)
     links = postings.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     comps = links.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
+    known = 0
     for turn in range(_TURNS):
         pairs = pivot_pairs(postings, comps, facts, rule, turn)
         linked = verified(docs, classes, pairs, rule)
         links = links.union(linked)
         comps = components(links)
-        if linked.count() <= _WORTH * pairs.count():
+        found = linked.count()
+        known += found
+        if found <= _WORTH * known:
             break
     return components(links.union(verified(docs, classes, other_pairs(postings, comps, facts, rule), rule)))
 
@@ -382,7 +415,7 @@ def join_documents(docs: DataFrame, rule: Likeness | None = None) -> DataFrame:
     """
     rule = rule or Likeness()
     if 5 * rule.part < 4 * rule.whole:
-        raise ValueError("pairs of neighbouring shingles need a threshold of 0.8 or more")
+        raise ValueError("parts of a few shingles need a threshold of 0.8 or more")
     rows = shingle_classes(docs, rule)
     comps = class_components(docs, rows, rule)
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

@@ -249,6 +249,26 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(ngram_join.signatures(a, levels, rule), ngram_join.signatures(b, levels, rule)).size
 
 
+def test_sets_alike_by_chance_share_no_signature():
+    rng = np.random.default_rng(4)
+    levels, pool = np.zeros(ngram_join._CELLS, np.uint8), np.unique(rng.integers(1, 2**64 - 1, 9_000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, 300, replace=False)) for _ in range(200)]
+    for part in (80, 90):
+        signs = [set(ngram_join.signatures(s, levels, ngram_join.Likeness(3, part)).tolist()) for s in sets]
+        assert sum(not a.isdisjoint(b) for a, b in itertools.combinations(signs, 2)) < 1_000
+        assert max(len(s) for s in signs) <= 300
+
+
+def test_passages_of_many_texts_are_no_signatures():
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 2**64 - 1, 60, dtype=np.uint64)
+    levels = np.zeros(ngram_join._CELLS, np.uint8)
+    levels[(common % np.uint64(ngram_join._CELLS)).astype(np.int64)] = 30
+    sets = [np.unique(np.concatenate((common, rng.integers(1, 2**64 - 1, 240, dtype=np.uint64)))) for _ in range(200)]
+    signs = [set(ngram_join.signatures(s, levels, ngram_join.Likeness(3, 90)).tolist()) for s in sets]
+    assert sum(not a.isdisjoint(b) for a, b in itertools.combinations(signs, 2)) < 200
+
+
 def test_join_of_edge_rows(docs, none):
     rows = ngram_join.join_documents(docs, ngram_join.Likeness(3, 90)).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in rows) == Counter(
