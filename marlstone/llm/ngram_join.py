@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: parts of the sets of word shingles that linked sets agree on, then exact verification."""
+"""N-gram Jaccard join: parts or prefixes of the sets of word shingles as signatures, then exact verification."""
 
 from __future__ import annotations
 
@@ -138,8 +138,8 @@ def _cut(band: int, rule: Likeness) -> tuple[int, int]:
     return parts + spare, spare
 
 
-def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
-    """Signatures of a set (sorted hashes), such that linked sets that differ have one in common.
+def _agreed_parts(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
+    """Parts of a set (sorted hashes).
 
     The space of hashes is cut into parts, the same for all sets of a band of sizes and the band below.
     A shingle of only one of two linked sets spoils one part, and there are more parts than such
@@ -150,8 +150,6 @@ def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.n
     another way too, and what the last way leaves weak is signatures as well. The number of signatures is linear in the set.
     """
     n = len(shingles)
-    if n == 0 or rule.whole * n < rule.part * (n + 1):
-        return shingles[:0]  # too small to link with any other set
     crowded = levels[(shingles % np.uint64(_CELLS)).astype(np.int64)] >= _CROWD
     band, out = bisect.bisect_right(_bands(rule), n) - 1, []
     with np.errstate(over="ignore"):
@@ -177,6 +175,53 @@ def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.n
     return np.concatenate(out)
 
 
+def _unshared(n: int, rule: Likeness) -> int:
+    """Most shingles of a set of n that a linked set can lack."""
+    return n - -(-rule.part * n // rule.whole)
+
+
+def _first_shingles(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
+    """The first rare shingles of a set, or pairs of frequent ones.
+
+    All sets put their rare shingles first, then the frequent ones, each by hash. Linked sets share
+    a shingle within the first d + 1 of both, d being what a linked set can lack. If it is rare, it
+    is a signature of both. If not, both have at most d rare shingles and share none of those, so
+    sets with r and r' rare ones lack at most e = d - r and e' = d' - r' frequent ones of the other.
+    Of the places between neighbours among the shared frequent shingles at most e + e' are taken up
+    by shingles of one set only; the others are neighbours in both sets, and a set with f frequent
+    shingles has at most f - 1 - (f - e - 1 - e - e') = 2e + e' neighbouring pairs that the other
+    lacks. So in any order of pairs common to all sets, the first shared pair is among the first
+    2e + e' + 1 of both. The order begins with the least frequent pairs, so crowds meet only where
+    sets consist of nothing else. The number of signatures is linear in the set.
+    """
+    n = len(shingles)
+    lacks = _unshared(n, rule)
+    level = levels[(shingles % np.uint64(_CELLS)).astype(np.int64)]
+    rare = shingles[level == 0]
+    if len(rare) > lacks:
+        return rare[: lacks + 1]
+    own, other = lacks - len(rare), _unshared(rule.whole * n // rule.part, rule)
+    rest, level = shingles[level > 0], level[level > 0].astype(np.int64)
+    with np.errstate(over="ignore"):
+        pairs = mix(rest[:-1] * _A + rest[1:] * _B)
+    low, high = np.minimum(level[:-1], level[1:]), np.maximum(level[:-1], level[1:])
+    return np.concatenate((rare, pairs[np.lexsort((pairs, high, low))[: 2 * own + other + 1]]))
+
+
+def signatures(shingles: np.ndarray, levels: np.ndarray, rule: Likeness) -> np.ndarray:
+    """Signatures of a set, such that linked sets that differ have one in common.
+
+    From a threshold of 0.85 on they are parts of the set, a fifth to a third as many as shingles. Below, parts get small
+    and twice as many, so there they are the first shingles.
+    """
+    n = len(shingles)
+    if n == 0 or rule.whole * n < rule.part * (n + 1):
+        return shingles[:0]  # too small to link with any other set
+    if 100 * rule.part >= 85 * rule.whole:
+        return _agreed_parts(shingles, levels, rule)
+    return _first_shingles(shingles, levels, rule)
+
+
 def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
     """doc_id, n_shingles, cls (hash of the set; null if empty), signatures and parity bitmap of each row.
 
@@ -415,7 +460,7 @@ def join_documents(docs: DataFrame, rule: Likeness | None = None) -> DataFrame:
     """
     rule = rule or Likeness()
     if 5 * rule.part < 4 * rule.whole:
-        raise ValueError("parts of a few shingles need a threshold of 0.8 or more")
+        raise ValueError("pairs of neighbouring shingles need a threshold of 0.8 or more")
     rows = shingle_classes(docs, rule)
     comps = class_components(docs, rows, rule)
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
