@@ -25,6 +25,8 @@ _MARKS = 1 << 22
 _CROWD, _WAYS = 13, 4
 # Turns in which each class is compared with a few pivots. They end earlier when a turn adds too few links to those before.
 _TURNS, _PIVOTS, _WORTH = 6, 4, 1 / 8
+# So many of a class's signatures before one go along with it, to meet pairs once.
+_BEFORE = 16
 # Words of 64 bits in a set's parity bitmap.
 _PARITY = 8
 _BITS = [f"p{i}" for i in range(_PARITY)]
@@ -326,12 +328,23 @@ def pivot_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: L
     return materialize(pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "pivot-pairs")
 
 
-def other_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: Likeness) -> DataFrame:
-    """(a, b): all pairs with a signature in common whose sizes and bitmaps allow a link, in different components."""
-    left = materialize(_open(postings, comps).join(facts, "cls"), "open-postings")
+def _meetings(rows: DataFrame, rule: Likeness) -> DataFrame:
+    """Pairs of rows (sign, cls, comp and facts) of different components whose sizes and bitmaps allow a link, hardly any twice.
+
+    Long texts that are nearly alike share hundreds of signatures. A signature leaves a pair to an earlier one if there is
+    one among the few that both classes have before it. At the first common signature there is none, so each pair meets there.
+    """
+    before = F.collect_list("sign").over(Window.partitionBy("cls").orderBy("sign").rowsBetween(-_BEFORE, -1))
+    left = materialize(rows.withColumn("before", before), "open-postings")
     right = left.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
     apart = (F.col("cls") < F.col("o_cls")) & (F.col("comp") != F.col("o_comp"))
-    pairs = left.join(right, (F.col("sign") == F.col("o_sign")) & apart & _can_link(rule, "o_"))
+    first = ~F.arrays_overlap("before", "o_before")
+    return left.join(right, (F.col("sign") == F.col("o_sign")) & apart & _can_link(rule, "o_") & first)
+
+
+def other_pairs(postings: DataFrame, comps: DataFrame, facts: DataFrame, rule: Likeness) -> DataFrame:
+    """(a, b): all pairs with a signature in common whose sizes and bitmaps allow a link, in different components."""
+    pairs = _meetings(_open(postings, comps).join(facts, "cls"), rule)
     return materialize(pairs.select(F.col("cls").alias("a"), F.col("o_cls").alias("b")).distinct(), "other-pairs")
 
 

@@ -249,6 +249,18 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(ngram_join.signatures(a, levels, rule), ngram_join.signatures(b, levels, rule)).size
 
 
+def test_classes_with_many_common_signatures_meet_about_once(spark):
+    rng = np.random.default_rng(5)
+    held = [set(rng.choice(300, int(rng.integers(1, 200)), replace=False).tolist()) for _ in range(30)] + [{1000}, {1001}, {1001, 7}]
+    bits = {f"p{i}": 0 for i in range(8)}
+    rows = [{"sign": s, "cls": c, "comp": c % 29, "n": 300, **bits} for c, own in enumerate(held) for s in own]
+    kind = "sign long, cls long, comp long, n long, " + ", ".join(f"{b} long" for b in bits)
+    met = ngram_join._meetings(spark.createDataFrame(rows, kind), ngram_join.Likeness(3, 90)).select("cls", "o_cls").collect()
+    pairs = [(a, b) for a in range(len(held)) for b in range(a + 1, len(held)) if a % 29 != b % 29 and held[a] & held[b]]
+    assert {tuple(r) for r in met} == set(pairs)
+    assert len(met) < 2 * len(pairs) < sum(len(held[a] & held[b]) for a, b in pairs) / 10
+
+
 def test_sets_alike_by_chance_share_no_signature():
     rng = np.random.default_rng(4)
     levels, pool = np.zeros(ngram_join._CELLS, np.uint8), np.unique(rng.integers(1, 2**64 - 1, 9_000, dtype=np.uint64))
