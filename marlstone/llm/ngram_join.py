@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import mix, plain_text, signed, text_batches, word_hashes
+from marlstone.llm.text import mix, plain_text, signed, text_parts, word_hashes
 from marlstone.session import materialize
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -79,8 +79,8 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(_CELLS, np.int64)
-        for _, texts in text_batches(batches):
+        table = np.zeros(_CELLS, np.int32)
+        for _, texts in text_parts(batches):
             words, offsets = word_hashes(texts)
             if len(words) < rule.shingle:
                 continue
@@ -92,11 +92,13 @@ def frequent_cells(docs: DataFrame, rule: Likeness) -> np.ndarray:
             np.add.at(starts, offsets[1:], 1)
             owner = np.cumsum(starts)[: len(words)]
             inside = owner[: len(rolled)] == owner[rule.shingle - 1 :]
-            table += np.bincount((mix(rolled[inside]) % np.uint64(_CELLS)).astype(np.int64), minlength=_CELLS)
+            cells, found = np.unique((mix(rolled[inside]) % np.uint64(_CELLS)).astype(np.int32), return_counts=True)
+            # More than 65,535 in a task count as that.
+            table[cells] = np.minimum(table[cells] + found, 65_535)
         parts = table.reshape(-1, _CHUNK)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([np.minimum(parts[i], 65_535).astype(np.uint16).tobytes() for i in used], pa.binary())],
+            [pa.array(used, pa.int32()), pa.array([parts[i].astype(np.uint16).tobytes() for i in used], pa.binary())],
             ["chunk", "counts"],
         )
 
@@ -232,7 +234,7 @@ def shingle_classes(docs: DataFrame, rule: Likeness) -> DataFrame:
     levels = frequent_cells(docs, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_parts(batches):
             sets = shingle_hashes(texts, rule.shingle)
             signs = [signatures(s, levels, rule) for s in sets]
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -369,7 +371,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Lik
     marks = _marked(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_parts(batches):
             cell = batch.column("cell").to_numpy()
             hit = (marks[cell // 64] >> (cell % 64).astype(np.uint64)) & np.uint64(1) == 1
             sets = shingle_hashes(texts.filter(pa.array(hit)), rule.shingle)

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import plain_text
+from marlstone.llm.text import parts, plain_text
 from marlstone.llm.token_counts import cuts_at_spaces, segments
 
 _SPACE = "▁"
@@ -188,9 +188,9 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(blob)
         for batch in batches:
-            if batch.num_rows:
-                ids = known.encode(batch.column("__text").cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
+            for part in parts(batch, pc.binary_length(batch.column("__text")).to_numpy(zero_copy_only=False)):
+                ids = known.encode(part.column("__text").cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], ids], [*keep, "ids"])
 
     rows = docs.select(*keep, plain_text().alias("__text"))
     return rows.mapInArrow(run, f"{_fields(docs, keep)}ids array<int>")
@@ -207,9 +207,9 @@ def decode(rows: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(blob)
         for batch in batches:
-            if batch.num_rows:
-                text = known.decode(batch.column("__ids").cast(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], text], [*keep, "decoded"])
+            for part in parts(batch, 4 * pc.list_value_length(batch.column("__ids")).to_numpy(zero_copy_only=False)):
+                text = known.decode(part.column("__ids").cast(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], text], [*keep, "decoded"])
 
     filled = F.coalesce("ids", F.array().cast("array<int>")).alias("__ids")
     return rows.select(*keep, filled).mapInArrow(run, f"{_fields(rows, keep)}decoded string")

@@ -16,7 +16,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, token_counts, toxicity
+from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, text, token_counts, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,6 +129,22 @@ def test_encoding_round_trip(docs):
         assert bool(row["ids"]) == bool(row["text"])
 
 
+def test_encoding_takes_bounded_parts_of_a_batch(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"x": list(range(9))})
+    sizes = np.array([0, 5, 6, 30, 0, 1, 2, 8, 9])
+    monkeypatch.setattr(text, "PART_BYTES", 10)
+    cut = [part.column("x").to_pylist() for part in text.parts(batch, sizes)]
+    assert sum(cut, []) == list(range(9))
+    assert all(len(rows) == 1 or sizes[rows].sum() <= 10 for rows in cut) and len(cut) == 6
+    monkeypatch.undo()
+    # More than one part, from inside the batch.
+    texts = ["a theash " * 150_000, "", "unbelievable 12345 " * 90_000, None, "Straße " * 90_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    coded = sentencepieces.encode(frame, MODEL, ["doc_id", "text"])
+    for row in sentencepieces.decode(coded, MODEL, ["doc_id", "text"]).collect():
+        assert row["decoded"] == (row["text"] or "")
+
+
 def test_encoding_of_nothing(none):
     coded = sentencepieces.encode(none, MODEL, ["doc_id"])
     assert sentencepieces.decode(coded, MODEL, ["doc_id"]).count() == 0
