@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -17,6 +18,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from marlstone.llm import brown, mixing, ngram_join, nn_descent, pii, quality, sentencepieces, sketches, text, token_counts, toxicity
+from marlstone.session import scratch_dir
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -337,11 +339,11 @@ def test_search_in_small_and_empty_tables(spark):
     assert nn_descent.nearest(frame.filter("1 = 0"), F.col("id") % 20 == 0, 20).count() == 0
 
 
-def recall(spark, vectors, k):
+def recall(spark, vectors, k, rule=None):
     """Of the k best scores of every 20th row, the part that the search finds."""
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = {}
-    for r in nn_descent.nearest(frame, F.col("id") % 20 == 0, k).collect():
+    for r in nn_descent.nearest(frame, F.col("id") % 20 == 0, k, rule=rule).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     found = [len(got[q] & set([i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:k])) for q in range(0, len(vectors), 20)]
     return sum(found) / k / len(found)
@@ -352,6 +354,15 @@ def test_search_without_clusters(spark):
     assert recall(spark, vectors / np.linalg.norm(vectors, axis=1)[:, None], 20) >= 0.98
 
 
+def test_search_in_blocks_that_hold_few_vectors(spark):
+    """More vectors than a task may hold; and tables that a later round replaces don't stay on disk."""
+    vectors = np.random.default_rng(5).normal(size=(1500, 32))
+    before = set(os.listdir(scratch_dir(spark)))
+    assert recall(spark, vectors / np.linalg.norm(vectors, axis=1)[:, None], 20, nn_descent.Search(held=1400, block=400, cell=200)) >= 0.98
+    left = Counter(name.split("-")[1] for name in set(os.listdir(scratch_dir(spark))) - before if name.startswith("nn-"))
+    assert left["graph"] == left["members"] == left["beam"] == 1
+
+
 def test_search_with_a_few_long_vectors(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(1200, 16))
