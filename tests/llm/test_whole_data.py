@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import brown, quality
+from marlstone.llm import brown, quality, text
 
 
 def test_limits_come_from_all_trusted_documents(spark):
@@ -43,3 +44,40 @@ def test_a_blocks_pairs_leave_before_the_next_block_is_read():
     pairs = {(p // (end + 1), p % (end + 1)): n for p, n in zip(first["pair"].to_pylist(), first["n"].to_pylist())}
     assert pairs == {(end, 0): 1, (0, 1): 1, (1, 0): 1, (0, end): 1}
     assert np.array(first["n"]).sum() == 4
+
+
+def _row_groups(table):
+    """Rows of the row groups of a written table, file by file."""
+    files = [pq.ParquetFile(name.removeprefix("file:").replace("///", "/")).metadata for name in table.inputFiles()]
+    return [[f.row_group(g).num_rows for g in range(f.num_row_groups)] for f in files if f.num_rows]
+
+
+def long_texts(spark, size, n=8):
+    pick = random.Random(5)
+    known = ["".join(pick.choices("abcdefgh", k=7)) for _ in range(3000)]
+    rows = [(i, " ".join(pick.choices(known, k=size // 8))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_a_tasks_language_model_blocks_are_not_written_as_one(spark):
+    rows, docs = long_texts(spark, brown._BLOCK_BYTES)
+    blocks = brown.text_blocks(docs, brown.Classes())
+    groups = _row_groups(blocks)
+    assert sum(map(sum, groups)) == len(rows) and all(n <= 4 for g in groups for n in g) and any(len(g) > 1 for g in groups)
+    got = {}
+    for batch in blocks.select("doc_ids", "sizes", "words", "places").toArrow().to_batches():
+        for i in range(len(batch)):
+            words = batch.column("words")[i].values.take(pa.array(brown._places(batch, i))).to_pylist()
+            for key, n in zip(batch.column("doc_ids")[i].as_py(), batch.column("sizes")[i].as_py(), strict=True):
+                got[key], words = " ".join(words[:n]), words[n:]
+    assert got == dict(rows)
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+@pytest.mark.parametrize("numbers", [[], [0], [5, 2**31 - 1, -7, 256, 65536]])
+def test_numbers_come_back_from_their_bytes(numbers, kind):
+    given = np.array(numbers, kind)
+    blob = text.split_bytes(given)
+    back = text.joined_bytes(pa.py_buffer(blob), kind)
+    assert back.dtype == kind and back.tolist() == numbers
+    assert blob[: len(numbers)] == bytes(x & 255 for x in numbers)
