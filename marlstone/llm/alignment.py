@@ -19,8 +19,8 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import plain_text, text_batches
-from marlstone.session import materialize
+from marlstone.llm.text import from_bytes, plain_text, text_batches, to_bytes
+from marlstone.session import LARGE_ROWS, materialize
 
 # Texts of a block and of one call of the libraries have about so many bytes; a piece of the merge path has WORK steps.
 BLOCK_BYTES, CALL_BYTES, WORK = 4 << 20, 1 << 18, 1 << 16
@@ -209,7 +209,7 @@ class Aligner:
 
 _BLOCK = (
     "block long, doc_id {kind}, n_a array<long>, n_b array<long>, n_links array<long>, groups array<string>, segments binary, "
-    "segment_ends binary, pairs binary, pair_ends binary, a array<int>, b array<int>, n array<long>"
+    "segment_ends binary, pairs binary, pair_sizes binary, a array<int>, b array<int>, n array<long>"
 )
 
 
@@ -249,10 +249,10 @@ def _block(aligner: Aligner, ids: pa.Array, texts: pa.Array, whole_groups: bool)
         "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
         **{c: pa.array([x], longs) for c, x in zip(("n_a", "n_b", "n_links"), figures, strict=True)},
         "groups": pa.array([texts_of], pa.list_(pa.string())),
-        "segments": pa.array([codes.astype(np.int32).tobytes()]),
-        "segment_ends": pa.array([offsets.astype(np.int64).tobytes()]),
-        "pairs": pa.array([place.astype(np.int32).tobytes()]),
-        "pair_ends": pa.array([np.concatenate(([0], np.cumsum(links))).tobytes()]),
+        "segments": pa.array([to_bytes(codes.astype(np.int32))]),
+        "segment_ends": pa.array([to_bytes(offsets.astype(np.int64))]),
+        "pairs": pa.array([to_bytes(place.astype(np.int32))]),
+        "pair_sizes": pa.array([to_bytes(links.astype(np.int32))]),
         "a": pa.array([(distinct >> 32).astype(np.int32)], ints),
         "b": pa.array([(distinct & 0xFFFFFFFF).astype(np.int32)], ints),
         "n": pa.array([amounts], longs),
@@ -264,8 +264,8 @@ def aligned_blocks(docs: DataFrame, a_vocabulary: str, b_vocabulary: str, whole_
     """One row for each part of an Arrow batch: the documents' figures, and their links by distinct segment. Written.
 
     Distinct segments of the part are encoded and aligned once. ``a, b, n`` are the part's distinct
-    linked ids and how many links it has of each; ``pairs`` are places among them, segment by segment;
-    ``segments`` are places among distinct segments, document by document.
+    linked ids and how many links it has of each; ``pairs`` are places among them, ``pair_sizes`` of each
+    segment; ``segments`` are places among distinct segments, document by document.
     """
     a_blob, b_blob = Path(a_vocabulary).read_text(encoding="utf-8"), Path(b_vocabulary).read_bytes()
     rows = docs.select("doc_id", plain_text().alias("text"))
@@ -276,8 +276,9 @@ def aligned_blocks(docs: DataFrame, a_vocabulary: str, b_vocabulary: str, whole_
         for batch, texts in text_batches(batches):
             for part in _parts(texts):
                 yield _block(aligner, batch.column("doc_id").slice(part.start, part.stop - part.start), texts[part], whole_groups)
+        pa.default_memory_pool().release_unused()
 
-    return materialize(rows.mapInArrow(run, schema), "aligned")
+    return materialize(rows.mapInArrow(run, schema), "aligned", LARGE_ROWS)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -313,18 +314,22 @@ def align_documents(docs: DataFrame, a_vocabulary: str, b_vocabulary: str, whole
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that has encoded still holds the tokenizers and memory that it no longer uses.
+        _aligner.cache_clear()
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in batch.schema.names}
-                blob = {c: np.frombuffer(row[c].as_buffer(), np.int32) for c in ("pairs", "segments")}
+                blob = {c: from_bytes(row[c].as_buffer()) for c in ("pairs", "segments")}
                 # Pairs that only texts without tokens have stay 0.
                 of_pair = np.zeros((2, 1 + blob["pairs"].max(initial=-1)), np.int64)
                 if row["known"].is_valid:
                     place, total, best = row["known"].values.flatten()
                     of_pair[0, place.to_numpy()] = total.to_numpy()
                     of_pair[1, place.to_numpy()] = best.to_numpy(zero_copy_only=False)
-                ends = {c: np.frombuffer(row[c].as_buffer(), np.int64) for c in ("pair_ends", "segment_ends")}
-                total, best = (_sums(_sums(x[blob["pairs"]], ends["pair_ends"])[blob["segments"]], ends["segment_ends"]) for x in of_pair)
+                ends = np.concatenate(([0], np.cumsum(from_bytes(row["pair_sizes"].as_buffer()), dtype=np.int64)))
+                of_text = from_bytes(row["segment_ends"].as_buffer(), np.int64)
+                total, best = (_sums(_sums(x[blob["pairs"]], ends)[blob["segments"]], of_text) for x in of_pair)
                 na, nb, links, groups, ids = (row[c].values for c in ("n_a", "n_b", "n_links", "groups", "doc_id"))
                 yield pa.RecordBatch.from_arrays([ids, na, nb, links, links, pa.array(best), pa.array(total), groups], names)
 

@@ -4,12 +4,13 @@ import dataclasses
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import brown, quality, text
+from marlstone.llm import alignment, brown, quality, text
 
 
 def test_limits_come_from_all_trusted_documents(spark):
@@ -74,10 +75,15 @@ def test_a_tasks_language_model_blocks_are_not_written_as_one(spark):
 
 
 @pytest.mark.parametrize("kind", [np.int32, np.int64])
-@pytest.mark.parametrize("numbers", [[], [0], [5, 2**31 - 1, -7, 256, 65536]])
-def test_numbers_come_back_from_their_bytes(numbers, kind):
-    given = np.array(numbers, kind)
-    blob = text.split_bytes(given)
-    back = text.joined_bytes(pa.py_buffer(blob), kind)
-    assert back.dtype == kind and back.tolist() == numbers
-    assert blob[: len(numbers)] == bytes(x & 255 for x in numbers)
+@pytest.mark.parametrize(("numbers", "size"), [([], 1), ([0], 1), ([5, 255], 1), ([256, 0], 2), ([70000, 1], 3), ([5, 2**31 - 1, 256], 4)])
+def test_numbers_come_back_from_their_bytes(numbers, size, kind):
+    blob = text.to_bytes(np.array(numbers, kind))
+    back = text.from_bytes(pa.py_buffer(blob), kind)
+    assert back.dtype == kind and back.tolist() == numbers and len(blob) == 1 + size * len(numbers)
+
+
+def test_a_tasks_aligned_blocks_are_not_written_as_one(spark):
+    rows, docs = long_texts(spark, alignment.BLOCK_BYTES)
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    groups = _row_groups(alignment.aligned_blocks(docs, a, b))
+    assert sum(map(sum, groups)) == len(rows) and all(n <= 4 for g in groups for n in g) and any(len(g) > 1 for g in groups)
